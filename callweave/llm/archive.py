@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import rows_to_batches, written
+from callweave.llm.common import one_task_each, rows_to_batches, written
 from callweave.llm.stream_file import place
 
 # Fixed values of the two archive formats.
@@ -179,8 +179,7 @@ def arc_records(files: DataFrame) -> DataFrame:
 
         yield from rows_to_batches(rows(), _INDEX)
 
-    spread = files.select("file", "path").repartition("file")
-    return spread.mapInArrow(task, "file long, path string, ordinal long, page_id long, record_id string, payload_bytes long, digest string")
+    return one_task_each(files.select("file", "path"), "file").mapInArrow(task, "file long, path string, ordinal long, page_id long, record_id string, payload_bytes long, digest string")
 
 
 def plan_revisits(index: DataFrame, least: int = 1000) -> DataFrame:
@@ -277,7 +276,7 @@ def read_warc(files: DataFrame) -> DataFrame:
 
         yield from rows_to_batches(rows(), _WARC)
 
-    return files.select("file", "path").repartition("file").mapInArrow(task, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, uri string, date string")
+    return one_task_each(files.select("file", "path"), "file").mapInArrow(task, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, uri string, date string")
 
 
 def convert(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:

@@ -101,6 +101,11 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 60) ->
     return nodes.union(stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
+def one_task_each(rows: DataFrame, key: str) -> DataFrame:
+    """Small ``rows`` that each stand for a file, one to a task; the number given keeps them from being coalesced."""
+    return rows.repartitionByRange(max(1, rows.count()), key)
+
+
 class Forest:
     """Union-find over the integers below ``n``, for the pairs of one bounded block."""
 

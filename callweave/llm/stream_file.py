@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from callweave.llm.common import written
+from callweave.llm.common import one_task_each, written
 from callweave.llm.tokens import encoded
 
 ROWS = 256
@@ -142,5 +142,4 @@ def read(manifest: DataFrame) -> DataFrame:
                         ids = [shard.ids(s, n).astype("<u4").tobytes() for s, n in zip(starts, counts)]
                         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([base + s for s in starts], pa.int64()), part.column(2), pa.array(ids, pa.binary())], schema=_READ)
 
-    spread = bases.repartition(F.col("shard"))
-    return spread.mapInArrow(task, "doc_id long, start long, n_tokens long, ids binary")
+    return one_task_each(bases, "shard").mapInArrow(task, "doc_id long, start long, n_tokens long, ids binary")
