@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import archive, language, packing, secrets, stream_file
+from callweave.llm import archive, decontaminate, embeddings, jaccard, language, packing, secrets, stream_file
 from callweave.llm.common import fresh_path
 
 
@@ -45,11 +45,19 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(spelled("base", secrets.KINDS), 256).alias("base_sha256"), spelled("spans", secrets.KINDS).alias("spans"), "n_random")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op6_stream_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = stream_file.write(table(spark, sf_dir, "documents"), fresh_path(spark, "token-ids"), tokenizer("word_bpe_49k.json"))
     return stream_file.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
@@ -60,12 +68,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", held_out(3, 1).alias("held_out"), "text"), model).drop("text")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_warc": op3_warc,
     "op4_secret_scan": op4_secret_scan,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_stream_file": op6_stream_file,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_language_id": op9_language_id,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
