@@ -40,7 +40,7 @@ def shingles(row: str, count: Column) -> Column:
 
 def simhash(hashes: Column) -> Column:
     """64 bits, each the majority of that bit among ``hashes``."""
-    votes = lambda k: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.shiftright(h, k).bitwiseAND(F.lit(1)).cast("int") * 2 - 1)
+    votes = lambda k: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.call_function("shiftright", h, k).bitwiseAND(F.lit(1)).cast("int") * 2 - 1)
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda x, k: F.shiftleft(x, 1).bitwiseOR(F.when(votes(k) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
 
 
