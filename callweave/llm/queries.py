@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import archive, decontaminate, embeddings, jaccard, language, packing, secrets, stream_file
+from callweave.llm import archive, decontaminate, embeddings, jaccard, language, packing, personal, secrets, stream_file
 from callweave.llm.common import fresh_path
 
 
@@ -54,6 +54,13 @@ def op6_stream_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_file.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    shown = found.withColumn("base", F.filter("spans", lambda s: s["kind"] < 4))
+    return shown.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(personal.KINDS)], F.sha2(spelled("base", personal.KINDS), 256).alias("base_sha256"), spelled("spans", personal.KINDS).alias("spans"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_stream_file": op6_stream_file,
+    "op7_personal_data": op7_personal_data,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
