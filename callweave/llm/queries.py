@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import archive, decontaminate, embeddings, jaccard, language, packing, personal, secrets, stream_file
+from callweave.llm import archive, decontaminate, embeddings, jaccard, language, lm, packing, personal, secrets, stream_file
 from callweave.llm.common import fresh_path
 
 
@@ -32,6 +32,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 != 0, F.lit(False))
+    return lm.score(table(spark, sf_dir, "documents"), ~learned)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive.convert(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "uri", "date")
@@ -81,6 +86,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_warc": op3_warc,
     "op4_secret_scan": op4_secret_scan,
     "op5_jaccard_join": op5_jaccard_join,
