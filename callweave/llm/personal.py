@@ -64,12 +64,14 @@ def located(text: Column, pattern: str, possible: Column) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda s: s["rows"])).otherwise(none)
 
 
-def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: row (unique once written), doc_id, base (with kind) and candidates."""
+def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """A row for each document: row (unique once written), doc_id, base (with kind), candidates, and with ``carry`` all
+    columns of ``docs`` as the struct doc."""
     text = F.col("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    doc = F.struct(*[F.col(c) for c in docs.columns]) if carry else F.lit(None).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), doc.alias("doc"))
     number = text.rlike("[0-9]")
-    rows = rows.select("doc_id", located(text, EMAIL, F.contains(text, F.lit("@"))).alias("e"), located(text, IP, number).alias("i"), located(text, CARD, number).alias("c"), located(text, PHONE, F.contains(text, F.lit("+"))).alias("p"), located(text, CANDIDATE, number).alias("o"))
+    rows = rows.select("doc_id", "doc", located(text, EMAIL, F.contains(text, F.lit("@"))).alias("e"), located(text, IP, number).alias("i"), located(text, CARD, number).alias("c"), located(text, PHONE, F.contains(text, F.lit("+"))).alias("p"), located(text, CANDIDATE, number).alias("o"))
     length = lambda m: F.length(digits(m["value"]))
     kept = {
         "e": lambda m: F.lit(True),
@@ -79,9 +81,9 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     }
     named = lambda k: lambda m: m.withField("kind", F.lit(k))
     base = [F.transform(F.filter(name, test), named(k)) for k, (name, test) in enumerate(kept.items())]
-    rows = rows.select("doc_id", "o", F.concat(*base).alias("base"))
+    rows = rows.select("doc_id", "doc", "o", F.concat(*base).alias("base"))
     others = F.filter("o", lambda m: (length(m) >= 6) & ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", others.alias("candidates"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "doc", "base", others.alias("candidates"))
 
 
 def patterns(m: Column) -> Column:
@@ -108,15 +110,21 @@ def bootstrap(found: DataFrame, rounds: int = 3, support: int = 5, least: float
     return scores.join(pairs.where("not seed").select("value").distinct(), "value", "left_semi").where(F.col("confidence") >= least)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, least: float = 0.9) -> DataFrame:
-    """doc_id, spans: array of (kind, start, end), kinds numbered as in KINDS."""
-    found = written(extract(docs, id_col, text_col), "personal")
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, least: float = 0.9, carry: bool = False) -> DataFrame:
+    """doc_id, spans: array of (kind, start, end), kinds numbered as in KINDS; with ``carry`` also doc, as in ``extract``."""
+    found = written(extract(docs, id_col, text_col, carry), "personal")
     sure = bootstrap(found, rounds, support, least).select("value")
     more = found.where("size(candidates) > 0").select("row", F.explode("candidates").alias("m")).select("row", "m.value", "m.start", "m.end").join(sure, "value", "left_semi")
     more = more.groupBy("row").agg(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("more"))
     base = F.transform("base", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     spans = F.concat(base, F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,end:int>>")))
-    return found.join(more, "row", "left").select("doc_id", F.array_sort(spans).alias("spans"))
+    return found.join(more, "row", "left").select("doc_id", "doc", F.array_sort(spans).alias("spans"))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the spans found in its text replaced by their kinds."""
+    found = find(docs, id_col, text_col, carry=True).withColumn("text", F.col("doc")[text_col].cast("string"))
+    return found.withColumn("clean", redacted("text", "spans")).select(*[F.col("clean").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def redacted(text: str, spans: str) -> Column:

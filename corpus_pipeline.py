@@ -41,10 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = personal.find(docs).where("size(spans) > 0").groupBy("doc_id").agg(F.first("spans").alias("spans"))
-    joined = docs.join(found, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<kind:int,start:int,end:int>>")))
-    text = personal.redacted("text", "spans")
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return personal.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
