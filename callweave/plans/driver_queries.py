@@ -251,7 +251,7 @@ def decision_count(spark, sf_dir):
 
 @query("SELECT page_id, trim(unnest(regexp_extract_all(html, '<!--([^>]*)-->', 1))) AS comment FROM pages")
 def comment_extract(spark, sf_dir):
-    found = F.transform(F.regexp_extract_all("html", F.lit("<!--([^>]*)-->"), F.lit(1)), F.trim)
+    found = F.transform(F.regexp_extract_all("html", F.lit("<!--([^>]*)-->"), F.lit(1)), lambda c: F.trim(c))
     return table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("comment"))
 
 
