@@ -6,10 +6,10 @@ that holds it) and three tests ask whether its symbols look drawn at random from
 over equal bins of the alphabet, the number of runs above and below the alphabet's middle, and the serial correlation of
 neighbours. Fisher's method combines them; the result is kept as a tenth of its negative decimal logarithm (0: random).
 
-``thresholds`` controls the share of false discoveries for each band of lengths: runs of letters alone, in one case or
-with one capital in front, are ordinary words and tell how often text of that length passes for random; a band's
-threshold is the most lenient one at which that rate, times the band's candidates, is at most ``rate`` times the
-candidates found. A short string must thus look better than a long one, and a band without enough evidence finds
+``thresholds`` controls the share of false discoveries for each band of lengths. How often ordinary text of that length
+passes for random is told by runs of letters alone, in one case or with one capital in front, and by one stretch of each
+text's own letters, written together, whose length and place its hash names. A band's threshold is the most lenient one
+at which that rate, times the band's candidates, is at most ``rate`` times the candidates found. A short string must thus look better than a long one, and a band without enough evidence finds
 nothing. Only a table of bands by values, of a fixed size, reaches the driver.
 
 Nulls and ties: a null text counts as empty; a null id is kept; repeated rows are separate rows; an empty table gives an
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,6 +48,7 @@ ALPHABETS = {
 }
 PLACES = {name: {c: k for k, c in enumerate(a)} for name, a in ALPHABETS.items()}
 BANDS = (20, 24, 32, 48, 64, 128)
+NO_LETTERS = bytes(b for b in range(256) if not chr(b).isalpha() or b > 127)
 WORST = 60
 SCANNED = "doc_id long, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,band:int,value:int,encoding:string>>, words array<struct<band:int,value:int>>"
 
@@ -99,6 +101,14 @@ def band(length: int) -> int:
     return sum(length >= b for b in BANDS) - 1
 
 
+def stretch(text: str) -> str:
+    """Letters of ``text`` without what stands between them: as many as one of the bands asks for, or none if it has fewer."""
+    letters = text.encode("ascii", "ignore").translate(None, NO_LETTERS)
+    place, k = divmod(zlib.crc32(letters), len(BANDS))
+    at = place % max(1, len(letters) - BANDS[k] + 1)
+    return letters[at : at + BANDS[k]].decode() if len(letters) >= BANDS[k] else ""
+
+
 def scan_text(text: str) -> tuple[list, list, list]:
     """Base spans (start, kind, end), candidates outside them (start, end, band, value, encoding), words (band, value)."""
     base = []
@@ -109,14 +119,18 @@ def scan_text(text: str) -> tuple[list, list, list]:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
-    found, words = [], []
+    found, words, between, last = [], [], [], 0
     for m in CANDIDATE.finditer(text):
         token = m[0]
+        between.append(text[last : m.start()])
+        last = m.end()
         encoding, p = battery(token)
         if WORD.fullmatch(token):
             words.append((band(len(token)), value(p)))
         elif not any(a < m.end() and m.start() < b for a, _, b in base):
             found.append((m.start(), m.end(), band(len(token)), value(p), encoding))
+    if plain := stretch("".join(between) + text[last:]):
+        words.append((band(len(plain)), value(battery(plain)[1])))
     return base, found, words
 
 
