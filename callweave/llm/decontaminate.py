@@ -2,7 +2,9 @@
 
 1. Every position of every document is looked up among the items' anchors: so many of an item's five-word shingles that a
    window which leaves all of them out cannot reach the similarity asked for. A hit names the window of the item's length
-   that lines up with it. All other windows are thereby excluded without loss.
+   that lines up with it, and those shifted by as many words as a window of that similarity can have more or fewer before
+   the anchor: words put in or left out at one place break at least that many shingles and four more. All other windows
+   are thereby excluded without loss.
 2. Windows of equal text become one. Each gets a SimHash of 64 bits over its shingles, counted as often as they occur.
 3. Fingerprints are cut into ``radius`` + 1 blocks; a window and an item whose fingerprints differ in at most ``radius``
    bits agree in one block at least, so a join on blocks (and on the length in words) finds all of them.
@@ -65,21 +67,23 @@ def prepared(items: DataFrame, radius: int, id_col: str, text_col: str) -> DataF
 def anchors(items: DataFrame, least: float) -> DataFrame:
     """(shingle, len, at): shingles of each item that no window of similarity ``least`` can leave out altogether.
 
-    Shingles are taken in the order of their hashes until those not taken weigh less than ``least`` of all. Items that
-    have an anchor at the same place for the same length need it once.
+    Shingles are taken in the order of their hashes until those not taken weigh less than ``least`` of all, each with all
+    its places. Items that have an anchor at the same place for the same length need it once.
     """
     places = F.transform("item_hashes", lambda h, k: F.struct(h.alias("shingle"), k.alias("at")))
-    taken = F.slice(F.array_sort(places), F.lit(1), F.floor(F.size("item_hashes") * (1 - least) + 1e-9).cast("int") + 1)
-    return items.select(F.explode(taken).alias("p"), "len").select("p.shingle", "len", "p.at").distinct()
+    taken = F.slice(F.array_sort("item_hashes"), F.lit(1), F.floor(F.size("item_hashes") * (1 - least) + 1e-9).cast("int") + 1)
+    return items.select(F.explode(F.filter(places, lambda p: F.array_contains(taken, p["shingle"]))).alias("p"), "len").select("p.shingle", "len", "p.at").distinct()
 
 
-def windows(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, few: bool) -> DataFrame:
-    """(doc_id, start, len, window): windows that line up with an anchor."""
+def windows(docs: DataFrame, marks: DataFrame, least: float, id_col: str, text_col: str, few: bool) -> DataFrame:
+    """(doc_id, start, len, window): windows that line up with an anchor, or nearly."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w")).withColumn("n", F.size("w")).where((F.col("n") >= SHINGLE) & F.col("doc_id").isNotNull())
     places = texts.select("doc_id", "w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - SHINGLE)).alias("i"))
     places = places.withColumn("shingle", F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(SHINGLE)]))
     met = places.join(F.broadcast(marks) if few else marks, "shingle")
-    start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("at"), F.col("n") - F.col("len")))
+    slack = F.greatest(F.lit(0), F.floor((F.col("len") - SHINGLE + 1) * ((1 - least) / (1 + least)) + 1e-9).cast("int") - SHINGLE + 1)
+    met = met.withColumn("shift", F.explode(F.sequence(-slack, slack)))
+    start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("at") + F.col("shift"), F.col("n") - F.col("len")))
     return met.withColumn("start", start).select("doc_id", "start", "len", F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " ").alias("window")).distinct()
 
 
@@ -88,7 +92,7 @@ def find(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: int = 19
     start is the window's first word. Ties go to the first window."""
     ready = written(prepared(items, radius, item_col, item_text_col), "items")
     marks = anchors(ready, least)
-    met = written(windows(docs, marks, id_col, text_col, marks.count() <= BROADCAST_ROWS), "windows")
+    met = written(windows(docs, marks, least, id_col, text_col, marks.count() <= BROADCAST_ROWS), "windows")
     texts = met.select("window", "len").distinct().withColumn("w", F.split("window", " "))
     texts = texts.withColumn("hashes", shingles("w", F.size("w"))).withColumn("print", simhash(F.col("hashes"))).select("window", "len", "hashes", "print")
     texts = written(texts, "prints")
