@@ -212,7 +212,7 @@ def resolve_calls(tables: dict[str, DataFrame], use_phantoms: bool = True) -> Re
     reached = typed(functions.join(scopes_of(tables), functions["owner_signature"] == F.col("scope_owner")).select(F.col("signature").alias("id"), "scopes", F.col("return_name").alias("type_name")), names, types.where("kind in ('class', 'interface')"))
     returns = stored(functions.select(F.col("signature").alias("callable"), F.col("return_array").alias("returned_array")).join(reached.select(F.col("id").alias("callable"), F.col("sig").alias("returned")), "callable").dropDuplicates(["callable"]), "returns")
     values = value_types(tables, names, known, parents, returns)
-    sites = tables["call_site"].where("not file_key like '%.d.ts'").withColumn("id", F.concat_ws("|", "caller", F.concat_ws("-", "start_line", "start_column", "end_line", "end_column"))).dropDuplicates(["id"])
+    sites = tables["call_site"].where("is_target and not file_key like '%.d.ts'").withColumn("id", F.concat_ws("|", "caller", F.concat_ws("-", "start_line", "start_column", "end_line", "end_column"))).dropDuplicates(["id"])
     sites = stored(sites, "sites")
     universe = stored(tables["callable"].where("is_target").select(F.col("signature").alias("target")).distinct(), "universe")
     found = evaluate(sites, names, values, known, types, parents, returns)

@@ -29,6 +29,8 @@ class Options:
     snapshot: str | None = None
     level: int = 1
     materialize: bool = False
+    cache: str | None = None
+    eager: bool = False
 
     @property
     def name(self) -> str:
@@ -51,7 +53,7 @@ def analyze(spark: SparkSession, options: Options) -> Analysis:
 
 def analyze_files(spark: SparkSession, files: DataFrame, options: Options) -> Analysis:
     """From rows of files; all of them are read for resolution, targets alone make nodes and edges."""
-    tables = parse_modules(files, options.name)
+    tables = parse_modules(files, options.name, options.cache, options.eager)
     graph = choose(options.provider).build(Context(spark, tables, options.phantoms, options.flow_path))
     out = Analysis(tables, graph)
     kind = options.emit if options.emit in ("json", "neo4j", "schema", "parquet") else "json"

@@ -86,4 +86,4 @@ def choose(name: str) -> Provider:
     """Unknown names mean the union."""
     return {"tsc": Resolver(), "jelly": FlowProvider()}.get(name, Union())
 
-__all__ = ["Context", "FlowProvider", "Graph", "Provider", "Resolver", "Union", "choose", "compare", "merge_call_graphs", "F"]
+__all__ = ["Context", "FlowProvider", "Graph", "Provider", "Resolver", "Union", "choose", "compare", "merge_call_graphs"]

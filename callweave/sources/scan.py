@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from callweave.functions import text as x
 from callweave.operators.closure import stored
 
+LOG = logging.getLogger("callweave")
+CACHE_VERSION = "1.0.0"
 SPAN = "start_line int, start_column int, end_line int, end_column int"
 DECORATOR = f"struct<name:string,qualified_name:string,positional_arguments:array<string>,keyword_arguments:map<string,string>,{SPAN.replace(' ', ':').replace(',:', ',')}>"
 PARAMETER = f"struct<name:string,type:string,default_value:string,is_optional:boolean,is_rest:boolean,is_readonly:boolean,accessibility:string,decorators:array<{DECORATOR}>,{SPAN.replace(' ', ':').replace(',:', ',')}>"
@@ -60,28 +64,90 @@ def sources_from_table(rows: DataFrame, path_col: str, text_col: str) -> DataFra
     return rows.select(F.col(path_col).alias("file_key"), F.lit(0.0).alias("last_modified"), F.length(content).cast("bigint").alias("file_size"), content.alias("content"), F.lit(True).alias("is_target"))
 
 
-def parse_modules(files: DataFrame, app_name: str) -> dict[str, DataFrame]:
-    """The tables of §TABLES. The text is parsed once and written; a file that cannot be parsed gives a row in ``error``."""
+PARSED = "file_key string, record string, payload string"
+META = "file_key string, last_modified double, file_size bigint, content_hash string"
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """(file_key, record, payload) of the files' contents; a file that cannot be parsed gives a record ``error``."""
     from callweave.sources.declarations import parse
 
-    schema = pa.schema([("file_key", pa.string()), ("record", pa.string()), ("payload", pa.string()), ("is_target", pa.bool_())])
+    schema = pa.schema([("file_key", pa.string()), ("record", pa.string()), ("payload", pa.string())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, content, target in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = list(parse(key, (content or b"").decode("utf-8-sig", "replace")))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found)), pa.array([r for r, _ in found], pa.string()), pa.array([p for _, p in found], pa.string()), pa.array([target] * len(found), pa.bool_())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found)), pa.array([r for r, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], schema=schema)
+
+    return files.select("file_key", "content").mapInArrow(task, PARSED)
+
+
+def load_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(meta, parsed) of a cache of parsed files; None if there is none, it is broken, or another version made it."""
+    try:
+        if [r[0] for r in spark.read.text(f"{path}/version").collect()] != [CACHE_VERSION]:
+            return None
+        at = f"{path}/{spark.read.text(f'{path}/current').first()[0]}"
+        return spark.read.schema(META).parquet(f"{at}/meta"), spark.read.schema(PARSED).parquet(f"{at}/parsed")
+    except Exception:  # absent or unreadable means no cache
+        return None
 
-    rows = stored(files.select("file_key", "content", "is_target").mapInArrow(task, "file_key string, record string, payload string, is_target boolean"), "parsed")
-    meta = files.select("file_key", "last_modified", "file_size", F.sha2("content", 256).alias("content_hash"))
+
+def unchanged(files: DataFrame, cached: DataFrame) -> DataFrame:
+    """(file_key, last_modified, file_size, content_hash) of files that are as they were when cached.
+
+    Time and size decide first, without reading contents; what they leave open is hashed.
+    """
+    old = cached.select("file_key", F.col("last_modified").alias("t"), F.col("file_size").alias("n"), F.col("content_hash").alias("h"))
+    light = files.select("file_key", "last_modified", "file_size").join(old, "file_key")
+    as_before = (F.col("t") == F.col("last_modified")) & (F.col("n") == F.col("file_size"))
+    same = light.where(as_before).select("file_key", "last_modified", "file_size", F.col("h").alias("content_hash"))
+    open_ = light.where(~as_before & (F.col("n") == F.col("file_size"))).select("file_key", "h")
+    hashed = files.join(open_, "file_key").where(F.sha2("content", 256) == F.col("h"))
+    return same.unionByName(hashed.select("file_key", "last_modified", "file_size", F.col("h").alias("content_hash")))
+
+
+def parse_modules(files: DataFrame, app_name: str, cache: str | None = None, eager: bool = False) -> dict[str, DataFrame]:
+    """The tables of TABLES. With ``cache`` only files that changed are parsed, unless ``eager``; files that are not among
+    ``files`` keep their place in the cache. Parsed records are written, then read by every table."""
+    spark = files.sparkSession
+    hashed = lambda rows: rows.select("file_key", "last_modified", "file_size", F.sha2("content", 256).alias("content_hash"))
+    state = load_cache(spark, cache) if cache else None
+    if state and not eager:
+        keep = stored(unchanged(files, state[0]), "unchanged")
+        fresh = files.join(keep.select("file_key"), "file_key", "left_anti")
+        rows = stored(state[1].join(keep.select("file_key"), "file_key", "left_semi").unionByName(parsed(fresh)), "parsed")
+        meta = keep.unionByName(hashed(fresh))
+    else:
+        rows, meta = stored(parsed(files), "parsed"), hashed(files)
+    if cache:
+        meta = stored(meta, "meta")
+        save_cache(spark, cache, meta, rows, state)
+    marks = files.select("file_key", "is_target")
+    rows = rows.join(marks, "file_key")
     out = {}
     for record, ddl in TABLES.items():
-        one = rows.where(F.col("record") == record).select("file_key", "is_target", F.from_json("payload", ddl).alias("p")).select(F.lit(app_name).alias("app_name"), "file_key", "is_target", "p.*")
-        out[record] = one
+        out[record] = rows.where(F.col("record") == record).select("file_key", "is_target", F.from_json("payload", ddl).alias("p")).select(F.lit(app_name).alias("app_name"), "file_key", "is_target", "p.*")
     out["module"] = out["module"].join(meta, "file_key")
     return out
 
 
+def save_cache(spark: SparkSession, path: str, meta: DataFrame, rows: DataFrame, state: tuple[DataFrame, DataFrame] | None) -> None:
+    """Writes the next cache beside the last; a pointer file is replaced at the end. A failure is logged, not raised."""
+    try:
+        if state:
+            gone = [old.join(meta.select("file_key"), "file_key", "left_anti") for old in state]
+            meta, rows = meta.unionByName(gone[0].select(meta.columns)), rows.unionByName(gone[1].select(rows.columns))
+        name = f"c{uuid.uuid4().hex}"
+        meta.write.parquet(f"{path}/{name}/meta")
+        rows.write.parquet(f"{path}/{name}/parsed")
+        for text, where in ((CACHE_VERSION, "version"), (name, "current")):
+            spark.createDataFrame([(text,)], "v string").coalesce(1).write.mode("overwrite").text(f"{path}/{where}")
+    except Exception as error:
+        LOG.warning("the cache was not written: %s", error)
+
+
 def declared_packages(spark: SparkSession, manifest: str) -> DataFrame:
     """(package) that a package manifest declares; a manifest that is missing or broken declares none."""
     kinds = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]

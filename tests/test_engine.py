@@ -6,11 +6,13 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.plans import contract
+from callweave.__main__ import main, options
+from callweave.plans import contract, providers
 from callweave.plans.engine import Options, analyze
 from callweave.plans.project import check_conformance
-from callweave.plans.providers import compare
-from callweave.sources import sinks
+from callweave.plans.providers import Context, FlowProvider, choose, compare
+from callweave.sources import scan, sinks
+from callweave.streaming.watch import watch
 from tests.conftest import ROOT
 
 PROJECT = f"{ROOT}/tests/project"
@@ -68,6 +70,82 @@ def test_documents_and_statements(run):
     assert any("MERGE (n:Symbol {signature: r.k}) SET n += r.p SET n:Callable;" in s for s in text)
 
 
+def test_cache_reuses_what_did_not_change(spark, tmp_path, monkeypatch):
+    shutil.copytree(PROJECT, tmp_path / "demo")
+    seen = []
+    monkeypatch.setattr(scan, "parsed", lambda files, f=scan.parsed: seen.append(sorted(r[0] for r in files.select("file_key").collect())) or f(files))
+    tables = lambda **more: scan.parse_modules(scan.scan_sources(spark, str(tmp_path / "demo")), "demo", str(tmp_path / "cache"), **more)
+    rows = lambda t: sorted(str(r) for r in t["callable"].collect())
+    first = rows(tables())
+    assert rows(tables()) == first and rows(tables(eager=True)) == first
+    words = tmp_path / "demo/src/words.ts"
+    words.touch()
+    (tmp_path / "demo/src/more.ts").write_text("export function more() { return 1; }")
+    assert len(rows(tables())) == len(first) + 1
+    assert [len(x) for x in seen] == [6, 0, 6, 1] and seen[3] == ["src/more.ts"]
+    spark.createDataFrame([("0",)], "v string").write.mode("overwrite").text(str(tmp_path / "cache/version"))
+    assert scan.load_cache(spark, str(tmp_path / "cache")) is None
+
+
+def test_targets_alone_make_nodes(spark, run):
+    root = str(run[1] / "demo")
+    a = analyze(spark, Options(root, targets=["src/words.ts", "src/none.ts"], provider="tsc", emit="neo4j"))
+    assert {r.value for r in a.nodes.where("labels[0] = 'Module'").collect()} == {"src/words.ts"}
+    assert {r.source.split(".")[0] for r in a.graph.edges.collect()} <= {"src/words"}
+
+
+def test_flow_results(spark, run, monkeypatch):
+    """Functions are found by their places, the border to libraries is kept, what lies beyond it is dropped."""
+    a, root = run
+    at = {r.signature: f"{r.start_line}:{r.start_column}:{r.end_line}:{r.end_column}" for r in a.tables["callable"].where("not is_implicit").collect()}
+    flow = {
+        "files": ["src/canvas.ts", "src/words.ts", "node_modules/@x/lib/deep/a.js", "node_modules/b/i.js"],
+        "functions": {"0": f"0:{at['src/canvas.render']}", "1": f"1:{at['src/words.Words.plain']}", "2": "2:3:4:9:1", "3": "3:1:1:2:1", "4": "9:1:1:1:1", "5": "1:900:1:901:1"},
+        "fun2fun": [[0, 1], [0, 1], [0, 2], [2, 1], [2, 3], [0, 4], [5, 1]], "call2fun": [], "calls": {},
+    }
+    (root / "flow.json").write_text(json.dumps(flow))
+    monkeypatch.setattr(providers, "resolve_calls", lambda *more: a.graph.resolved)
+    g = FlowProvider().build(Context(spark, a.tables, True, str(root / "flow.json")))
+    got = {(r.source, r.target): (r.weight, r.tags.get("ts.external")) for r in g.edges.collect()}
+    assert got == {
+        ("src/canvas.render", "src/words.Words.plain"): (2, None), ("src/canvas.render", "@x/lib:deep/a.js:<3:4>"): (1, "true"), ("@x/lib:deep/a.js:<3:4>", "src/words.Words.plain"): (1, "true"), ("src/words:<900:1>", "src/words.Words.plain"): (1, None),
+    }
+    assert [(r.signature, r.module) for r in g.external.collect()] == [("@x/lib:deep/a.js:<3:4>", "@x/lib")]
+    assert [(r.signature, r.start_line) for r in g.synthesized.collect()] == [("src/words:<900:1>", 900)]
+    both = choose("union").build(Context(spark, a.tables, True, str(root / "flow.json")))
+    assert both.edges.count() == 32 + 4
+    assert choose("anything").build(Context(spark, a.tables, True, str(root / "missing.json"))).edges.count() == 32
+
+
+def test_packages(spark, tmp_path):
+    (tmp_path / "package.json").write_text(json.dumps({"dependencies": {"a": "1", "@s/b": "2"}, "devDependencies": {"c": "3"}}))
+    declared = scan.declared_packages(spark, str(tmp_path / "package.json"))
+    paths = spark.createDataFrame([("node_modules/a/i.js",), ("node_modules/@s/b/i.js",), ("node_modules/@s/d/i.js",), ("node_modules/.bin/x",), ("node_modules/e/i.js",)], "path string")
+    assert {r[0] for r in scan.excluded_packages(scan.installed_packages(paths), declared).collect()} == {"@s/d", "e"}
+    assert scan.declared_packages(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_a_stream_of_files_keeps_the_snapshot_current(spark, tmp_path):
+    (tmp_path / "demo/src").mkdir(parents=True)
+    shutil.copy(f"{PROJECT}/src/words.ts", tmp_path / "demo/src/words.ts")
+    given = Options(str(tmp_path / "demo"), provider="tsc", snapshot=str(tmp_path / "snapshot"))
+    modules = lambda: sinks.load_snapshot(spark, str(tmp_path / "snapshot"))[0].where("labels[0] = 'Module'").count()
+    watch(spark, given, str(tmp_path / "checkpoint")).awaitTermination()
+    assert modules() == 1
+    (tmp_path / "demo/src/more.ts").write_text("export function more() { return 1; }")
+    watch(spark, given, str(tmp_path / "checkpoint")).awaitTermination()
+    assert modules() == 2
+
+
+def test_options():
+    got = options(["-i", "x/y", "-t", "a.ts", "b.ts", "--include-tests", "--tsc-only", "--call-graph-provider", "jelly", "--no-phantoms", "-vv"])
+    assert (got.name, got.targets, got.skip_tests, got.provider, got.phantoms) == ("y", ["a.ts", "b.ts"], False, "tsc", False)
+    assert options(["-i", "x", "--call-graph-provider", "odd"]).provider == "union"
+    with pytest.raises(SystemExit):
+        options([])
+    assert main(["--emit", "schema"]) == 0
+
+
 def test_incremental(spark, run):
     a, root = run
     path = str(root / "snapshot")
