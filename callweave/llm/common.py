@@ -29,10 +29,10 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -96,6 +96,8 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 60) ->
         small.write.parquet(after)
         delete_path(spark, path)
         path = after
+    else:
+        raise RuntimeError(f"{label}: components are not found after {rounds} rounds")
     stars = spark.read.parquet(path)
     nodes = stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     return nodes.union(stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -5,11 +5,12 @@ is at most the size of the sets' symmetric difference, and a similarity of ``num
 (a + b)(den - num)/(den + num). Three steps use this:
 
 1. Texts with equal sets are one class, represented by its smallest id.
-2. Sets are grouped in bands of sizes; a set also joins the next band if a partner could be there. A band's largest sets
-   bound the difference by t, so the sketch is cut into t + 1 + 2s blocks, of which linked sets agree in 2s + 1 at least.
-   A block's value is the XOR of its shingles' hashes. Every set leaves out those s of its blocks that most sets share
-   (empty ones, and passages that very many texts repeat), so linked sets still meet in one block. Sets that meet are
-   compared by a second sketch of 256 bits, in square tiles of bounded size, and grouped into clusters.
+2. Sets are grouped in bands of sizes; a set also joins the next band if a partner could be there. The sketch is cut into
+   as many blocks as a band's largest sets need; a block's value is the XOR of its shingles' hashes. A set's size bounds
+   its difference from any partner by t, so that of the blocks, put in one order for all sets (empty ones last), the first
+   t + 1 + 2s of two linked sets have 2s + 1 in common at least: these are its keys. Every set leaves out those s of them
+   that most sets share (empty ones, and passages that very many texts repeat), so linked sets still meet in one. Sets
+   that meet are compared by a second sketch of 256 bits, in square tiles of bounded size, and grouped into clusters.
 3. Inside each cluster, again in tiles, sets that are not yet connected and whose sketches allow it are compared exactly.
    Links that hold make the components.
 
@@ -35,13 +36,17 @@ from pyspark.sql.window import Window
 
 from callweave.llm.common import components, rows_to_batches, sorted_groups, written
 
-GROWTH = 1.5  # of the bands' sizes
+GROWTH = 2.5  # of the bands' sizes
+SKIPPED = 14  # a band's sets leave out one key, and one for so many by which its largest may differ
+KEY_BITS = np.uint64((1 << 48) - 1)  # of a key; keys that are equal by chance only make candidates
 TILE = 768
 TILE_SHINGLES = 400_000
 WORDS_KEPT = 400_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
-SIGNED = "doc_id long, n int, h1 long, h2 long, s array<long>, own array<long>, own_skip int, up array<long>, up_skip int"
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("s", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("own_skip", pa.int32()), ("up", pa.list_(pa.int64())), ("up_skip", pa.int32())])
+COUNTED = "doc_id long, n int, h1 long, h2 long"
+_COUNTED = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+SIGNED = "id long, n int, s array<long>, own array<long>, own_skip int, up array<long>, up_skip int"
+_SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("s", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("own_skip", pa.int32()), ("up", pa.list_(pa.int64())), ("up_skip", pa.int32())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _HASHES: dict[bytes, int] = {}
 
@@ -86,18 +91,26 @@ def band_end(b: int) -> int:
     return int(np.ceil(GROWTH ** (b + 1) * (1 + 1e-9)))
 
 
+def most_apart(a: int, b: int, num: int, den: int) -> int:
+    """The largest symmetric difference of linked sets of sizes ``a`` and ``b``."""
+    return (a + b) * (den - num) // (den + num)
+
+
 def blocks(codes: np.ndarray, b: int, num: int, den: int) -> tuple[np.ndarray, int]:
-    """The keys of a set's blocks in band ``b``, and how many of them it leaves out."""
-    t = 2 * band_end(b) * (den - num) // (den + num)
+    """The keys of a set in band ``b``, and how many of them it leaves out."""
+    end, n = band_end(b), len(codes)
+    t = most_apart(n, min(end, n * den // num), num, den)
     if t == 0:
         return np.zeros(0, np.int64), 0
-    skip = 1 + t // 8
-    count = t + 1 + 2 * skip
+    most = most_apart(end, end, num, den)
+    skip = 1 + most // SKIPPED
+    count = most + 1 + 2 * skip
     where = ((codes >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
     values = np.zeros(count, np.uint64)
     np.bitwise_xor.at(values, where, codes)
-    keys = mixed(mixed(values + np.uint64(1)) + np.arange(count, dtype=np.uint64) * M3 + np.uint64(b) * M1)
-    return keys.view(np.int64), skip
+    places = np.arange(count, dtype=np.uint64) * M3 + np.full(count, b, np.uint64) * M1
+    keys = mixed(mixed(values + np.uint64(1)) + places) & KEY_BITS
+    return keys[np.lexsort((keys, values == 0))[: t + 1 + 2 * skip]].view(np.int64), skip
 
 
 def sketch(codes: np.ndarray) -> np.ndarray:
@@ -106,24 +119,39 @@ def sketch(codes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
-def signed(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """For each text the size and hash of its set, its sketch, and the keys of its blocks in its band and the next."""
+def counted(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """For each text the size and hash of its set."""
 
     def row(doc: int | None, text: str | None) -> tuple:
         codes = shingle_hashes(text, k) if text else np.zeros(0, np.uint64)
+        return doc, len(codes), *set_hash(codes)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows_to_batches((row(d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), _COUNTED)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, COUNTED)
+
+
+def set_hash(codes: np.ndarray) -> tuple[int, int]:
+    with np.errstate(over="ignore"):
+        return int(codes.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(codes * M3).view(np.int64))
+
+
+def signed(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """For each text with words the size of its set, its sketch, and its keys in its band and the next."""
+
+    def row(doc: int, codes: np.ndarray) -> tuple:
         n = len(codes)
-        if n == 0:
-            return doc, 0, 0, 0, [], [], 0, [], 0
         own, own_skip = blocks(codes, band(n), num, den)
         above = band(n * den // num)
         up, up_skip = blocks(codes, above, num, den) if above != band(n) else ([], 0)
-        with np.errstate(over="ignore"):
-            return doc, n, int(codes.sum().view(np.int64)), int(np.bitwise_xor.reduce(codes * M3).view(np.int64)), sketch(codes), own, own_skip, up, up_skip
+        return doc, n, sketch(codes), own, own_skip, up, up_skip
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from rows_to_batches((row(d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), _SIGNED, 1024)
+        sets = ((d, shingle_hashes(t, k)) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t)
+        yield from rows_to_batches((row(d, codes) for d, codes in sets if len(codes)), _SIGNED, 1024)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, SIGNED)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").mapInArrow(task, SIGNED)
 
 
 def may_link(sketches: np.ndarray, sizes: np.ndarray, x: slice, y: slice, num: int, den: int) -> np.ndarray:
@@ -220,20 +248,21 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
 
     Documents link when den * (size of the intersection) >= num * (size of the union) of their sets of k-word shingles.
     """
-    sets = written(signed(docs, k, num, den, id_col, text_col), "sets")
+    sets = written(counted(docs, k, id_col, text_col), "sets")
     some = sets.where("n > 0 and doc_id is not null")
     classes = some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = written(reps.select(F.col("doc_id").alias("id"), "n", "s", "own", "own_skip", "up", "up_skip"), "representatives")
+    reps = signed(docs, k, num, den, id_col, text_col).join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    reps = written(reps, "representatives", compression="zstd")
 
     def keys(column: str, up: bool) -> DataFrame:
-        return reps.select(F.explode(column).alias("key"), "id", F.lit(up).alias("up"), F.col(f"{column}_skip").alias("skip"))
+        return reps.select("id", F.explode(column).alias("key"), F.lit(up).alias("up"))
 
     rows = keys("own", False).unionByName(keys("up", True))
     shared = rows.groupBy("key").agg(F.count("*").alias("count")).where("count > 1")
     order = Window.partitionBy("id", "up").orderBy(F.desc("count"), "key")
-    met = rows.join(shared, "key").withColumn("rank", F.row_number().over(order)).where("rank > skip").select("key", "id", "count")
-    met = met.join(reps.select("id", "n", "s"), "id").withColumn("tiles", F.ceil(F.col("count") / TILE))
+    skip = F.when(F.col("up"), F.col("up_skip")).otherwise(F.col("own_skip"))
+    met = rows.join(shared, "key").join(reps.select("id", "n", "s", "own_skip", "up_skip"), "id")
+    met = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") > skip).select("key", "id", "n", "s", "count").withColumn("tiles", F.ceil(F.col("count") / TILE))
     clusters = components(meet(tiled(met, "tiles"), num, den), "clusters")
     clusters = written(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(reps.select("id", "n"), "id"), "clusters")
     size = clusters.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
