@@ -139,6 +139,7 @@ def rows_to_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096)
             held = []
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+    pa.default_memory_pool().release_unused()  # the worker lives on, for tasks of other stages
 
 
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

@@ -41,14 +41,13 @@ SKIPPED = 14  # a band's sets leave out one key, and one for so many by which it
 KEY_BITS = np.uint64((1 << 48) - 1)  # of a key; keys that are equal by chance only make candidates
 TILE = 768
 TILE_SHINGLES = 400_000
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000  # hashes of words that a task remembers
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 COUNTED = "doc_id long, n int, h1 long, h2 long"
 _COUNTED = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 SIGNED = "id long, n int, s array<long>, own array<long>, own_skip int, up array<long>, up_skip int"
 _SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("s", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("own_skip", pa.int32()), ("up", pa.list_(pa.int64())), ("up_skip", pa.int32())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_HASHES: dict[bytes, int] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -56,21 +55,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_hashes(text: str, k: int) -> np.ndarray:
-    """The sorted, distinct hashes of a text's shingles."""
+def shingle_hashes(text: str, k: int, kept: dict[bytes, int]) -> np.ndarray:
+    """The sorted, distinct hashes of a text's shingles; ``kept`` remembers hashes of words, up to a bound."""
     import xxhash
 
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_HASHES) > WORDS_KEPT:
-        _HASHES.clear()
-    get, one = _HASHES.get, xxhash.xxh64_intdigest
+    if len(kept) > WORDS_KEPT:
+        kept.clear()
+    get, one = kept.get, xxhash.xxh64_intdigest
     hashes = []
     for w in words:
         h = get(w)
         if h is None:
-            h = _HASHES[w] = one(w)
+            h = kept[w] = one(w)
         hashes.append(h)
     x = np.array(hashes, np.uint64)
     size = min(k, len(words))
@@ -122,12 +121,13 @@ def sketch(codes: np.ndarray) -> np.ndarray:
 def counted(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """For each text the size and hash of its set."""
 
-    def row(doc: int | None, text: str | None) -> tuple:
-        codes = shingle_hashes(text, k) if text else np.zeros(0, np.uint64)
+    def row(doc: int | None, text: str | None, kept: dict) -> tuple:
+        codes = shingle_hashes(text, k, kept) if text else np.zeros(0, np.uint64)
         return doc, len(codes), *set_hash(codes)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from rows_to_batches((row(d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), _COUNTED)
+        kept: dict[bytes, int] = {}
+        yield from rows_to_batches((row(d, t, kept) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), _COUNTED)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, COUNTED)
 
@@ -148,7 +148,8 @@ def signed(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: s
         return doc, n, sketch(codes), own, own_skip, up, up_skip
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = ((d, shingle_hashes(t, k)) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t)
+        kept: dict[bytes, int] = {}
+        sets = ((d, shingle_hashes(t, k, kept)) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t)
         yield from rows_to_batches((row(d, codes) for d, codes in sets if len(codes)), _SIGNED, 1024)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").mapInArrow(task, SIGNED)
@@ -210,10 +211,10 @@ def verify(groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Forests of the sets of a cluster that do link. Rows: cluster, ti, tj, part, id, text."""
     from callweave.llm.common import Forest
 
-    def links(group: pa.Table) -> Iterator[tuple[int, int]]:
+    def links(group: pa.Table, kept: dict[bytes, int]) -> Iterator[tuple[int, int]]:
         ids, parts = group.column("id").to_pylist(), group.column("part").to_numpy()
         across = group.column("ti")[0].as_py() != group.column("tj")[0].as_py()
-        sets = [shingle_hashes(t, k) for t in group.column("text").to_pylist()]
+        sets = [shingle_hashes(t, k, kept) for t in group.column("text").to_pylist()]
         sizes = np.array([len(s) for s in sets], np.int64)
         sketches = np.array([sketch(s) for s in sets]).view(np.uint64)
         codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
@@ -237,7 +238,8 @@ def verify(groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
             mark[codes[x]] = False
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from rows_to_batches((e for g in sorted_groups(batches, ["cluster", "ti", "tj"]) if len(g) > 1 for e in links(g)), _EDGE)
+        kept: dict[bytes, int] = {}
+        yield from rows_to_batches((e for g in sorted_groups(batches, ["cluster", "ti", "tj"]) if len(g) > 1 for e in links(g, kept)), _EDGE)
 
     columns = ["cluster", "ti", "tj", "part", "id", "text"]
     return groups.select(columns).repartition("cluster", "ti", "tj").sortWithinPartitions("cluster", "ti", "tj").mapInArrow(task, "a long, b long")

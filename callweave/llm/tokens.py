@@ -17,7 +17,7 @@ from __future__ import annotations
 import os
 from array import array
 
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 150_000
 LATIN_END = "ɏ"  # letters up to here are their own normal form, and lower case goes letter by letter
 DOTTED_I = "İ"
 SPACE = chr(288)  # how byte-level vocabularies spell a space
