@@ -7,7 +7,8 @@ same in the shared folder.
 * language: learns from the labelled documents; a document whose text is null or has no letter is rejected. A predicted
   language replaces a missing label.
 * near_duplicates: documents link at a Jaccard similarity of 0.8 of their five-word shingles; of each group of linked
-  documents the one with the smallest id stays. Documents without words, or without an id, stay.
+  documents the one with the smallest id stays. Documents without words, or without an id, stay; rows that share an id are
+  one document: they stay or go together.
 * decontamination: documents with a window that reaches similarity 0.8 with a benchmark item go.
 * personal_data: every span found is replaced by its kind in angle brackets; ``n_chars`` follows the text.
 * packing: the documents' ids in sequences of at most 1024.

@@ -91,6 +91,8 @@ def weighted_windows(text, item, least):
         return None
     bag = lambda x: Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4))
     want, best = bag(w), None
+    if not want.keys() & bag(t).keys():
+        return None
     for start in range(max(1, len(t) - len(w) + 1)):
         have = bag(t[start : start + len(w)])
         both, either = sum((want & have).values()), sum((want | have).values())
