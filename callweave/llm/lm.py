@@ -2,18 +2,28 @@
 
 Tokens are words (runs of characters other than ASCII white space, A-Z lower-cased) and one end for each text.
 
-Vocabulary: the ``own`` most frequent tokens are outputs of their own; all others share ``buckets`` outputs by their last two
-bytes. A token of a bucket gets its share of the bucket, with counts raised by 0.1 and one such share for all unseen tokens,
-so that the probabilities of all tokens after a context sum to one.
+Outputs: the ``own`` most frequent tokens are outputs of their own; all others share ``buckets`` outputs by their last two
+bytes. A token of a bucket has a share of it: its count raised by 0.1, and one such share for all unseen tokens.
+
+Vocabulary: every token that occurs ``LEAST`` times or more in the training texts is modelled, however many there are. One of
+a bucket has a vector of its own as a context and one as a word, so that with o(x) for the output of x
+
+    P(w | h) = P(o(w) | h) P(w | o(w), o(h)),  P(o | h) ~ exp((u_o(h) + t_h) q_o + b_o),  P(w | o, c) ~ share(w) exp(u_c v_w + a_w)
+
+where u is r C of the outputs' model, and t, v and a are zero for tokens that are not modelled. Both factors are normalised
+exactly, the first over all outputs, the second over all tokens of the bucket, so that the probabilities of all tokens after
+a context sum to one. What remains bounded: a context is the one token before, and v_w meets it by its output.
 
 Training: Spark counts tokens, then pairs of an output and the one before it (the end stands before the first), over all
 training texts; tasks add up matrices of a fixed size, which are summed by key. The model scores output w after h as
 r_h C q_w + b_w. Because it sees h alone, the noise-contrastive loss over all tokens, with ``noise`` noise tokens to each in
 expectation, is a function of those counts, and numpy minimises it without sampling. The counts that reach the driver are
-bounded by the vocabulary squared. One batched matrix product and a row-wise normalisation give all log-probabilities.
+bounded by the outputs squared. The modelled tokens' counts stay in Spark: a sparse table of (token, role, output, n). With
+the outputs fixed, the same loss falls apart into one convex problem for each token and role, which tasks solve in blocks of
+tokens with a prior that holds vectors of little evidence near zero. The vectors are a table that grows with the tokens.
 
-Scoring: a bounded table of the most frequent tokens is sent to the tasks; rarer tokens are joined with their counts by a
-shuffle and summed by text.
+Scoring: a bounded table of the most frequent tokens, with their vectors, is sent to the tasks; rarer tokens are joined with
+their counts and vectors by a shuffle and summed by text.
 
 Nulls and ties: a null text is empty (its end alone); rows with a null id are held out; repeated rows are separate
 rows; equally frequent tokens are ordered by their bytes; with no training text at all, counts are zero and every output is
@@ -40,10 +50,16 @@ OWN, BUCKETS = 768, 256
 SENT = 300_000
 HELD = 400_000
 WIDTH, STEPS, NOISE = 32, 200, 10.0
+LEAST, BLOCK, FITS, PRIOR = 64, 256, 30, 2.0
 _COUNT = pa.schema([("token", pa.binary()), ("n", pa.int64())])
 _PAIR = pa.schema([("before", pa.int32()), ("after", pa.int32()), ("n", pa.int64())])
 _SHARE = pa.schema([("bucket", pa.int32()), ("mass", pa.int64()), ("tokens", pa.int64())])
-_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())])))])
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.struct([("token", pa.binary()), ("role", pa.int32()), ("other", pa.int32()), ("n", pa.int32())])))])
+_SPARSE = pa.schema([("entity", pa.int32()), ("token", pa.binary()), ("role", pa.int32()), ("others", pa.list_(pa.int32())), ("many", pa.list_(pa.int32()))])
+_VECTORS = pa.schema([("entity", pa.int32()), ("token", pa.binary()), ("share", pa.float64()), ("output", pa.int32()), ("context", pa.binary()), ("norm", pa.float64()), ("word", pa.binary())])
+_NORM = pa.schema([("bucket", pa.int32()), ("before", pa.int32()), ("x", pa.float64())])
+#: What a modelled token is counted as: what comes after it, or what it comes after.
+CONTEXT, WORD = 0, 1
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -169,6 +185,12 @@ def pair_counts(texts: DataFrame, vocab: Vocabulary) -> np.ndarray:
 
 def train(pairs: np.ndarray, width: int = WIDTH, steps: int = STEPS, noise: float = NOISE, seed: int = 2) -> np.ndarray:
     """Natural log-probabilities of each output after each output, from a log-bilinear model fitted to ``pairs``."""
+    context, q, b, _ = parameters(pairs, width, steps, noise, seed)
+    return normalised(context @ q.T + b)
+
+
+def parameters(pairs: np.ndarray, width: int = WIDTH, steps: int = STEPS, noise: float = NOISE, seed: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """u = r C and q of each output, b, and the logarithm of the expected noise."""
     size = len(pairs)
     random = np.random.default_rng(seed)
     total = max(1.0, pairs.sum())
@@ -193,7 +215,183 @@ def train(pairs: np.ndarray, width: int = WIDTH, steps: int = STEPS, noise: floa
             mean[k] = 0.9 * mean[k] + 0.1 * g
             square[k] = 0.99 * square[k] + 0.01 * g * g
             p[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-9)
-    return normalised(p["r"] @ p["c"] @ p["q"].T + p["b"])
+    return p["r"] @ p["c"], p["q"], p["b"], log_noise
+
+
+@dataclass
+class Outputs:
+    """The outputs' model, and what the modelled tokens' loss needs beside their own counts."""
+
+    context: np.ndarray
+    q: np.ndarray
+    b: np.ndarray
+    log_noise: np.ndarray
+    into: np.ndarray  # how often each bucket follows each output
+    mass: np.ndarray
+
+    def after(self) -> np.ndarray:
+        """The features of a word: u of the output before it, and one."""
+        return np.hstack([self.context, np.ones((len(self.context), 1), np.float32)])
+
+
+def modelled(vocab: Vocabulary) -> np.ndarray:
+    """For each token sent its number among those that get vectors of their own, or -1."""
+    own = (vocab.outputs >= OWN) & (vocab.counts >= LEAST)
+    return np.where(own, np.cumsum(own) - 1, -1).astype(np.int32)
+
+
+def sparse_counts(texts: DataFrame, counts: DataFrame, vocab: Vocabulary, numbers: np.ndarray, more: bool) -> DataFrame:
+    """(entity, token, role, others, many, c): how often each modelled token stands before and after each output, in parts.
+
+    A token sent is named by its number, another one (only if there are ``more``) by its bytes, with its count c."""
+    size = OWN + BUCKETS
+    sent = texts.sparkSession.sparkContext.broadcast((vocab.words, vocab.outputs, numbers))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, outputs, numbers = sent.value
+        places = {w: k for k, w in enumerate(words)}
+        numbers = np.append(numbers, -1)  # of place -1
+        end_at, end = (a[0] for a in output_ids([END], places, outputs))
+        held: list[np.ndarray] = []
+        rare: Counter = Counter()
+        many = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+            key = found // size
+            cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64), len(key))
+            for k in range(0, len(cuts) - 1, 10_000):
+                ends = cuts[k : k + 10_001]
+                a, b = ends[0], ends[-1]
+                offsets, of = pa.array((ends - a).astype(np.int32)), key[ends[:-1]]
+                others, times = (pa.ListArray.from_arrays(offsets, pa.array(x[a:b].astype(np.int32))) for x in (found % size, n))
+                yield pa.RecordBatch.from_arrays([pa.array((of // 2).astype(np.int32)), pa.nulls(len(of), pa.binary()), pa.array((of % 2).astype(np.int32)), others, times], schema=_SPARSE)
+            yield from rows_to_batches(((-1, w, role, [o], [n]) for (w, role, o), n in rare.items()), _SPARSE)
+            held.clear()
+            rare.clear()
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = tokens(text)
+                at, ids = output_ids(found, places, outputs)
+                before = np.append(end, ids[:-1]).astype(np.int64)
+                number = numbers[at].astype(np.int64)
+                above = np.append(numbers[end_at], number[:-1]).astype(np.int64)
+                held.append((number * 2 + WORD)[number >= 0] * size + before[number >= 0])
+                held.append((above * 2 + CONTEXT)[above >= 0] * size + ids[above >= 0])
+                if more:
+                    rare.update(around(found, at, ids, before, int(end_at)))
+                many += len(ids)
+                if many > 2_000_000 or len(rare) > HELD:
+                    yield from flush()
+                    many = 0
+        yield from flush()
+
+    parts = texts.mapInArrow(task, "entity int, token binary, role int, others array<int>, many array<int>")
+    if not more:
+        return parts.withColumn("c", F.lit(None).cast("long"))
+    parts = written(parts, "sparse-counts")
+    rest = parts.where("entity < 0").join(counts.where(F.col("n") >= LEAST).select("token", F.col("n").alias("c")), "token")
+    return parts.where("entity >= 0").withColumn("c", F.lit(None).cast("long")).unionByName(rest)
+
+
+def around(found: list[bytes], at: np.ndarray, ids: np.ndarray, before: np.ndarray, end_at: int) -> Iterator[tuple[bytes, int, int]]:
+    """(token, role, output) for each place of a token that is not sent."""
+    for k in np.flatnonzero(at < 0).tolist():
+        yield found[k], WORD, int(before[k])
+        if k + 1 < len(found):
+            yield found[k], CONTEXT, int(ids[k + 1])
+    if end_at < 0:
+        yield END, CONTEXT, int(ids[0])
+
+
+def fitted(seen: np.ndarray, expected: np.ndarray, offset: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """For each row the vector t that minimises its noise-contrastive loss, the log-odds being ``offset`` + t ``features``."""
+    t = np.zeros((len(seen), features.shape[1]), np.float32)
+    mean, square = np.zeros_like(t), np.zeros_like(t)
+    scale = 1 / np.maximum(1, seen.sum(1, keepdims=True))
+    both = (seen + expected) * scale
+    seen = seen * scale
+    for step in range(1, FITS + 1):
+        slope = both / (1 + np.exp(-np.clip(offset + t @ features.T, -30, 30))) - seen
+        g = slope @ features + PRIOR * scale * t
+        mean, square = 0.8 * mean + 0.2 * g, 0.95 * square + 0.05 * g * g
+        t -= np.float32(0.2 * (1 - step / (FITS + 1))) * (mean / (1 - 0.8**step)) / (np.sqrt(square / (1 - 0.95**step)) + 1e-7)
+    return t.astype(np.float16)
+
+
+def vectors(parts: DataFrame, vocab: Vocabulary, numbers: np.ndarray, model: Outputs) -> DataFrame:
+    """(entity, token, share, output, context, norm, word): t_h with its normaliser's logarithm, and (v_w, a_w), of each modelled token."""
+    at = np.flatnonzero(numbers >= 0)
+    sent = parts.sparkSession.sparkContext.broadcast((model, vocab.counts[at], vocab.outputs[at]))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, counts, outputs = sent.value
+        size, after = len(model.b), model.after()
+        noise = np.exp(model.log_noise)
+        seen = np.zeros((2, BLOCK, size), np.float32)
+        keys: list[tuple] = []
+
+        def solved() -> Iterator[tuple]:
+            n = len(keys)
+            output = np.array([outputs[e] if e >= 0 else OWN + bucket(w) for e, w, _ in keys])
+            share = np.array([(counts[e] if e >= 0 else c) + 0.1 for e, _, c in keys]) / model.mass[output - OWN]
+            start = model.context[output]
+            as_context = seen[CONTEXT, :n]
+            t = fitted(as_context, as_context.sum(1, keepdims=True) * noise, start @ model.q.T + model.b - model.log_noise, model.q)
+            scores = ((start + t) @ model.q.T + model.b).astype(np.float64)
+            top = scores.max(1)
+            norm = top + np.log(np.exp(scores - top[:, None]).sum(1))
+            expected = (NOISE * share[:, None] * model.into.T[output - OWN]).astype(np.float32)
+            v = fitted(seen[WORD, :n], expected, np.float32(-math.log(NOISE)), after)
+            for k, (e, w, _) in enumerate(keys):
+                yield e, w, float(share[k]), int(output[k]), t[k].tobytes(), float(norm[k]), v[k].tobytes()
+            seen[:] = 0
+            keys.clear()
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                entities, words, roles, counted = (batch.column(k).to_pylist() for k in ("entity", "token", "role", "c"))
+                others, many = batch.column("others"), batch.column("many")
+                cuts, others, many = others.offsets.to_pylist(), others.values.to_numpy(), many.values.to_numpy()
+                for k, key in enumerate(zip(entities, words, counted)):
+                    if not keys or keys[-1] != key:
+                        if len(keys) == BLOCK:
+                            yield from solved()
+                        keys.append(key)
+                    seen[roles[k], len(keys) - 1, others[cuts[k] : cuts[k + 1]]] += many[cuts[k] : cuts[k + 1]]
+            if keys:
+                yield from solved()
+
+        yield from rows_to_batches(rows(), _VECTORS)
+
+    sorted_parts = parts.repartition("entity", "token").sortWithinPartitions("entity", "token")
+    return sorted_parts.mapInArrow(task, "entity int, token binary, share double, output int, context binary, norm double, word binary")
+
+
+def unpacked(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+
+
+def bucket_norms(found: DataFrame, model: Outputs) -> np.ndarray:
+    """For each output before it and each bucket, the logarithm of the sum of share(w) exp(u_c v_w + a_w) over its tokens."""
+    sent = found.sparkSession.sparkContext.broadcast(model.after())
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after = sent.value
+        total = np.zeros((BUCKETS, len(after)))
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                more = np.expm1((unpacked(part.column("word"), after.shape[1]) @ after.T).astype(np.float64)) * part.column("share").to_numpy()[:, None]
+                np.add.at(total, part.column("output").to_numpy() - OWN, more)
+        where = np.argwhere(total)
+        yield from rows_to_batches(((int(b), int(c), float(total[b, c])) for b, c in where), _NORM, 50_000)
+
+    rows = found.select("share", "output", "word").mapInArrow(task, "bucket int, before int, x double").groupBy("bucket", "before").agg(F.sum("x").alias("x")).toArrow()
+    out = np.zeros((len(model.b), BUCKETS))
+    out[rows.column("before").to_numpy(), rows.column("bucket").to_numpy()] = rows.column("x").to_numpy()
+    return np.log1p(out)
 
 
 def normalised(scores: np.ndarray) -> np.ndarray:
@@ -208,34 +406,97 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     training = rows.where("not held_out").select("text")
     counts = written(token_counts(training), "token-counts")
     vocab = vocabulary(counts)
-    table = train(pair_counts(training, vocab)) / math.log(10)
+    pairs = pair_counts(training, vocab)
+    model = Outputs(*parameters(pairs), pairs[:, OWN:].astype(np.float32), vocab.mass)
+    table = normalised(model.context @ model.q.T + model.b) / math.log(10)
+    numbers = modelled(vocab)
+    more = counts.where(F.col("n") >= LEAST).count() > int((vocab.counts >= LEAST).sum())
+    found = written(vectors(sparse_counts(training, counts, vocab, numbers, more), vocab, numbers, model), "vectors")
+    norms = bucket_norms(found, model) / math.log(10)
     log_all = math.log10(vocab.total + 0.1 * (vocab.distinct + 1))
     raised = np.log10(vocab.counts + 0.1)
     inside = np.where(vocab.outputs < OWN, 0.0, raised - np.log10(vocab.mass)[np.maximum(0, vocab.outputs - OWN)])
-    sent = docs.sparkSession.sparkContext.broadcast((vocab.words, vocab.outputs, raised, inside, -np.log10(vocab.mass), table))
+    mine = found.where("entity >= 0").select("entity", "context", "norm", "word").toArrow().sort_by("entity")
+    known = mine.column("entity").to_numpy()
+    index = np.full(int(numbers.max(initial=-1)) + 2, -1, np.int32)  # the last is that of number -1
+    index[known] = np.arange(len(known))
+    vectors_sent = index[numbers], unpacked(mine.column("context"), WIDTH).astype(np.float16), mine.column("norm").to_numpy(), unpacked(mine.column("word"), WIDTH + 1).astype(np.float16)
+    sent = docs.sparkSession.sparkContext.broadcast((vocab.words, vocab.outputs, raised, inside, -np.log10(vocab.mass), table, norms, model, vectors_sent))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, outputs, raised, inside, outside, table = sent.value
+        words, outputs, raised, inside, outside, table, norms, model, (numbers, contexts, norm, word) = sent.value
         places = {w: k for k, w in enumerate(words)}
-        end = int(outputs[places[END]]) if END in places else OWN + bucket(END)
+        numbers = np.append(numbers, -1)  # of place -1
+        end_at, end = (int(a[0]) for a in output_ids([END], places, outputs))
+        after = model.after()
 
         def row(doc: int | None, text: str | None, out: bool) -> tuple:
             found = tokens(text)
             at, ids = output_ids(found, places, outputs)
+            before = np.append(end, ids[:-1]).astype(np.int64)
             common = at[at >= 0]
-            rare = Counter(found[k] for k in np.flatnonzero(at < 0).tolist())
-            model = table[np.concatenate([[end], ids[:-1]]), ids].sum() + inside[common].sum() + outside[ids[at < 0] - OWN].sum()
-            return doc, out, len(found), len(common), float(raised[common].sum()), float(model), [{"token": w, "n": n} for w, n in rare.items()]
+            if more:
+                rare = Counter(around(found, at, ids, before, end_at))
+            else:
+                rare = Counter((found[k], WORD, 0) for k in np.flatnonzero(at < 0).tolist())
+            number = numbers[at]
+            above = np.append(numbers[end_at], number[:-1])
+            model_score = table[before, ids].sum() + inside[common].sum() + outside[ids[at < 0] - OWN].sum() - norms[before, np.maximum(0, ids - OWN)][ids >= OWN].sum()
+            if (k := np.flatnonzero(above >= 0)).size:
+                model_score += context_gain(contexts[above[k]], norm[above[k]], before[k], ids[k], model, table).sum()
+            if (k := np.flatnonzero(number >= 0)).size:
+                model_score += word_gain(word[number[k]], before[k], after).sum()
+            return doc, out, len(found), len(common), float(raised[common].sum()), float(model_score), [{"token": w, "role": role, "other": o, "n": n} for (w, role, o), n in rare.items()]
 
         yield from rows_to_batches((row(*r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), _SCORED, 1024)
 
-    scored = rows.select("doc_id", "text", "held_out").mapInArrow(task, "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<token:binary,n:int>>")
+    scored = rows.select("doc_id", "text", "held_out").mapInArrow(task, "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<token:binary,role:int,other:int,n:int>>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("t")).select("row", "t.token", "t.n").join(counts.withColumnRenamed("n", "c"), "token", "left")
-    sums = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"))
+    rare = scored.select("row", F.explode("rare").alias("t")).select("row", "t.token", "t.role", "t.other", "t.n").join(counts.withColumnRenamed("n", "c"), "token", "left")
+    as_word = F.col("role") == WORD
+    adds = F.when(as_word, F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).otherwise(0.0)
+    rare = rare.withColumn("s", adds).withColumn("k", F.when(as_word & (F.col("c") > 0), F.col("n")).otherwise(0))
+    if more:
+        rare = gains(rare.join(found.where("entity < 0").select("token", "output", "context", "norm", "word"), "token", "left"), model, table)
+    else:
+        rare = rare.select("row", "s", "k", F.lit(0.0).alias("g"))
+    sums = rare.groupBy("row").agg(F.sum("s").alias("s"), F.sum("k").alias("k"), F.sum("g").alias("g"))
     out = scored.drop("rare").join(sums, "row", "left")
-    more = F.coalesce("s", F.lit(0.0))
+    extra = F.coalesce("s", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * log_all).alias("base_score"), (F.col("model") + more).alias("score"),
+        (F.col("base") + extra - F.col("n_tokens") * log_all).alias("base_score"), (F.col("model") + extra + F.coalesce("g", F.lit(0.0))).alias("score"),
     )
+
+
+def context_gain(t: np.ndarray, norm: np.ndarray, before: np.ndarray, after: np.ndarray, model: Outputs, table: np.ndarray) -> np.ndarray:
+    """Decimal log-probabilities of the outputs ``after`` contexts with vectors of their own, less those after the contexts' outputs."""
+    scores = np.einsum("ij,ij->i", model.context[before] + t, model.q[after]) + model.b[after] - norm
+    return scores / math.log(10) - table[before, after]
+
+
+def word_gain(v: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", after[before], v.astype(np.float32)) / math.log(10)
+
+
+def gains(rare: DataFrame, model: Outputs, table: np.ndarray) -> DataFrame:
+    """(row, s, k, g): what their vectors add to the score of tokens that are not sent."""
+    sent = rare.sparkSession.sparkContext.broadcast((model, table))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, table = sent.value
+        after = model.after()
+        for batch in batches:
+            role, other, n = (batch.column(k).to_numpy() for k in ("role", "other", "n"))
+            has = batch.column("context").is_valid().to_numpy(zero_copy_only=False)
+            g = np.zeros(len(role))
+            for kind in (CONTEXT, WORD):
+                if (k := np.flatnonzero(has & (role == kind))).size:
+                    part = batch.take(pa.array(k))
+                    if kind == CONTEXT:
+                        g[k] = n[k] * context_gain(unpacked(part.column("context"), WIDTH), part.column("norm").to_numpy(), part.column("output").to_numpy(), other[k], model, table)
+                    else:
+                        g[k] = n[k] * word_gain(unpacked(part.column("word"), WIDTH + 1), other[k], after)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("s"), batch.column("k"), pa.array(g)], names=["row", "s", "k", "g"])
+
+    return rare.select("row", "s", "k", "role", "other", "n", "output", "context", "norm", "word").mapInArrow(task, "row long, s double, k int, g double")

@@ -184,3 +184,24 @@ def test_model_normalises_and_beats_the_base(spark):
     assert np.allclose(np.exp(lm.train(pairs, steps=50)).sum(1), 1)
     rows = [r for r in queries.op2_lm_scoring(spark, DATA.replace("0.001", "0.01")).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_rare_tokens_learn_vectors_of_their_own(spark, monkeypatch):
+    """Words of one bucket, rarer than all that have an output of their own: each comes before one common word and after another."""
+    from pyspark.sql import functions as F
+
+    chosen = random.Random(18)
+    common, n = [f"c{k}" for k in range(lm.OWN + 30)], 8
+    triples = [(f"c{2 * k}", f"rare{k}xx", f"c{2 * k + 1}") for k in range(n)]
+    texts = [" ".join(chosen.choices(common, k=300)) for _ in range(600)]
+    texts += [" ".join(w for _ in range(20) for w in (*chosen.choices(common, k=2), *chosen.choice(triples))) for _ in range(40)]
+    texts += [f"{triples[i][0]} {triples[j][1]} {triples[k][2]}" for i in range(n) for j in range(n) for k in range(n)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm.score(table, F.col("doc_id") >= 640).collect()}
+    score = np.array([got[k] for k in range(640, len(texts))]).reshape(n, n, n)
+    mine = np.array([score[j, j, j] for j in range(n)])
+    assert all(score[j, j].argmax() == j and score[:, j, j].argmax() == j for j in range(n)), (score[0, 0], score[:, 0, 0])
+    assert all(mine[j] > max(score[i, j, k] for i in range(n) for k in range(n) if i != j and k != j) + 1 for j in range(n))
+    monkeypatch.setattr(lm, "SENT", lm.OWN + 31)  # so that they are looked up by a join
+    again = {r.doc_id: r.score for r in lm.score(table, F.col("doc_id") >= 640).collect()}
+    assert all(math.isclose(again[i], got[i], rel_tol=1e-4) for i in got)
