@@ -7,10 +7,11 @@ over equal bins of the alphabet, the number of runs above and below the alphabet
 neighbours. Fisher's method combines them; the result is kept as a tenth of its negative decimal logarithm (0: random).
 
 ``thresholds`` controls the share of false discoveries for each band of lengths. How often ordinary text of that length
-passes for random is told by runs of letters alone, in one case or with one capital in front, and by one stretch of each
-text's own letters, written together, whose length and place its hash names. A band's threshold is the most lenient one
-at which that rate, times the band's candidates, is at most ``rate`` times the candidates found. A short string must thus look better than a long one, and a band without enough evidence finds
-nothing. Only a table of bands by values, of a fixed size, reaches the driver.
+passes for random is told by runs of letters alone, in one case or with one capital in front, and for each band by all
+letters between the candidates of every text, written together and cut into stretches of the band's least length. A band's
+threshold is the most lenient one at which that rate, times the band's candidates, is at most ``rate`` times the candidates
+found. A short string must thus look better than a long one, and a band without enough evidence finds nothing. The stretches
+are counted by band and value, and only a table of bands by values, of a fixed size, reaches the driver.
 
 Nulls and ties: a null text counts as empty; a null id is kept; repeated rows are separate rows; an empty table gives an
 empty result. Spans are in code points, ends excluded, ordered by start, then by kind. Other columns are left out.
@@ -21,9 +22,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,8 @@ PLACES = {name: {c: k for k, c in enumerate(a)} for name, a in ALPHABETS.items()
 BANDS = (20, 24, 32, 48, 64, 128)
 NO_LETTERS = bytes(b for b in range(256) if not chr(b).isalpha() or b > 127)
 WORST = 60
-SCANNED = "doc_id long, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,band:int,value:int,encoding:string>>, words array<struct<band:int,value:int>>"
+SCANNED = "doc_id long, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,band:int,value:int,encoding:string>>, words array<struct<band:int,value:int>>, plain array<struct<band:int,value:int,n:long>>"
+BLOCK = 1 << 19
 
 
 def chi_squared_tail(x: float, df: int) -> float:
@@ -101,16 +103,66 @@ def band(length: int) -> int:
     return sum(length >= b for b in BANDS) - 1
 
 
-def stretch(text: str) -> str:
-    """Letters of ``text`` without what stands between them: as many as one of the bands asks for, or none if it has fewer."""
-    letters = text.encode("ascii", "ignore").translate(None, NO_LETTERS)
-    place, k = divmod(zlib.crc32(letters), len(BANDS))
-    at = place % max(1, len(letters) - BANDS[k] + 1)
-    return letters[at : at + BANDS[k]].decode() if len(letters) >= BANDS[k] else ""
+#: For letters alone the alphabets that infer() can choose, smallest first, as tables of the places of bytes (-1: not held).
+LETTERS = [(len(ALPHABETS[name]), np.array([PLACES[name].get(chr(b), -1) for b in range(256)], np.int16)) for name in ALPHABETS]
+
+
+def letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("ascii", "ignore").translate(None, NO_LETTERS), np.uint8)
+
+
+def tails(x: np.ndarray) -> np.ndarray:
+    return np.array([math.erfc(v) for v in x.tolist()])
+
+
+def batteries(rows: np.ndarray) -> np.ndarray:
+    """The p-values that battery() gives for ``rows`` of letters of one length."""
+    out, left = np.empty(len(rows)), np.ones(len(rows), bool)
+    n = rows.shape[1]
+    for size, table in LETTERS:
+        at = np.flatnonzero(left)
+        if not len(at):
+            break
+        values = table[rows[at]]
+        fits = (values >= 0).all(1)
+        at, values = at[fits], values[fits]
+        left[at] = False
+        if not len(at):
+            continue
+        bins = max(2, min(size, n // 5))
+        width = np.bincount(np.arange(size) * bins // size, minlength=bins)
+        cells = (np.arange(size) * bins // size)[values] + np.arange(len(at))[:, None] * bins
+        counts = np.bincount(cells.ravel(), minlength=len(at) * bins).reshape(-1, bins)
+        x, df = ((counts - n * width / size) ** 2 / (n * width / size)).sum(1), bins - 1
+        uniform = 0.5 * tails(((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)) / math.sqrt(2))
+        high = values >= size / 2
+        above = high.sum(1)
+        runs = 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+        share = sum(v >= size / 2 for v in range(size)) / size
+        mean, spread = 1 + (n - 1) * 2 * share * (1 - share), math.sqrt((n - 1) * 0.25)
+        alternating = tails(np.where((above == 0) | (above == n), mean - 1, np.abs(runs - mean)) / spread / math.sqrt(2))
+        apart = values - values.mean(1, keepdims=True)
+        variance = (apart * apart).sum(1)
+        serial = np.where(variance > 0, tails(np.abs((apart[:, :-1] * apart[:, 1:]).sum(1) / np.where(variance > 0, variance, 1)) * math.sqrt(n) / math.sqrt(2)), 0.0)
+        joint = -2 * sum(np.log(np.maximum(p, 1e-12)) for p in (uniform, alternating, serial))
+        out[at] = np.exp(-joint / 2) * (1 + joint / 2 + joint * joint / 8)
+    return out
+
 
+def add_stretches(texts: list[np.ndarray], total: np.ndarray) -> None:
+    """Add to ``total``, bands by values, what the stretches of each text's letters give; none crosses two texts."""
+    for k, length in enumerate(BANDS):
+        cut = [t[: len(t) // length * length] for t in texts]
+        rows = np.concatenate(cut).reshape(-1, length) if cut else np.zeros((0, length), np.uint8)
+        for a in range(0, len(rows), BLOCK // length):
+            p = batteries(rows[a : a + BLOCK // length])
+            found = np.minimum(WORST, (-10 * np.log10(np.maximum(p, 1e-12))).astype(int))
+            total[k] += np.bincount(found, minlength=WORST + 1)[: WORST + 1]
 
-def scan_text(text: str) -> tuple[list, list, list]:
-    """Base spans (start, kind, end), candidates outside them (start, end, band, value, encoding), words (band, value)."""
+
+def scan_text(text: str) -> tuple[list, list, list, np.ndarray]:
+    """Base spans (start, kind, end), candidates outside them (start, end, band, value, encoding), words (band, value),
+    and the letters between the candidates."""
     base = []
     low = text.lower()
     if any(h in low for h in HINTS):
@@ -129,21 +181,34 @@ def scan_text(text: str) -> tuple[list, list, list]:
             words.append((band(len(token)), value(p)))
         elif not any(a < m.end() and m.start() < b for a, _, b in base):
             found.append((m.start(), m.end(), band(len(token)), value(p), encoding))
-    if plain := stretch("".join(between) + text[last:]):
-        words.append((band(len(plain)), value(battery(plain)[1])))
-    return base, found, words
+    return base, found, words, letters("".join(between) + text[last:])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: its base spans, its candidates with the tests' results, and its ordinary words' results."""
+    """A row for each document: its base spans, its candidates with the tests' results, and its ordinary words' results.
+
+    How often stretches of plain letters have each result is summed by batch, and stands in the batch's first row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [scan_text(t or "") for t in batch.column(1).to_pylist()]
+            if not batch.num_rows:
+                continue
+            rows, held, many, total = [], [], 0, np.zeros((len(BANDS), WORST + 1), np.int64)
+            for text in batch.column(1).to_pylist():
+                *row, plain = scan_text(text or "")
+                rows.append(row)
+                held.append(plain)
+                many += len(plain)
+                if many >= BLOCK:
+                    add_stretches(held, total)
+                    held, many = [], 0
+            add_stretches(held, total)
+            counted = [{"band": int(k), "value": int(v), "n": int(total[k, v])} for k, v in np.argwhere(total)]
+            sums = pa.array([counted, *[[]] * (len(rows) - 1)], pa.list_(pa.struct([("band", pa.int32()), ("value", pa.int32()), ("n", pa.int64())])))
             base = pa.array([[dict(zip(("start", "kind", "end"), s)) for s in r[0]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])))
             found = pa.array([[dict(zip(("start", "end", "band", "value", "encoding"), s)) for s in r[1]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("band", pa.int32()), ("value", pa.int32()), ("encoding", pa.string())])))
             words = pa.array([[dict(zip(("band", "value"), s)) for s in r[2]] for r in rows], pa.list_(pa.struct([("band", pa.int32()), ("value", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), base, found, words], names=["doc_id", "base", "found", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), base, found, words, sums], names=["doc_id", "base", "found", "words", "plain"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, SCANNED)
 
@@ -154,6 +219,8 @@ def thresholds(scanned: DataFrame, rate: float = 0.05) -> list[int]:
     for column in ("found", "words"):
         rows = scanned.select(F.explode(F.transform(column, lambda x: F.struct(x["band"].alias("band"), x["value"].alias("value")))).alias("x")).groupBy("x.band", "x.value").count().collect()
         histogram[column] = {(r[0], r[1]): r[2] for r in rows}
+    for r in scanned.select(F.explode("plain").alias("x")).groupBy("x.band", "x.value").agg(F.sum("x.n").alias("n")).collect():
+        histogram["words"][r[0], r[1]] = histogram["words"].get((r[0], r[1]), 0) + r[2]
     out = []
     for k in range(len(BANDS)):
         null = [histogram["words"].get((k, v), 0) for v in range(WORST + 1)]

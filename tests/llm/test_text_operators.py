@@ -164,6 +164,31 @@ def test_secrets(spark):
     assert secrets.find(table.limit(0)).collect() == []
 
 
+def test_keys_in_few_long_texts(spark):
+    """The chance rate is told by whole texts, so that few of them are evidence enough if they are long."""
+    chosen = random.Random(21)
+    prose = "the letters of plain prose are far from equally frequent and a run of them shows it soon enough while keys are drawn at random".split()
+    keys = [random_key(chosen, 40) for _ in range(60)]
+    texts = [" ".join(w for k in keys[10 * n : 10 * n + 10] for w in (*chosen.choices(prose, k=1500), k)) for n in range(6)]
+    got = secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = [texts[r.doc_id][s.start : s.end] for r in got for s in r.spans if s.kind == 3]
+    assert set(found) <= set(keys) and len(found) > 0.7 * len(keys)
+
+
+def test_stretches_have_the_batterys_values():
+    import numpy as np
+
+    chosen = random.Random(22)
+    for alphabet in ("abcdef", "ABC", "ABCXYZ", "abcxyz", "abcXYZ", "a"):
+        for n in secrets.BANDS:
+            rows = ["".join(chosen.choice(alphabet) for _ in range(n)) for _ in range(20)]
+            got = secrets.batteries(np.array([list(r.encode()) for r in rows], np.uint8))
+            assert np.allclose(got, [secrets.battery(r)[1] for r in rows], rtol=1e-9)
+    total = np.zeros((len(secrets.BANDS), secrets.WORST + 1), np.int64)
+    secrets.add_stretches([secrets.letters("ab, cd" * 50), secrets.letters("x" * 19)], total)
+    assert total.sum(1).tolist() == [200 // b for b in secrets.BANDS]
+
+
 def test_battery_tells_random_from_ordered():
     chosen = random.Random(5)
     assert secrets.infer("0123456789") == "decimal" and secrets.infer("abc-_Z") == "base64url"
