@@ -1,10 +1,9 @@
 """Operator 10: benchmark passages in documents, by SimHash of item-sized windows. DataFrame functions only.
 
-1. Every position of every document is looked up among the items' anchors: so many of an item's five-word shingles that a
-   window which leaves all of them out cannot reach the similarity asked for. A hit names the window of the item's length
-   that lines up with it, and those shifted by as many words as a window of that similarity can have more or fewer before
-   the anchor: words put in or left out at one place break at least that many shingles and four more. All other windows
-   are thereby excluded without loss.
+1. Every position of every document is looked up among the items' five-word shingles. A window of the item's length that
+   reaches the similarity asked for has a least number of positions where one of the item's shingles stands, in whatever
+   order; all windows with so many hits are candidates, wherever in the item the hits belong. All other windows are thereby
+   excluded without loss.
 2. Windows of equal text become one. Each gets a SimHash of 64 bits over its shingles, counted as often as they occur.
 3. Fingerprints are cut into ``radius`` + 1 blocks; a window and an item whose fingerprints differ in at most ``radius``
    bits agree in one block at least, so a join on blocks (and on the length in words) finds all of them.
@@ -16,7 +15,7 @@ At similarity 0.8 the expected distance is about 10 of 64 bits, with a deviation
 Words are runs of characters other than ASCII white space, in lower case. Nulls and ties: null texts and texts of fewer than
 five words match nothing, items of fewer than five words are matched by nothing; a null document id takes no part; equal
 rows match alike and give one row for each pair of ids; empty tables give an empty result; other columns are left out.
-The items' anchors are broadcast only if there are at most ``BROADCAST_ROWS`` of them, else joined by a shuffle.
+The items' shingles are broadcast only if there are at most ``BROADCAST_ROWS`` of them, else joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -64,34 +63,37 @@ def prepared(items: DataFrame, radius: int, id_col: str, text_col: str) -> DataF
     return rows.select("item_id", "len", "item_hashes", "item_print")
 
 
-def anchors(items: DataFrame, least: float) -> DataFrame:
-    """(shingle, len, at): shingles of each item that no window of similarity ``least`` can leave out altogether.
-
-    Shingles are taken in the order of their hashes until those not taken weigh less than ``least`` of all, each with all
-    its places. Items that have an anchor at the same place for the same length need it once.
-    """
-    places = F.transform("item_hashes", lambda h, k: F.struct(h.alias("shingle"), k.alias("at")))
-    taken = F.slice(F.array_sort("item_hashes"), F.lit(1), F.floor(F.size("item_hashes") * (1 - least) + 1e-9).cast("int") + 1)
-    return items.select(F.explode(F.filter(places, lambda p: F.array_contains(taken, p["shingle"]))).alias("p"), "len").select("p.shingle", "len", "p.at").distinct()
+def anchors(items: DataFrame) -> DataFrame:
+    """(shingle, len, bag): the shingles of each item; items that hold the same ones equally often are one bag."""
+    return items.select(F.explode("item_hashes").alias("shingle"), "len", F.xxhash64(F.array_sort("item_hashes")).alias("bag")).distinct()
 
 
 def windows(docs: DataFrame, marks: DataFrame, least: float, id_col: str, text_col: str, few: bool) -> DataFrame:
-    """(doc_id, start, len, window): windows that line up with an anchor, or nearly."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w")).withColumn("n", F.size("w")).where((F.col("n") >= SHINGLE) & F.col("doc_id").isNotNull())
-    places = texts.select("doc_id", "w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - SHINGLE)).alias("i"))
-    places = places.withColumn("shingle", F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(SHINGLE)]))
+    """(doc_id, start, len, window): windows with enough positions where a shingle of one item stands.
+
+    Of a window with m shingles and an item with n, at least ``least`` (m + n) / (1 + ``least``) are common to both. Each run
+    of so many hits, one after the other, that fits into a window gives all starts of windows that hold it. A document is
+    known by its id and text: equal rows are one."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("w")).withColumn("n", F.size("w")).where((F.col("n") >= SHINGLE) & F.col("doc_id").isNotNull())
+    places = texts.select("doc_id", "text_hash", "w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - SHINGLE)).alias("i"))
+    places = places.select("doc_id", "text_hash", "n", "i", F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(SHINGLE)]).alias("shingle"))
     met = places.join(F.broadcast(marks) if few else marks, "shingle")
-    slack = F.greatest(F.lit(0), F.floor((F.col("len") - SHINGLE + 1) * ((1 - least) / (1 + least)) + 1e-9).cast("int") - SHINGLE + 1)
-    met = met.withColumn("shift", F.explode(F.sequence(-slack, slack)))
-    start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("at") + F.col("shift"), F.col("n") - F.col("len")))
-    return met.withColumn("start", start).select("doc_id", "start", "len", F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " ").alias("window")).distinct()
+    hits = met.groupBy("doc_id", "text_hash", "n", "len", "bag").agg(F.sort_array(F.collect_set("i")).alias("hits"))
+    held = F.least("n", "len") - (SHINGLE - 1)
+    need = F.ceil((held + F.col("len") - (SHINGLE - 1)) * (least / (1 + least)) - 1e-9).cast("int")
+    hits = hits.withColumn("held", held).withColumn("need", F.greatest(need, F.lit(1))).where(F.size("hits") >= F.col("need"))
+    runs = hits.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("hits") - F.col("need"))))
+    first, last = F.get("hits", F.col("k")), F.get("hits", F.col("k") + F.col("need") - 1)
+    runs = runs.select("doc_id", "text_hash", "len", F.greatest(F.lit(0), last - F.col("held") + 1).alias("low"), F.least(first, F.greatest(F.lit(0), F.col("n") - F.col("len"))).alias("high")).where("low <= high")
+    starts = runs.select("doc_id", "text_hash", "len", F.explode(F.sequence("low", "high")).alias("start")).distinct()
+    return texts.join(starts, ["doc_id", "text_hash"]).select("doc_id", "start", "len", F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " ").alias("window")).distinct()
 
 
 def find(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: int = 19, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start): the best window of each document for each item it reaches ``least`` with;
     start is the window's first word. Ties go to the first window."""
     ready = written(prepared(items, radius, item_col, item_text_col), "items")
-    marks = anchors(ready, least)
+    marks = anchors(ready)
     met = written(windows(docs, marks, least, id_col, text_col, marks.count() <= BROADCAST_ROWS), "windows")
     texts = met.select("window", "len").distinct().withColumn("w", F.split("window", " "))
     texts = texts.withColumn("hashes", shingles("w", F.size("w"))).withColumn("print", simhash(F.col("hashes"))).select("window", "len", "hashes", "print")

@@ -134,6 +134,22 @@ def test_decontamination(spark):
     assert decontaminate.find(d.limit(0), b).collect() == [] and decontaminate.find(d, b.limit(0)).collect() == []
 
 
+def test_decontamination_of_passages_in_another_order(spark):
+    chosen = random.Random(20)
+    items = {k: " ".join(chosen.choice(WORDS) for _ in range(n)) for k, n in enumerate((60, 80, 45, 120))}
+    text = lambda n: " ".join(chosen.choice(WORDS) for _ in range(n))
+    docs = {}
+    for k, item in items.items():
+        w = item.split(" ")
+        for j, cut in enumerate((len(w) // 2, len(w) // 3, 10)):
+            docs[3 * k + j] = f"{text(chosen.randrange(50))} {' '.join(w[cut:] + w[:cut])} {text(30)}"
+    want = {(i, j): best for i, t in docs.items() for j, x in items.items() if (best := brute.weighted_windows(t, x, 0.8))}
+    assert len(want) == len(docs)
+    d, b = (spark.createDataFrame(list(x.items()), f"{name} long, text string") for x, name in ((docs, "doc_id"), (items, "item_id")))
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontaminate.find(d, b).collect()}
+    assert got == {p: (pytest.approx(best[0]), best[1]) for p, best in want.items()}
+
+
 def test_language(spark):
     texts = [(r.doc_id, r.lang) for r in spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet").collect()]
     rows = queries.op9_language_id(spark, DATA.replace("0.001", "0.01")).collect()
