@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,15 +30,16 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def fixpoint_closure(edges: DataFrame, seeds: DataFrame, limit: int = 100) -> DataFrame:
+def fixpoint_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node, depth): every node that ``edges`` (parent, child) lead to from ``seeds`` (seed), with the least depth.
 
-    Each round joins the frontier alone and drops what has been reached, so cycles end. Rounds are written tables.
+    Each round joins the frontier alone and drops what has been reached, so cycles end: the last round is one
+    that finds nothing. Rounds are written tables, and many of them are joined into one, so that deep chains keep plans short.
     """
     edges = edges.select("parent", "child").distinct()
     reached = stored(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct(), "closure")
     parts, frontier = [reached], reached
-    for depth in range(1, limit + 1):
+    for depth in count(1):
         seen = parts[0]
         for p in parts[1:]:
             seen = seen.unionByName(p)
@@ -46,6 +48,11 @@ def fixpoint_closure(edges: DataFrame, seeds: DataFrame, limit: int = 100) -> Da
         if frontier.isEmpty():
             break
         parts.append(frontier)
+        if len(parts) > 20:
+            later = parts[1]
+            for p in parts[2:]:
+                later = later.unionByName(p)
+            parts = [reached, stored(later, "closure")]
     out = parts[1] if len(parts) > 1 else parts[0].where("false")
     for p in parts[2:]:
         out = out.unionByName(p)

@@ -50,7 +50,7 @@ def exported(tables: dict[str, DataFrame]) -> DataFrame:
     again = stored(again, "re-exports")
     if again.isEmpty():
         return found
-    for _ in range(ROUNDS):
+    while True:
         source = found.select(F.col("prefix").alias("target"), F.col("name").alias("from_name"), "kind", "sig").unionByName(found.where("prefix like '%/index'").select(F.regexp_replace("prefix", "/index$", "").alias("target"), F.col("name").alias("from_name"), "kind", "sig"))
         named = again.where("from_name <> '*'").join(source, ["target", "from_name"]).select("prefix", F.coalesce("alias", "from_name").alias("name"), "kind", "sig")
         stars = again.where("from_name = '*' and alias is null").drop("from_name").join(source, "target").where("from_name <> 'default'").select("prefix", F.col("from_name").alias("name"), "kind", "sig")

@@ -162,3 +162,10 @@ def test_incremental(spark, run):
     assert nodes.where("_module = 'src/words.ts'").count() == 0 and nodes.where("_module is null").count() == a.nodes.where("_module is null").count()
     keys = {r.value for r in nodes.collect()}
     assert all(r.from_key in keys and r.to_key in keys for r in edges.collect())
+
+
+def test_closure_reaches_the_end_of_a_deep_chain(spark):
+    from callweave.operators.closure import fixpoint_closure
+
+    chain = spark.range(103).selectExpr("id as parent", "id + 1 as child")
+    assert sorted((r.node, r.depth) for r in fixpoint_closure(chain, spark.range(1).toDF("seed")).collect()) == [(k, k) for k in range(1, 104)]
