@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 15
 SAMPLE = 500
+LABELS = 1000
 PER_LANGUAGE = 48
 RIDGE = 0.05
 LETTER = re.compile(r"[^\W\d_]")
@@ -90,12 +91,17 @@ def fit(texts: list[str], languages: list[str], per_language: int = PER_LANGUAGE
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE) -> DataFrame:
-    """About ``rows`` labelled rows of each language, by a hash of the id; all of a language with fewer rows."""
+    """About ``rows`` labelled rows of each language, by a hash of the id; all of a language with fewer rows.
+
+    More than LABELS languages are an error."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
+    found = counts.limit(LABELS + 1).collect()
+    if len(found) > LABELS:
+        raise ValueError(f"more than {LABELS} languages are labelled")
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 30)) / F.lit(1 << 30)
     chosen = labelled.select(place.alias("_place"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    return chosen.join(F.broadcast(counts.orderBy(F.desc("_n"), "_lang").limit(1000)), "_lang").where(F.col("_place") * F.col("_n") < rows)
+    return chosen.join(F.broadcast(docs.sparkSession.createDataFrame(found, counts.schema)), "_lang").where(F.col("_place") * F.col("_n") < rows)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:

@@ -172,6 +172,13 @@ def test_language_of_awkward_texts(spark):
     assert {r.lang_pred for r in language.predict(table, language.train(table.limit(0))).collect()} == {"und"}
 
 
+def test_too_many_languages_are_an_error(spark):
+    many = spark.range(language.LABELS + 1).selectExpr("id as doc_id", "'some text' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError, match="languages"):
+        language.train(many)
+    assert len(language.train(many.where("doc_id < 3")).languages) == 3
+
+
 def held(c):
     from pyspark.sql import functions as F
 
