@@ -2,32 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a folder of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = f"file:///tmp/checkpoints/{app}"
-        spark.sparkContext.setCheckpointDir(_OWN[app])
-    return _OWN[app]
-
-
-def stored(rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` as a table in the shared folder, read again; cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+from callweave.sources.storage import stored
 
 
 def fixpoint_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:

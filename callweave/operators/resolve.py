@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import text as x
-from callweave.operators.closure import fixpoint_closure, rta_expand, stored
+from callweave.operators.closure import fixpoint_closure, rta_expand
 from callweave.operators.edges import call_edges
 from callweave.operators.rows import first_wins
+from callweave.sources.storage import stored
 
 SAME_ARRAY = ["filter", "slice", "concat", "reverse", "sort", "toSorted", "toReversed"]
 ELEMENT = ["find", "at", "pop", "shift", "findLast"]

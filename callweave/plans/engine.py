@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.operators.closure import stored
+from callweave.sources.storage import stored
 from callweave.plans.project import project_graph
 from callweave.plans.providers import Context, Graph, choose
 from callweave.sources import sinks

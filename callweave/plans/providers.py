@@ -8,7 +8,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.operators.closure import stored
+from callweave.sources.storage import stored
 from callweave.operators.edges import base_wins_union, edge_diff, merge_edges
 from callweave.operators.flow import flow_edges
 from callweave.operators.resolve import Resolved, resolve_calls

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions import text as x
-from callweave.operators.closure import stored
+from callweave.sources.storage import stored
 
 LOG = logging.getLogger("callweave")
 CACHE_VERSION = "1.0.0"
