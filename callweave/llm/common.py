@@ -2,44 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from callweave.sources.storage import delete_path, fresh_path, scratch
+from callweave.sources.storage import stored as written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or one of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = f"file:///tmp/checkpoints/{app}"
-        spark.sparkContext.setCheckpointDir(_OWN[app])
-    return _OWN[app]
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """``df`` as a table written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder written by :func:`written` once nothing reads it any more."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["Forest", "Task", "components", "delete_path", "fresh_path", "one_task_each", "rows_to_batches", "sorted_groups", "tasks_for", "written"]
 
 
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -71,9 +43,11 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
 def components(edges: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), component the smallest node reachable.
 
-    Alternates large-star and small-star contraction. Each step takes a minimum per node, which is aggregated before
-    the shuffle, and joins it back; a node with very many neighbours is an ordinary skewed join, which Spark splits.
-    The edges of each round are written to the shared folder. Null ends are dropped; an empty table gives an empty one.
+    Alternates large-star and small-star contraction. Each step takes a minimum per node, aggregated before the shuffle.
+    Only nodes whose edges change are joined back: a node that is the least of its neighbours, as the centre of a finished
+    star is, keeps them as they are. The minima are written before they are joined, so that Spark sees two plain inputs
+    and splits the edges of a node with very many neighbours over tasks. The edges of each round are written to the shared
+    folder, and the last round's deleted. Null ends are dropped; an empty table gives an empty one.
     """
     spark = edges.sparkSession
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
@@ -85,15 +59,16 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 60) ->
         if before == (total["n"], total["h"]):
             break
         before = (total["n"], total["h"])
-        both = now.union(now.select("b", "a").toDF("a", "b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("b"), F.col("m").alias("a")), F.struct(F.col("u").alias("b"), F.col("m").alias("a")))).alias("e"))
-        small = small.select("e.a", "e.b").where("a <> b").distinct()
         after = fresh_path(spark, label)
-        small.write.parquet(after)
+        with scratch(spark):
+            both = now.union(now.select("b", "a").toDF("a", "b"))
+            moved = written(both.groupBy("a").agg(F.min("b").alias("m")).where("m < a"), label)
+            large = both.where("b > a").join(moved, "a", "left").select(F.col("b").alias("u"), F.coalesce("m", "a").alias("v"))
+            large = written(large.distinct(), label)
+            low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), label)
+            stars = low.select(F.col("m").alias("a"), F.col("u").alias("b"))
+            rest = large.join(low.where("n > 1").select("u", "m"), "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
+            stars.union(rest).distinct().write.parquet(after)
         delete_path(spark, path)
         path = after
     else:
@@ -103,6 +78,11 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 60) ->
     return nodes.union(stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
+def tasks_for(spark, work: int, each: int) -> int:
+    """How many tasks share ``work``: never fewer than the session's shuffle partitions, ``each`` to a task beyond."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-work // each)))
+
+
 def one_task_each(rows: DataFrame, key: str) -> DataFrame:
     """Small ``rows`` that each stand for a file, one to a task; the number given keeps them from being coalesced."""
     return rows.repartitionByRange(max(1, rows.count()), key)

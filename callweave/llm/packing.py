@@ -5,7 +5,8 @@ own; the rest goes to the open window with the least room that still holds it (b
 opens while there are fewer than ``windows``; otherwise the fullest window is topped up with as many ids as it has room
 for and emitted, and the remaining ids are placed again. At the end the partition's open windows are merged: their
 pieces follow one another in as few sequences as possible, so that a partition ends with at most one sequence that is
-not full. Nothing is shuffled, and a partition holds no more than ``windows`` windows, whatever its size.
+not full. The ids are those of the tokenizers library without special tokens added; a special token's string in a text
+gives that token's id, as the library does by default, unless ``special_as_text``. Nothing is shuffled, and a partition holds no more than ``windows`` windows, whatever its size.
 
 Nulls and ties: a null text counts as empty and yields the end id alone; a null id is kept; equal rows are packed one
 by one; an empty table gives no pieces; other columns are left out.
@@ -84,7 +85,7 @@ class Packer:
             yield from self._emit(row)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, windows: int = 64, space_joins_piece: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, windows: int = 64, special_as_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of ``docs``: each with its document, place in it, ids (unsigned 32-bit, little-endian), sequence and place there."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +100,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, w
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for doc, ids in zip(names, encoded(batch.column(1).to_pylist(), tokenizer, space_joins_piece, end_id)):
+            for doc, ids in zip(names, encoded(batch.column(1).to_pylist(), tokenizer, end_id, special_as_text)):
                 for piece in packer.add(doc, ids):
                     rows.append(piece)
                     size += len(piece[3])
@@ -113,12 +114,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, w
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, PIECES)
 
 
-def sequences(pieces: DataFrame) -> DataFrame:
+def sequences(pieces: DataFrame, length: int = 1024) -> DataFrame:
     """Whole sequences (sequence_id, ids, length, padded_length): unpadded ids and the length after padding.
 
-    A sequence is padded to 1024 unless its length is a power of two. A group holds at most 1024 ids.
+    A sequence is padded to ``length`` unless its own is a power of two. A group holds at most ``length`` ids.
     """
     rows = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"), F.sum("length").alias("length"))
     ids = F.aggregate("p", F.lit(b"").cast("binary"), lambda x, p: F.concat(x, p["ids"]))
     power = F.col("length").bitwiseAND(F.col("length") - 1) == 0
-    return rows.select("sequence_id", ids.alias("ids"), "length", F.when(power, F.col("length")).otherwise(F.lit(1024).cast("long")).alias("padded_length"))
+    return rows.select("sequence_id", ids.alias("ids"), "length", F.when(power, F.col("length")).otherwise(F.lit(length).cast("long")).alias("padded_length"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from callweave.llm.common import one_task_each, written
-from callweave.llm.tokens import encoded
+from callweave.llm.tokens import encoded, vocabulary_size
 
 ROWS = 256
 MANIFEST = "shard long, path string, docs long, tokens long"
@@ -37,11 +37,11 @@ def place(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, vocabulary: int = 65536, length: int = 1024, space_joins_piece: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, length: int = 1024, special_as_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards under ``folder`` and returns their manifest, a row for each shard."""
     import numpy as np
 
-    dtype, item = (np.dtype("<u2"), pa.uint16()) if vocabulary <= 65536 else (np.dtype("<u4"), pa.uint32())
+    dtype, item = (np.dtype("<u2"), pa.uint16()) if max(vocabulary_size(tokenizer), end_id + 1) <= 65536 else (np.dtype("<u4"), pa.uint32())
     schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.bool_(), length))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +63,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, vocabul
             for batch in [first], batches:
                 for part in batch:
                     starts, counts = [], []
-                    for ids in encoded(part.column(1).to_pylist(), tokenizer, space_joins_piece, end_id):
+                    for ids in encoded(part.column(1).to_pylist(), tokenizer, end_id, special_as_text):
                         held.append(np.frombuffer(ids, "<u4").astype(dtype))
                         starts.append(tokens)
                         counts.append(len(held[-1]))
@@ -101,6 +101,7 @@ class Shard:
         self.index = pa.ipc.open_file(opened(f"{path[:-6]}.docs.arrow"))
         self.length = self.reader.schema.field("ids").type.list_size
         self.held: tuple[int, object] = (-1, None)
+        self.held_mask: tuple[int, object] = (-1, None)
 
     def batch(self, k: int):
         """The ids of record batch ``k`` as a flat array that points into the file."""
@@ -108,6 +109,12 @@ class Shard:
             self.held = k, self.reader.get_batch(k).column(0).flatten().to_numpy(zero_copy_only=True)
         return self.held[1]
 
+    def masked(self, k: int):
+        """The masks of record batch ``k``, one value an id."""
+        if self.held_mask[0] != k:
+            self.held_mask = k, self.reader.get_batch(k).column(1).flatten().to_numpy(zero_copy_only=False)
+        return self.held_mask[1]
+
     def sequence(self, k: int):
         """Sequence ``k`` and its mask."""
         ids = self.batch(k // ROWS)[k % ROWS * self.length : (k % ROWS + 1) * self.length]
@@ -121,6 +128,8 @@ class Shard:
         while count:
             k, at = divmod(start, size)
             parts.append(self.batch(k)[at : at + count])
+            if not self.masked(k)[at : at + count].all():
+                raise ValueError("a document reaches into a shard's padding")
             start, count = start + len(parts[-1]), count - len(parts[-1])
         return np.concatenate(parts) if len(parts) != 1 else parts[0]
 

@@ -29,7 +29,6 @@ def encoded(path, texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
 
 
@@ -83,15 +82,39 @@ def test_bounded_windows_and_final_merge():
     assert sorted(filled.values()) == [15, 16, 16, 16, 16, 16]
 
 
-@pytest.mark.parametrize("name,space,end", [("byte_bpe_50k.json", True, 0), ("word_bpe_49k.json", False, 2)])
-def test_piecewise_ids_are_the_librarys(name, space, end):
+@pytest.mark.parametrize("name,kind,end", [("byte_bpe_50k.json", "bytes", 0), ("word_bpe_49k.json", "words", 2)])
+def test_piecewise_ids_are_the_librarys(name, kind, end):
+    from callweave.llm.tokens import kind_of
     from callweave.llm.tokens import encoded as piecewise
 
     chosen = random.Random(3)
-    signs = list("aZ é.,!'19_-\n\t") + ["  ", "\r\n", "İ", "ẞ", "ﬁ", "漢", "😀", "’s", " ", " ", "\x1c", "n't", "CamelCase", "ΑΣ"]
+    signs = list("aZ é.,!'19_-\n\t") + ["  ", "\r\n", "İ", "ẞ", "ﬁ", "漢", "😀", "’s", " ", " ", "\x1c", "n't", "CamelCase", "ΑΣ", "<|endoftext|>", " <|startoftext|>"]
     texts = AWKWARD + ["".join(chosen.choice(signs) for _ in range(chosen.randrange(60))) for _ in range(1500)]
     path = queries.tokenizer(name)
-    assert [list(array("I", x)) for x in piecewise(texts, path, space, end)] == encoded(path, texts, end)
+    assert kind_of(path) == kind
+    assert [list(array("I", x)) for x in piecewise(texts, path, end)] == encoded(path, texts, end)
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """A tokenizer of neither kind, and special tokens as plain text on request."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from callweave.llm.tokens import encoded as piecewise
+    from callweave.llm.tokens import kind_of, vocabulary_size
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    about = json.load(open(path))
+    about["pre_tokenizer"] = {"type": "Whitespace"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(about))
+    texts = ["Hello there, you", "a  b\nc <|endoftext|>"]
+    assert kind_of(str(other)) == "other" and vocabulary_size(path) == 50257
+    assert [list(array("I", x)) for x in piecewise(texts, str(other), 0)] == encoded(str(other), texts, 0)
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    assert [list(array("I", x)) for x in piecewise(texts, path, 0, True)] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
 def test_stream_file_round_trip(spark, docs):
