@@ -9,7 +9,8 @@ derived from the record's own data, timestamps, types and digests. ``read_warc``
 Payloads never pass through a shuffle; only digests, lengths and ids do. Files are gzipped record by record, written
 under another name and moved, so that a repeated task replaces a file by an equal one.
 
-Nulls and ties: a null html counts as empty; a null url becomes ``urn:page:<id>``; of equal payloads of at least
+Nulls and ties: a null html counts as empty; a null url becomes ``urn:page:<id>``; white space in a url, which header
+lines cannot hold, is percent-encoded; rows that are equal have record ids of their own; of equal payloads of at least
 ``least`` bytes the record with the largest id is the response; rows that repeat an id count as one page each, the
 response being the one that comes first in the files; an empty table writes no file; other columns are left out.
 """
@@ -18,9 +19,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,7 +40,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 FILES = "file long, path string, records long"
 _FILES = pa.schema([("file", pa.int64()), ("path", pa.string()), ("records", pa.int64())])
-_INDEX = pa.schema([("file", pa.int64()), ("path", pa.string()), ("ordinal", pa.int64()), ("page_id", pa.int64()), ("record_id", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string())])
+_INDEX = pa.schema([("file", pa.int64()), ("path", pa.string()), ("ordinal", pa.int64()), ("page_id", pa.int64()), ("record_id", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string())])
 _WARC = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_record", pa.string()), ("uri", pa.string()), ("date", pa.string())])
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:callweave:arc-record")
 PAGE_HEADER = "X-Page-Id"
@@ -84,8 +87,7 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
                     more = f"200 - - 0 pages-{number:06d} " if second else ""
                     out.write(packed(f"filedesc://pages-{number:06d}.arc 0.0.0.0 20240101000000 text/plain {more}{len(about)}\n{about}".encode()))
                 body = http_response(page_id, (html or "").encode())
-                name = "".join(url.split()) if url else ""
-                name = name or f"urn:page:{page_id}"
+                name = re.sub(r"\s", lambda m: quote(m[0]), url) if url else f"urn:page:{page_id}"
                 more = f"200 {zlib.crc32(body):08x} - {records} pages-{number:06d} " if second else ""
                 out.write(packed(f"{name} 0.0.0.0 20240101000000 text/html {more}{len(body)}\n".encode() + body + b"\n"))
                 records += 1
@@ -160,8 +162,14 @@ def split_http(body: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, head + b"\r\n\r\n", payload
 
 
-def record_id(header: dict[str, str], page: str, digest: str) -> str:
-    return f"urn:uuid:{uuid.uuid5(NAMESPACE, ' '.join([header['URL'], header['Archive-date'], page, digest]))}"
+def record_id(header: dict[str, str], page: str, digest: str, file: int, ordinal: int) -> str:
+    """Unique for each record: equal records differ in their place."""
+    return f"urn:uuid:{uuid.uuid5(NAMESPACE, ' '.join([header['URL'], header['Archive-date'], page, digest, str(file), str(ordinal)]))}"
+
+
+def warc_date(archive_date: str) -> str:
+    d = archive_date
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
 def arc_records(files: DataFrame) -> DataFrame:
@@ -175,36 +183,36 @@ def arc_records(files: DataFrame) -> DataFrame:
                         about, _, payload = split_http(body)
                         page = about.get(PAGE_HEADER.lower(), "")
                         digest = hashlib.sha1(payload).hexdigest()
-                        yield number, uri, k, int(page) if page else None, record_id(header, page, digest), len(payload), digest
+                        yield number, uri, k, int(page) if page else None, record_id(header, page, digest, number, k), header["URL"], warc_date(header["Archive-date"]), len(payload), digest
 
         yield from rows_to_batches(rows(), _INDEX)
 
-    return one_task_each(files.select("file", "path"), "file").mapInArrow(task, "file long, path string, ordinal long, page_id long, record_id string, payload_bytes long, digest string")
+    return one_task_each(files.select("file", "path"), "file").mapInArrow(task, "file long, path string, ordinal long, page_id long, record_id string, uri string, date string, payload_bytes long, digest string")
 
 
 def plan_revisits(index: DataFrame, least: int = 1000) -> DataFrame:
-    """``index`` with refers_to and refers_to_record, null for responses. A record of ``least`` bytes or more revisits the
+    """``index`` with the id, record, uri and date that a revisit refers to, null for responses. A record of ``least`` bytes or more revisits the
     record of an equal payload that has the largest page id. Counts are aggregated before the shuffle; a payload that
     very many records share makes a skewed join with one row on the other side, which Spark splits."""
     order = F.struct(F.coalesce("page_id", F.lit(-(1 << 62))), -F.col("file"), -F.col("ordinal"))
-    groups = index.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max_by(F.struct("page_id", "record_id", "file", "ordinal"), order).alias("best"))
+    groups = index.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max_by(F.struct("page_id", "record_id", "uri", "date", "file", "ordinal"), order).alias("best"))
     joined = index.join(groups.where("n > 1").select("digest", "best"), "digest", "left")
     revisit = F.col("best").isNotNull() & ~((F.col("best.file") == F.col("file")) & (F.col("best.ordinal") == F.col("ordinal")))
-    return joined.select(*index.columns, F.when(revisit, F.col("best.page_id")).alias("refers_to"), F.when(revisit, F.col("best.record_id")).alias("refers_to_record"))
+    first = {"refers_to": "page_id", "refers_to_record": "record_id", "refers_to_uri": "uri", "refers_to_date": "date"}
+    return joined.select(*index.columns, *[F.when(revisit, F.col(f"best.{c}")).alias(name) for name, c in first.items()])
 
 
-def warc_record(header: dict[str, str], body: bytes, digest: str, ident: str, refers_to: int | None, refers_record: str | None) -> bytes:
+def warc_record(header: dict[str, str], body: bytes, digest: str, ident: str, refers_to: int | None, refers_record: str | None, refers_uri: str | None, refers_date: str | None) -> bytes:
     about, head, payload = split_http(body)
-    date = header["Archive-date"]
     block = head if refers_record else body
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if refers_record else 'response'}", f"WARC-Record-ID: <{ident}>", f"WARC-Target-URI: {header['URL']}",
-        f"WARC-Date: {date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z", f"WARC-IP-Address: {header['IP-address']}",
+        f"WARC-Date: {warc_date(header['Archive-date'])}", f"WARC-IP-Address: {header['IP-address']}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if refers_record:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{refers_record}>", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{refers_record}>", f"WARC-Refers-To-Target-URI: {refers_uri}", f"WARC-Refers-To-Date: {refers_date}", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -221,7 +229,7 @@ def write_warc(plan: DataFrame, folder: str) -> DataFrame:
 
         uri = ""
         for batch in batches:
-            for file, path, ordinal, ident, digest, refers, refers_record in zip(*(c.to_pylist() for c in batch.columns)):
+            for file, path, ordinal, ident, digest, *refers in zip(*(c.to_pylist() for c in batch.columns)):
                 if path != now:
                     end()
                     now, number, count, at, source = path, file, 0, 0, arc_file(path)
@@ -232,12 +240,12 @@ def write_warc(plan: DataFrame, folder: str) -> DataFrame:
                 while at <= ordinal:
                     header, body = next(source)
                     at += 1
-                out.write(packed(warc_record(header, body, digest, ident, refers, refers_record)))
+                out.write(packed(warc_record(header, body, digest, ident, *refers)))
                 count += 1
         end()
         yield from rows_to_batches(made, _FILES)
 
-    rows = plan.select("file", "path", "ordinal", "record_id", "digest", "refers_to", "refers_to_record")
+    rows = plan.select("file", "path", "ordinal", "record_id", "digest", "refers_to", "refers_to_record", "refers_to_uri", "refers_to_date")
     return written(rows.repartition("path").sortWithinPartitions("path", "ordinal").mapInArrow(task, FILES), "warc-files")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.sources.storage import delete_path, fresh_path, scratch
@@ -78,9 +78,9 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 60) ->
     return nodes.union(stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def tasks_for(spark, work: int, each: int) -> int:
-    """How many tasks share ``work``: never fewer than the session's shuffle partitions, ``each`` to a task beyond."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-work // each)))
+def tasks_for(spark: SparkSession, work: int, each: int) -> int:
+    """How many tasks share ``work``, ``each`` to a task; never fewer than four for each core of the cluster."""
+    return max(4 * spark.sparkContext.defaultParallelism, min(100_000, -(-int(work) // each)))
 
 
 def one_task_each(rows: DataFrame, key: str) -> DataFrame:

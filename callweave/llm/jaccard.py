@@ -12,9 +12,12 @@ is at most the size of the sets' symmetric difference, and a similarity of ``num
    that most sets share (empty ones, and passages that very many texts repeat), so linked sets still meet in one. Sets
    that meet are compared by a second sketch of 256 bits, in square tiles of bounded size, and grouped into clusters.
 3. Inside each cluster, again in tiles, sets that are not yet connected and whose sketches allow it are compared exactly.
-   Links that hold make the components.
+   Links that hold make the components. A cluster of more than one tile is first compared with ``HUBS`` of its members: what
+   they connect into one group need not be compared again, so that only the rest is tiled, with itself and with the group.
+   A cluster of copies of one text thus sends each text about once, not once for every tile.
 
-Pairs are never emitted: a tile yields a spanning forest. No partner is lost, whatever the size of a group.
+Pairs are never emitted: a tile yields a spanning forest. No partner is lost, whatever the size of a group. Texts are known
+by the class of their set, not by their document's id, so that rows that share an id but not a text are told apart.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. A text of fewer than k words is one shingle.
 A shingle is its 64-bit hash.
@@ -34,19 +37,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from callweave.llm.common import components, rows_to_batches, sorted_groups, written
+from callweave.llm.common import components, rows_to_batches, sorted_groups, tasks_for, written
 
 GROWTH = 2.5  # of the bands' sizes
 SKIPPED = 14  # a band's sets leave out one key, and one for so many by which its largest may differ
 KEY_BITS = np.uint64((1 << 48) - 1)  # of a key; keys that are equal by chance only make candidates
 TILE = 768
 TILE_SHINGLES = 400_000
+HUBS = 8
+PAIRS = 30_000_000  # of sketches to a task
 WORDS_KEPT = 100_000  # hashes of words that a task remembers
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
-COUNTED = "doc_id long, n int, h1 long, h2 long"
-_COUNTED = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
-SIGNED = "id long, n int, s array<long>, own array<long>, own_skip int, up array<long>, up_skip int"
-_SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("s", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("own_skip", pa.int32()), ("up", pa.list_(pa.int64())), ("up_skip", pa.int32())])
+COUNTED = "doc_id long, text_hash long, n int, h1 long, h2 long"
+_COUNTED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+SIGNED = "doc_id long, text_hash long, n int, s array<long>, own array<long>, own_skip int, up array<long>, up_skip int"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("s", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("own_skip", pa.int32()), ("up", pa.list_(pa.int64())), ("up_skip", pa.int32())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -118,18 +123,23 @@ def sketch(codes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
-def counted(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, text)."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+
+
+def counted(texts: DataFrame, k: int) -> DataFrame:
     """For each text the size and hash of its set."""
 
-    def row(doc: int | None, text: str | None, kept: dict) -> tuple:
+    def row(doc: int | None, text_hash: int, text: str | None, kept: dict) -> tuple:
         codes = shingle_hashes(text, k, kept) if text else np.zeros(0, np.uint64)
-        return doc, len(codes), *set_hash(codes)
+        return doc, text_hash, len(codes), *set_hash(codes)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[bytes, int] = {}
-        yield from rows_to_batches((row(d, t, kept) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), _COUNTED)
+        yield from rows_to_batches((row(*r, kept) for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), _COUNTED)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, COUNTED)
+    return texts.mapInArrow(task, COUNTED)
 
 
 def set_hash(codes: np.ndarray) -> tuple[int, int]:
@@ -137,22 +147,22 @@ def set_hash(codes: np.ndarray) -> tuple[int, int]:
         return int(codes.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(codes * M3).view(np.int64))
 
 
-def signed(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+def signed(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """For each text with words the size of its set, its sketch, and its keys in its band and the next."""
 
-    def row(doc: int, codes: np.ndarray) -> tuple:
+    def row(doc: int, text_hash: int, codes: np.ndarray) -> tuple:
         n = len(codes)
         own, own_skip = blocks(codes, band(n), num, den)
         above = band(n * den // num)
         up, up_skip = blocks(codes, above, num, den) if above != band(n) else ([], 0)
-        return doc, n, sketch(codes), own, own_skip, up, up_skip
+        return doc, text_hash, n, sketch(codes), own, own_skip, up, up_skip
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[bytes, int] = {}
-        sets = ((d, shingle_hashes(t, k, kept)) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t)
-        yield from rows_to_batches((row(d, codes) for d, codes in sets if len(codes)), _SIGNED, 1024)
+        sets = ((d, h, shingle_hashes(t, k, kept)) for b in batches for d, h, t in zip(*(c.to_pylist() for c in b.columns)) if t)
+        yield from rows_to_batches((row(d, h, codes) for d, h, codes in sets if len(codes)), _SIGNED, 1024)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").mapInArrow(task, SIGNED)
+    return texts.where("doc_id is not null").mapInArrow(task, SIGNED)
 
 
 def may_link(sketches: np.ndarray, sizes: np.ndarray, x: slice, y: slice, num: int, den: int) -> np.ndarray:
@@ -186,8 +196,8 @@ def tiled(rows: DataFrame, tiles: str) -> DataFrame:
     return rows.withColumn("part", part).withColumn("tile", F.explode(pairs)).select("*", "tile.ti", "tile.tj").drop("tile")
 
 
-def meet(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Forests of the sets that share a key and may link. Rows: key, ti, tj, part, id, n, s."""
+def meet(groups: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
+    """Forests of the sets that share a key and may link, dealt over so many tasks. Rows: key, ti, tj, part, id, n, s."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -204,11 +214,12 @@ def meet(groups: DataFrame, num: int, den: int) -> DataFrame:
         yield from rows_to_batches(rows(), _EDGE)
 
     columns = ["key", "ti", "tj", "part", "id", "n", "s"]
-    return groups.select(columns).repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInArrow(task, "a long, b long")
+    return groups.select(columns).repartition(tasks, "key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInArrow(task, "a long, b long")
 
 
-def verify(groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Forests of the sets of a cluster that do link. Rows: cluster, ti, tj, part, id, text."""
+def verify(groups: DataFrame, k: int, num: int, den: int, tasks: int) -> DataFrame:
+    """Forests of the sets of a cluster that do link. Rows: cluster, ti, tj, part, id, text. In a tile whose ti and tj differ
+    only sets of different parts are compared."""
     from callweave.llm.common import Forest
 
     def links(group: pa.Table, kept: dict[bytes, int]) -> Iterator[tuple[int, int]]:
@@ -242,37 +253,87 @@ def verify(groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
         yield from rows_to_batches((e for g in sorted_groups(batches, ["cluster", "ti", "tj"]) if len(g) > 1 for e in links(g, kept)), _EDGE)
 
     columns = ["cluster", "ti", "tj", "part", "id", "text"]
-    return groups.select(columns).repartition("cluster", "ti", "tj").sortWithinPartitions("cluster", "ti", "tj").mapInArrow(task, "a long, b long")
+    return groups.select(columns).repartition(tasks, "cluster", "ti", "tj").sortWithinPartitions("cluster", "ti", "tj").mapInArrow(task, "a long, b long")
+
+
+def connected(members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): links that connect the clusters' members. Rows: cluster, id, n, text, each id once."""
+    spark = members.sparkSession
+    size = members.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    tiles = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES))
+    size = written(size.withColumn("tiles", tiles), "cluster-sizes")
+    total = size.agg(F.sum(F.col("members") * F.least("members", F.lit(TILE))).alias("pairs"), F.max("tiles").alias("tiles")).first()
+    tasks = tasks_for(spark, total["pairs"] or 0, PAIRS // 100)
+    rows = members.join(size.select("cluster", "tiles"), "cluster")
+    links = verify(tiled(rows.where("tiles = 1"), "tiles"), k, num, den, tasks)
+    if (total["tiles"] or 0) <= 1:
+        return links
+    large = rows.where("tiles > 1").withColumn("part", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    centres = large.join(chosen_hubs(large), ["cluster", "id"], "left_semi").withColumn("ti", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    first = large.withColumn("ti", F.col("part")).unionByName(centres.withColumn("part", F.lit(-2).cast("long"))).withColumn("tj", F.lit(-1).cast("long"))
+    near = written(verify(first, k, num, den, tasks), "hub-links")
+    groups = components(near, "hub-groups")
+    labels = large.select("cluster", "id").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("label"))
+    labels = written(labels, "hub-labels")
+    main = labels.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    parted = large.drop("part").join(labels, ["cluster", "id"]).join(main, "cluster").withColumn("rest", F.col("label") != F.col("main"))
+    many = F.greatest(F.lit(1), F.ceil(F.count_if("rest") * F.first("tiles") / F.count("*"))).alias("rest_tiles")
+    parted = parted.join(parted.groupBy("cluster").agg(many), "cluster")
+    rest = parted.where("rest")
+    inner = tiled(rest, "rest_tiles")
+    sides = rest.select("cluster", "rest_tiles").distinct()
+    across = rest.withColumn("part", F.pmod(F.xxhash64("id"), F.col("rest_tiles"))).withColumn("tj", F.col("part")).withColumn("ti", F.explode(F.sequence(-F.col("tiles"), F.lit(-1).cast("long"))))
+    others = parted.where("not rest").join(sides.select("cluster"), "cluster", "left_semi").withColumn("ti", -1 - F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("part", F.lit(-1).cast("long"))
+    others = others.withColumn("tj", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_tiles") - 1)))
+    columns = ["cluster", "ti", "tj", "part", "id", "text"]
+    left = verify(inner.select(columns).unionByName(across.select(columns)).unionByName(others.select(columns)), k, num, den, tasks)
+    return links.unionByName(near).unionByName(left)
 
 
-def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, n_shingles and component_id, the smallest id that links lead to.
+def chosen_hubs(large: DataFrame) -> DataFrame:
+    """(cluster, id) of HUBS members of each cluster: the least by hash in so many shares of it. Aggregated before the shuffle."""
+    share = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(HUBS))
+    best = large.groupBy("cluster", share.alias("share")).agg(F.min_by("id", F.xxhash64("id", F.lit(1))).alias("id"))
+    return best.select("cluster", "id")
 
-    Documents link when den * (size of the intersection) >= num * (size of the union) of their sets of k-word shingles.
-    """
-    sets = written(counted(docs, k, id_col, text_col), "sets")
+
+def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What :func:`link` returns, and text_hash, the xxhash64 of each row's text."""
+    spark, every = docs.sparkSession, texts_of(docs, id_col, text_col)
+    sets = written(counted(every, k), "sets")
     some = sets.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = signed(docs, k, num, den, id_col, text_col).join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    reps = written(reps, "representatives", compression="zstd")
+    classes = some.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
+    classes = written(classes.select("h1", "h2", "n", "rep.doc_id", "rep.text_hash", F.monotonically_increasing_id().alias("id")), "classes")
+    reps = signed(every, k, num, den).join(classes.select("doc_id", "text_hash", "id"), ["doc_id", "text_hash"])
+    reps = written(reps.drop("doc_id", "text_hash").dropDuplicates(["id"]), "representatives", compression="zstd")
 
     def keys(column: str, up: bool) -> DataFrame:
         return reps.select("id", F.explode(column).alias("key"), F.lit(up).alias("up"))
 
     rows = keys("own", False).unionByName(keys("up", True))
-    shared = rows.groupBy("key").agg(F.count("*").alias("count")).where("count > 1")
+    shared = written(rows.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"), "shared-keys")
+    pairs = shared.agg(F.sum(F.col("count") * F.least("count", F.lit(TILE)))).first()[0] or 0
     order = Window.partitionBy("id", "up").orderBy(F.desc("count"), "key")
     skip = F.when(F.col("up"), F.col("up_skip")).otherwise(F.col("own_skip"))
     met = rows.join(shared, "key").join(reps.select("id", "n", "s", "own_skip", "up_skip"), "id")
     met = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") > skip).select("key", "id", "n", "s", "count").withColumn("tiles", F.ceil(F.col("count") / TILE))
-    clusters = components(meet(tiled(met, "tiles"), num, den), "clusters")
-    clusters = written(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(reps.select("id", "n"), "id"), "clusters")
-    size = clusters.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    tiles = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).alias("tiles")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = clusters.join(texts, "id").join(size.select("cluster", tiles), "cluster").dropDuplicates(["id"])
-    found = components(verify(tiled(texts, "tiles"), k, num, den), "links")
-    merged = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("doc_id", "n", "h1", "h2").join(merged, ["h1", "h2", "n"], "left")
+    clusters = components(meet(tiled(met, "tiles"), num, den, tasks_for(spark, pairs, PAIRS)), "clusters")
+    clusters = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(classes.select("id", "doc_id", "text_hash", "n"), "id")
+    members = clusters.join(every, ["doc_id", "text_hash"]).dropDuplicates(["id"])
+    members = written(members.select("cluster", "id", "n", "text"), "members", compression="zstd")
+    found = components(connected(members, k, num, den), "links")
+    least = found.join(classes.select(F.col("id").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    merged = found.join(least, "component").select(F.col("node").alias("id"), "least")
+    merged = classes.join(merged, "id", "left").select("h1", "h2", "n", F.coalesce("least", "doc_id").alias("component"))
+    out = sets.join(merged, ["h1", "h2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+
+
+def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: doc_id, n_shingles and component_id, the smallest id that links lead to.
+
+    Documents link when den * (size of the intersection) >= num * (size of the union) of their sets of k-word shingles.
+    Rows that share an id but not a text have a row each, with the component of their own text.
+    """
+    return grouped(docs, k, num, den, id_col, text_col).drop("text_hash")

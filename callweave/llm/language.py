@@ -7,17 +7,19 @@ space; kernel ridge regression, one language against the rest, gives a weight to
 product of presence vectors, landmarks and weights fold into one matrix of n-grams by languages, and a batch of texts is
 scored as presence matrix times that matrix, divided by the root of each text's number of n-grams.
 
-Training uses a bounded sample of labelled rows: about ``SAMPLE`` rows of each language, chosen by a hash of the id.
-Prediction sees the text alone, and all of it.
+Training uses a bounded sample of labelled rows: about ``SAMPLE`` rows of each language, chosen by a hash of the id and the
+text, and fewer where there are many languages, so that a model learns from ``ROWS`` rows and ``MARKS`` landmarks at most.
+Of a chosen text its distinct n-grams, which tasks extract from the whole of it, reach the driver: at most ``DIMENSIONS``
+numbers each. Prediction sees the text alone, and all of it.
 
 Nulls and ties: a null text, or one without any letter, is ``und`` with score 0; so is every text if no labelled row
 has a text. Languages that tie go to the first by name. An empty table gives an empty result. Other columns of the
-input pass through ``predict`` untouched, except that its own two columns replace any of their names.
+input pass through ``predict`` untouched, except that its own two columns, ``lang_pred`` and ``score`` or as ``names``
+says, replace any of their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +31,15 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1 << 15
 SAMPLE = 500
 LABELS = 1000
+ROWS = 20_000
 PER_LANGUAGE = 48
+MARKS = 2_000
 RIDGE = 0.05
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a character of a letter category."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def grams(text: str, spectrum: int = 3) -> np.ndarray:
@@ -60,12 +68,13 @@ def presence(places: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], languages: list[str], per_language: int = PER_LANGUAGE, ridge: float = RIDGE) -> Model:
-    """Nyström kernel ridge regression on ``texts``; the first ``per_language`` texts of each language are landmarks."""
+def fit(places: list[np.ndarray], languages: list[str], per_language: int = PER_LANGUAGE, ridge: float = RIDGE) -> Model:
+    """Nyström kernel ridge regression on the n-grams of texts; the first ``per_language`` texts of each language are
+    landmarks, fewer where there are more than MARKS / ``per_language`` languages."""
     names = sorted(set(languages))
     if not names:
         return Model([], np.zeros((DIMENSIONS, 0), np.float32))
-    places = [grams(t) for t in texts]
+    per_language = max(1, min(per_language, MARKS // len(names)))
     seen: dict[str, int] = {}
     marks = []
     for k, lang in enumerate(languages):
@@ -91,24 +100,34 @@ def fit(texts: list[str], languages: list[str], per_language: int = PER_LANGUAGE
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE) -> DataFrame:
-    """About ``rows`` labelled rows of each language, by a hash of the id; all of a language with fewer rows.
+    """(_place, _id, _text, _lang) of about ``rows`` labelled rows of each language, by a hash; all of a language with fewer.
 
-    More than LABELS languages are an error."""
+    With many languages there are fewer of each, ROWS in all. More than LABELS languages are an error."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
     found = counts.limit(LABELS + 1).collect()
     if len(found) > LABELS:
         raise ValueError(f"more than {LABELS} languages are labelled")
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 30)) / F.lit(1 << 30)
+    rows = min(rows, ROWS // max(1, len(found)))
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(9)), F.lit(1 << 30)) / F.lit(1 << 30)
     chosen = labelled.select(place.alias("_place"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     return chosen.join(F.broadcast(docs.sparkSession.createDataFrame(found, counts.schema)), "_lang").where(F.col("_place") * F.col("_n") < rows)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from the labelled rows of ``docs``; the sample that reaches the driver is bounded by SAMPLE a language."""
-    rows = sorted(sample(docs, id_col, text_col, lang_col).select("_place", "_id", "_text", "_lang").collect(), key=lambda r: (r["_place"], str(r["_id"])))
-    rows = [r for r in rows if LETTER.search(r["_text"])]
-    return fit([r["_text"] for r in rows], [r["_lang"] for r in rows])
+    """A model from the labelled rows of ``docs``; what reaches the driver is bounded by ROWS times DIMENSIONS."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            keep = [k for k, t in enumerate(texts) if has_letter(t)]
+            found = pa.array([grams(texts[k]).astype("<u2").tobytes() for k in keep], pa.binary())
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), found], names=["place", "lang", "grams"])
+
+    rows = sample(docs, id_col, text_col, lang_col).select("_place", "_text", "_lang").mapInArrow(task, "place double, lang string, grams binary").collect()
+    rows.sort(key=lambda r: (r["place"], r["lang"], bytes(r["grams"])))
+    return fit([np.frombuffer(bytes(r["grams"]), "<u2").astype(np.int64) for r in rows], [r["lang"] for r in rows])
 
 
 def score(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
@@ -116,7 +135,7 @@ def score(texts: list[str | None], model: Model) -> tuple[list[str], list[float]
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
     if not model.languages:
         return names, scores
-    asked = [k for k, t in enumerate(texts) if t and LETTER.search(t)]
+    asked = [k for k, t in enumerate(texts) if has_letter(t)]
     for at in range(0, len(asked), 64):
         part = asked[at : at + 64]
         block = presence([grams(texts[k]) for k in part])
@@ -126,18 +145,18 @@ def score(texts: list[str | None], model: Model) -> tuple[list[str], list[float]
     return names, scores
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two more columns: the language and its score."""
+    kept = [c for c in docs.columns if c not in names]
     fields = [f for f in docs.schema.fields if f.name in kept]
     where = kept.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = score(batch.column(where).to_pylist(), sent.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+            found, scores = score(batch.column(where).to_pylist(), sent.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *names])
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    return docs.select(*kept).mapInArrow(task, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.select(*kept).mapInArrow(task, StructType([*fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))

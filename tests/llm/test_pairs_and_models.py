@@ -53,6 +53,37 @@ def test_jaccard_join_of_a_large_group(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.link(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()} == want
 
 
+def test_jaccard_join_of_clusters_that_fall_apart(spark, monkeypatch):
+    """Clusters of several tiles of which the hubs connect a part, or nothing, or two groups."""
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    monkeypatch.setattr(jaccard, "HUBS", 2)
+    chosen = random.Random(23)
+    seed = [chosen.choice(WORDS) for _ in range(200)]
+    texts, at = {}, 0
+    for group in range(6):
+        own = list(seed)
+        for k in range(12 * group):
+            own[(17 * k + 5 * group) % 200] = f"g{group}x{k}"
+        for _ in range(25):
+            texts[at] = varied(chosen, " ".join(own), chosen.randrange(5))
+            at += 1
+    monkeypatch.setattr(jaccard, "may_link", lambda s, sizes, x, y, num, den: np.ones((len(sizes[x]), len(sizes[y])), bool))  # so that all are candidates
+    want, _ = brute.jaccard_components(texts, 5, 80, 100)
+    assert 3 <= len(set(want.values())) < 150
+    members = [(1, i, len(brute.shingles(t, 5)), t) for i, t in texts.items()]
+    found = jaccard.connected(spark.createDataFrame(members, "cluster long, id long, n int, text string"), 5, 80, 100).collect()
+    links = {(r.a, r.b) for r in found}
+    assert brute.components(list(texts), lambda a, b: (a, b) in links or (b, a) in links) == want
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    a, b = " ".join(WORDS[:40]), " ".join(WORDS[100:140])
+    rows = [(5, a), (5, b), (3, a), (9, b), (5, b), (5, None), (5, " ")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(table).collect())
+    assert got == sorted([(5, 36, 3), (5, 36, 5), (3, 36, 3), (9, 36, 5), (5, 36, 5), (5, 0, 5), (5, 0, 5)])
+
+
 def test_jaccard_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     want, sizes = brute.jaccard_components(texts, 3, 90, 100)
@@ -172,6 +203,10 @@ def test_language_of_awkward_texts(spark):
     assert {r.lang_pred for r in language.predict(table, language.train(table.limit(0))).collect()} == {"und"}
 
 
+def test_letters_are_letters_alone():
+    assert [language.has_letter(t) for t in ("½ ² 3 _", "1a", "漢", "", None, "ª")] == [False, True, True, False, False, True]
+
+
 def test_too_many_languages_are_an_error(spark):
     many = spark.range(language.LABELS + 1).selectExpr("id as doc_id", "'some text' as text", "concat('l', id) as lang")
     with pytest.raises(ValueError, match="languages"):

@@ -142,8 +142,21 @@ def test_archives(spark):
     got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in archive.convert(table, fresh_path(spark, "test-warc")).collect()}
     assert got == brute.warc_rows([(i, h) for i, _, h in pages])
     assert archive.convert(table.limit(0), fresh_path(spark, "test-warc")).collect() == []
+    places = {r.page_id: r.uri for r in archive.convert(table, fresh_path(spark, "test-warc")).collect()}
+    assert places[5] == "http://c%20d" and places[1] == "http://a/x"
     odd = spark.createDataFrame([(None, "u", big), (1, "u", big), (1, "u", big)], "page_id long, url string, html string").coalesce(1)
-    assert sorted(r.record_type for r in archive.convert(odd, fresh_path(spark, "test-warc")).collect()) == ["response", "revisit", "revisit"]
+    rows = archive.convert(odd, fresh_path(spark, "test-warc")).collect()
+    assert sorted(r.record_type for r in rows) == ["response", "revisit", "revisit"] and len({r.record_id for r in rows}) == 3
+
+
+def test_revisits_name_what_they_refer_to(spark):
+    big = "<p>" + "b" * 1200
+    table = spark.createDataFrame([(1, "http://a", big), (2, "http://b", big)], "page_id long, url string, html string").coalesce(1)
+    files = archive.write_warc(archive.plan_revisits(archive.arc_records(archive.write_arc(table, fresh_path(spark, "arc")))), fresh_path(spark, "warc"))
+    headers = [h for r in files.collect() for h, _ in archive.warc_file(r.path)]
+    [revisit] = [h for h in headers if h["warc-type"] == "revisit"]
+    [response] = [h for h in headers if h["warc-type"] == "response"]
+    assert revisit["warc-refers-to-target-uri"] == "http://b" and revisit["warc-refers-to"] == response["warc-record-id"] and revisit["warc-refers-to-date"] == response["warc-date"]
 
 
 def test_arc_header_lines_by_version(tmp_path):
