@@ -119,7 +119,26 @@ def test_near_vectors(spark, monkeypatch):
     assert len(got) == len(rows)
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (links[i], components[i], components[i] == i) for i, _, _ in rows}
     assert embeddings.near_duplicates(table.limit(0)).collect() == []
-    assert [r.n_links for r in embeddings.near_duplicates(spark.createDataFrame([(None, [1.0], 1), (None, [1.0], 1)], "vec_id long, embedding array<float>, label int")).collect()] == [0, 0]
+    rows = embeddings.near_duplicates(spark.createDataFrame([(None, [1.0], 1), (None, [1.0], 1)], "vec_id long, embedding array<float>, label int")).collect()
+    assert [(r.n_links, r.kept) for r in rows] == [(0, True)] * 2
+    again = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 2), (1, [0.0, 1.0], 1), (0, [1.0, 0.001], 1), (2, [1.0], 2), (2, [3.0], 2)]  # ids that repeat with other labels and vectors
+    rows = embeddings.near_duplicates(spark.createDataFrame(again, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in rows) == [(0, 1, 0), (1, 0, 1), (1, 0, 1), (1, 1, 0), (2, 1, 2), (2, 1, 2)]
+
+
+def test_hub_of_near_vectors(spark):
+    """A cluster far beyond a tile, with vectors at its rim that link with some of it only."""
+    chosen = np.random.default_rng(19)
+    centre = chosen.standard_normal(64)
+    rows = [(k, 1, (centre + chosen.standard_normal(64) * s).tolist()) for k, s in enumerate(chosen.choice([0.0, 0.02, 0.06, 0.1], 300))]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    before, embeddings.TILE = embeddings.TILE, 16
+    try:
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table).collect()}
+    finally:
+        embeddings.TILE = before
+    links, components = near_table(rows, 0.98)
+    assert got == {i: (links[i], components[i]) for i in links}
 
 
 def test_near_vector_recall(spark):
