@@ -4,10 +4,15 @@
 candidates: other tokens of at least six digits. The base entities are seeds. Each entity and candidate has up to three
 lexical patterns: the word before it, the two words before it, and the word after it.
 
-``bootstrap`` scores the graph of patterns and values for ``rounds`` rounds. A pattern's confidence is the share of its
-occurrences that confident values make up, with one more occurrence added against it, and zero unless it has at least
-``support`` different seeds; a value's is the largest of its patterns', one for seeds. Candidates whose confidence
-reaches ``least`` are identifiers found, of the kind ``context``.
+``bootstrap`` scores the graph of patterns and values in rounds. A pattern's confidence is the share of its occurrences
+that values found so far make up, weighed by their confidence, with one more occurrence added against it, and zero unless
+at least ``support`` different values of those are sure: seeds, or values that reached ``least`` in a round before. So what
+a pattern finds can induce further patterns. A value's confidence is the largest of its patterns', one for seeds. Rounds go
+on until no further value becomes sure, ``rounds`` at most. Candidates whose confidence reaches ``least`` are identifiers
+found, of the kind ``context``.
+
+Places are sums of lengths, taken in blocks of the root of their number, and a redacted text is cut from pieces of
+``PIECE`` characters: work grows little faster than the text, also where it holds tens of thousands of matches.
 
 The regular expressions below match exactly what the base kinds say, written so that the engine neither backtracks over
 long runs nor recurses: runs are possessive and start where a run starts or where the last match ended.
@@ -31,6 +36,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 AT_MOST_255 = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CANDIDATE = r"(?<![0-9A-Za-z])[0-9][0-9A-Za-z_./:-]{4,}[0-9A-Za-z]"
+PIECE = 1000
 NEAR = 48  # characters around a match in which its neighbours are looked for
 ROW = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
@@ -48,20 +54,44 @@ def luhn(number: Column) -> Column:
     return total % 10 == 0
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of ``value``, which is computed once however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, zero: Column, merge) -> Column:
+    """For each element of an array what ``merge``, an associative function, makes of those before it, from ``zero`` on.
+
+    Blocks of the root of the length are folded first, then the blocks' results, then each block from what precedes it."""
+
+    def fold(part: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, first, lambda s, x: F.struct(merge(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def whole(v: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / step).cast("int")), lambda j: F.slice(v, j * step + 1, step))
+        return bound(parts, lambda p: bound(fold(F.transform(p, lambda x: F.aggregate(x, zero, merge)), zero), lambda starts: F.flatten(F.zip_with(p, starts, fold))))
+
+    return bound(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<int>")))
+
+
 def located(text: Column, pattern: str, possible: Column) -> Column:
     """The leftmost matches that do not overlap, with places and surroundings; the text is cut only if there are any."""
-    found = F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    gaps = F.split(text, pattern, -1)
     none = F.array().cast(ROW)
-    first = F.struct(F.lit(0).alias("at"), none.alias("rows"))
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(found, i))
-        row = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("value"), F.right(F.get(gaps, i), F.lit(NEAR)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(NEAR)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(state["rows"], F.array(row)).alias("rows"))
+    def rows(s: Column) -> Column:
+        found, gaps = s["found"], s["gaps"]
+        before = running(F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)), F.lit(0), lambda a, b: a + b)
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda s: s["rows"])).otherwise(none)
+        def row(at: Column, i: Column) -> Column:
+            start = at + F.length(F.get(gaps, i))
+            return F.struct(start.alias("start"), (start + F.length(F.get(found, i))).alias("end"), F.get(found, i).alias("value"), F.right(F.get(gaps, i), F.lit(NEAR)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(NEAR)).alias("after"))
+
+        return F.transform(before, row)
+
+    found = F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return bound(found, lambda f: F.when(F.size(f) > 0, bound(F.struct(f.alias("found"), F.split(text, pattern, -1).alias("gaps")), rows)).otherwise(none))
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -82,10 +112,27 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     named = lambda k: lambda m: m.withField("kind", F.lit(k))
     base = [F.transform(F.filter(name, test), named(k)) for k, (name, test) in enumerate(kept.items())]
     rows = rows.select("doc_id", "doc", "o", F.concat(*base).alias("base"))
-    others = F.filter("o", lambda m: (length(m) >= 6) & ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    others = apart(F.filter("o", lambda m: length(m) >= 6), F.col("base"))
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "doc", "base", others.alias("candidates"))
 
 
+def apart(rows: Column, base: Column) -> Column:
+    """The matches of ``rows`` that overlap none of ``base``: in the order of starts, the furthest end before a match and
+    the nearest start after it tell."""
+    last = F.lit((1 << 31) - 1)
+    sided = lambda m, side: F.struct(m["start"].alias("start"), F.lit(side).alias("side"), m["end"].alias("end"), m["value"].alias("value"), m["before"].alias("before"), m["after"].alias("after"))
+    both = F.array_sort(F.concat(F.transform(base, lambda m: sided(m, 0)), F.transform(rows, lambda m: sided(m, 1))))
+
+    def kept(e: Column) -> Column:
+        ends = running(F.transform(e, lambda m: F.when(m["side"] == 0, m["end"]).otherwise(F.lit(0))), F.lit(0), lambda a, b: F.greatest(a, b))
+        starts = F.reverse(running(F.transform(F.reverse(e), lambda m: F.when(m["side"] == 0, m["start"]).otherwise(last)), last, lambda a, b: F.least(a, b)))
+        near = F.arrays_zip(e.alias("m"), ends.alias("end"), starts.alias("start"))
+        free = F.filter(near, lambda x: (x["m"]["side"] == 1) & (x["end"] <= x["m"]["start"]) & (x["start"] >= x["m"]["end"]))
+        return F.transform(free, lambda x: F.struct(*[x["m"][f].alias(f) for f in ("start", "end", "value", "before", "after")]))
+
+    return bound(rows, lambda r: F.when((F.size(r) > 0) & (F.size(base) > 0), bound(both, kept)).otherwise(r))
+
+
 def patterns(m: Column) -> Column:
     """The lexical patterns of a match: word before, two words before, word after."""
     word = "[^\\x20\\x09-\\x0D]+"
@@ -95,22 +142,28 @@ def patterns(m: Column) -> Column:
     return F.filter(made, lambda x: x.isNotNull())
 
 
-def bootstrap(found: DataFrame, rounds: int = 3, support: int = 5, least: float = 0.9) -> DataFrame:
+def bootstrap(found: DataFrame, rounds: int = 8, support: int = 5, least: float = 0.9) -> DataFrame:
     """The candidate values (value, confidence) that reach ``least``."""
     both = F.concat(F.transform("base", lambda m: F.struct(m["value"].alias("value"), F.lit(True).alias("seed"), patterns(m).alias("patterns"))), F.transform("candidates", lambda m: F.struct(m["value"].alias("value"), F.lit(False).alias("seed"), patterns(m).alias("patterns"))))
     seen = found.where("size(candidates) + size(base) > 0").select(F.explode(both).alias("m")).select("m.value", "m.seed", F.explode("m.patterns").alias("pattern"))
-    pairs = written(seen.groupBy("pattern", "value", "seed").agg(F.count("*").alias("n")), "contexts")
-    scores = pairs.groupBy("value").agg(F.max("seed").cast("double").alias("confidence"))
+    pairs = seen.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.bool_or("seed").alias("seed"), F.bool_or(~F.col("seed")).alias("other"))
+    pairs = written(pairs, "contexts")
+    seeds = pairs.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("confidence"))
+    scores, sure = seeds, None
     for _ in range(rounds):
         weighed = pairs.join(scores, "value")
-        sure = weighed.groupBy("pattern").agg((F.sum(F.col("n") * F.col("confidence")) / (F.sum("n") + 1)).alias("weight"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        sure = sure.where(F.col("seeds") >= support).select("pattern", "weight")
-        best = pairs.join(sure, "pattern", "left").groupBy("value").agg(F.greatest(F.max("seed").cast("double"), F.coalesce(F.max("weight"), F.lit(0.0))).alias("confidence"))
+        share = F.sum(F.col("n") * F.col("confidence")) / (F.sum("n") + 1)
+        weights = weighed.groupBy("pattern").agg(share.alias("weight"), F.count_if(F.col("confidence") >= least).alias("sure")).where(F.col("sure") >= support)
+        best = pairs.join(weights.select("pattern", "weight"), "pattern", "left").groupBy("value").agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("weight"), F.lit(0.0))).alias("confidence"))
         scores = written(best, "confidence")
-    return scores.join(pairs.where("not seed").select("value").distinct(), "value", "left_semi").where(F.col("confidence") >= least)
+        now = scores.where(F.col("confidence") >= least).count()
+        if now == sure:
+            break
+        sure = now
+    return scores.join(pairs.where("other").select("value").distinct(), "value", "left_semi").where(F.col("confidence") >= least)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, least: float = 0.9, carry: bool = False) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 8, support: int = 5, least: float = 0.9, carry: bool = False) -> DataFrame:
     """doc_id, spans: array of (kind, start, end), kinds numbered as in KINDS; with ``carry`` also doc, as in ``extract``."""
     found = written(extract(docs, id_col, text_col, carry), "personal")
     sure = bootstrap(found, rounds, support, least).select("value")
@@ -130,17 +183,22 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def redacted(text: str, spans: str) -> Column:
     """The text with each stretch that spans cover replaced by the first one's kind in angle brackets.
 
-    Built in one pass over the spans in the order of their starts; a span that starts inside what is replaced adds to it.
+    Spans are taken in the order of their starts; one that starts inside what is replaced adds to it.
     """
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     ordered = F.array_sort(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    t = F.col(text)
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def clean(s: Column) -> Column:
+        spans, pieces = s["spans"], s["pieces"]
+
+        def cut(start: Column, end: Column) -> Column:
+            first = F.floor(start / PIECE).cast("int")
+            near = F.array_join(F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+            return F.when(end > start, F.substring(near, start - first * PIECE + 1, end - start)).otherwise(F.lit(""))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(t, state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
-        part = F.when(s["start"] >= state["at"], F.concat(gap, F.element_at(names, s["kind"] + 1))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], F.array(part)).alias("parts"))
+        before = running(F.transform(spans, lambda x: x["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+        parts = F.zip_with(spans, before, lambda x, at: F.when(x["start"] >= at, F.concat(cut(at, x["start"]), F.element_at(names, x["kind"] + 1))).otherwise(F.lit("")))
+        return F.concat(F.array_join(parts, ""), cut(F.array_max(F.transform(spans, lambda x: x["end"])), F.length(F.col(text))))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    end = lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(t, s["at"] + 1, F.length(t)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, first, step, end)).otherwise(t)
+    return F.when(F.size(spans) > 0, bound(F.struct(ordered.alias("spans"), pieces.alias("pieces")), clean)).otherwise(F.col(text))

@@ -259,6 +259,33 @@ def test_contexts_are_learned_from_seeds(spark):
     assert more[40] == ["0305551234x"] and more[41] == []
 
 
+def test_what_a_pattern_finds_induces_further_patterns(spark):
+    """Seeds stand after one phrase only; values found there stand after a second phrase; a third value is found by that alone."""
+    chosen = random.Random(8)
+    seeds = [f"please ring number +49 30 {chosen.randrange(1000000, 9999999)} today" for _ in range(60)]
+    known = [f"03055{k}234x" for k in range(8)]
+    hops = [f"please ring number {v} today" for v in known] + [f"our desk code {v} here" for v in known for _ in range(6)] + ["our desk code 77712345z here", "the year 123456789 was long"]
+    rows = seeds + hops
+    found = personal.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    more = {r.doc_id: [rows[r.doc_id][s.start : s.end] for s in r.spans if s.kind == 4] for r in found}
+    assert more[len(rows) - 2] == ["77712345z"] and more[len(rows) - 1] == []
+    once = personal.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), rounds=1).where("doc_id = " + str(len(rows) - 2)).first()
+    assert [s for s in once.spans if s.kind == 4] == []
+
+
+def test_many_numbers_in_one_text(spark):
+    import time
+
+    text = " ".join(f"+49 30 {k:07d} a.b{k}@c.de" for k in range(10_000))
+    table = spark.createDataFrame([(1, text), (2, "ä😀" * 3000 + " 10.0.0.1 " + "ü" * 2500)], "doc_id long, text string")
+    began = time.monotonic()
+    spans = {r.doc_id: [(personal.KINDS[s.kind], s.start, s.end) for s in r.spans] for r in personal.find(table).collect()}
+    clean = {r.doc_id: r.text for r in personal.redact(table).collect()}
+    assert time.monotonic() - began < 60
+    assert spans == {1: brute.personal_spans(text), 2: [("ip", 6001, 6009)]}
+    assert clean == {1: " ".join(["<PHONE> <EMAIL>"] * 10_000), 2: "ä😀" * 3000 + " <IP> " + "ü" * 2500}
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [(1, "mail a@b.cd now", "k"), (1, "mail a@b.cd now", "k"), (None, None, "k"), (2, "", "k"), (3, "ip 1.2.3.4, card 4111111111111111", "k")]
     got = personal.redact(spark.createDataFrame(rows, "doc_id long, text string, spans string"))
