@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.sources.storage import delete_path, fresh_path, scratch
 from callweave.sources.storage import stored as written
 
-__all__ = ["Forest", "Task", "components", "delete_path", "fresh_path", "one_task_each", "rows_to_batches", "sorted_groups", "tasks_for", "written"]
+__all__ = ["Forest", "Task", "bound", "components", "delete_path", "fresh_path", "one_task_each", "rows_to_batches", "scratch", "sorted_groups", "tasks_for", "written"]
 
 
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -83,6 +83,11 @@ def tasks_for(spark: SparkSession, work: int, each: int) -> int:
     return max(4 * spark.sparkContext.defaultParallelism, min(100_000, -(-int(work) // each)))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of ``value``, which is computed once however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def one_task_each(rows: DataFrame, key: str) -> DataFrame:
     """Small ``rows`` that each stand for a file, one to a task; the number given keeps them from being coalesced."""
     return rows.repartitionByRange(max(1, rows.count()), key)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import written
+from callweave.llm.common import bound, written
 
 KINDS = ["email", "ip", "card", "phone", "context"]
 # Fixed patterns of the base kinds.
@@ -54,11 +54,6 @@ def luhn(number: Column) -> Column:
     return total % 10 == 0
 
 
-def bound(value: Column, use) -> Column:
-    """``use`` of ``value``, which is computed once however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def running(values: Column, zero: Column, merge) -> Column:
     """For each element of an array what ``merge``, an associative function, makes of those before it, from ``zero`` on.
 
