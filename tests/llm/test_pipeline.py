@@ -72,3 +72,21 @@ def test_all_that_is_left_is_packed(stages):
 def test_run_gives_what_the_stages_give(spark):
     rows = corpus_pipeline.run(spark, DATA).collect()
     assert rows and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} == set(rows[0].asDict())
+
+
+def test_empty_and_unlabelled_tables_and_other_columns(spark):
+    """A table without rows, one without labels, and columns with the names that the operators use themselves."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, DATA).collect() == []
+    rows = [(k, f"some words of text number {k} that stand alone", None, "s", 9, 777.0, "p", "t", 5, "m") for k in range(3)] + [(9, "12 34", None, "s", 5, 1.0, "p", "t", 5, "m")]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, text_hash string, component_id int, spans string")
+    labelled = more.union(more.limit(1).selectExpr("doc_id + 100", "text || ' x'", "'en'", *more.columns[3:]))
+    for given, ids in ((more, {0, 1, 2}), (labelled, {0, 1, 2, 100})):
+        kept = given
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, DATA)
+            assert kept.columns == given.columns
+        got = {r.doc_id: r for r in kept.collect()}
+        assert set(got) == ids - ({100} if len(got) == 3 else set()) and all((r.score, r.lang_pred, r.text_hash, r.component_id, r.spans) == (777.0, "p", "t", 5, "m") for r in got.values())
+        assert {r.lang for r in got.values()} == ({None} if given is more else {"en"})
