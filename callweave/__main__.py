@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     add("--snapshot", help="graph snapshot to bring up to date")
     add("-a", "--analysis-level", default="1", help="1 or 2; both give the same")
     add("-t", "--target-files", nargs="+", help="make nodes and edges of these files alone")
+    add("--skip-dir", action="append", metavar="NAME", help="leave out directories of this name too; may be repeated")
     add("--skip-tests", action="store_true", help="leave test trees out (default)")
     add("--include-tests", action="store_true", help="take test trees too")
     add("--eager", action="store_true", help="parse every file again")
@@ -52,7 +53,7 @@ def options(argv: list[str]) -> Options:
     logging.basicConfig(stream=sys.stderr, level=[logging.WARNING, logging.INFO, logging.DEBUG][min(a.verbose, 2)])
     return Options(
         a.input or "", a.app_name, a.target_files, not a.include_tests, provider, not a.no_phantoms, a.flow_file, a.emit, a.output, a.snapshot,
-        2 if a.analysis_level == "2" else 1, not a.no_build, a.cache_dir, a.eager,
+        2 if a.analysis_level == "2" else 1, not a.no_build, a.cache_dir, a.eager, a.skip_dir,
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # What a scan takes and leaves out.
 SOURCE_EXTENSIONS = [".ts", ".tsx", ".mts", ".cts"]
 STRIPPED_EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs"]
-SKIPPED_DIRECTORIES = ["node_modules", ".git", ".codeanalyzer", "dist", "build", "out", "coverage", ".next", ".turbo", ".cache", "vendor"]
+SKIPPED_DIRECTORIES = ["node_modules", ".git", "dist", "build", "out", "coverage", ".next", ".turbo", ".cache", "vendor"]
 TEST_DIRECTORIES = ["__tests__", "__test__", "test", "tests", "spec", "__mocks__"]
 TYPE_LENGTH, CODE_LENGTH = 400, 20_000
 
@@ -108,8 +108,9 @@ def declaration_kind(text: Column) -> Column:
     return F.when(word != "", word).otherwise(F.lit("unknown"))
 
 
-def is_vendored(path: Column) -> Column:
-    return F.arrays_overlap(directories(path), F.array(*[F.lit(d) for d in SKIPPED_DIRECTORIES]))
+def is_vendored(path: Column, more: list[str] | None = None) -> Column:
+    """Below one of the skipped directories, or one of ``more``."""
+    return F.arrays_overlap(directories(path), F.array(*[F.lit(d) for d in [*SKIPPED_DIRECTORIES, *(more or [])]]))
 
 
 def is_test(path: Column) -> Column:

@@ -9,53 +9,77 @@ from callweave.functions import text as x
 from callweave.operators.edges import call_edges
 from callweave.operators.rows import enclosing, first_wins
 from callweave.sources.scan import Flow
+from callweave.sources.storage import stored
 
 
 def functions_of(flow: Flow, tables: dict[str, DataFrame]) -> DataFrame:
     """(id, class, signature, module, member, path, line, column) of the analyzer's functions.
 
-    A project function is the callable that starts at its place; else an anonymous one, named after the innermost callable
-    around it, or after its module. A function below ``node_modules`` belongs to its package.
+    A project function is the callable whose function starts at its place (of a named arrow, the arrow and not the variable);
+    else an anonymous one, named after the innermost callable around it, or after its module. A function below ``node_modules`` belongs to its package.
     """
     rows = flow.functions.select("id", "path", F.col("place.start_line").alias("line"), F.col("place.start_column").alias("column"), x.package_of(F.col("path")).alias("p"))
     modules = tables["module"].select(F.col("file_key").alias("path"), "module_name")
     inside = rows.where("p is null").join(modules, "path")
-    spans = tables["callable"].where("not is_implicit").select(F.col("file_key").alias("path"), "signature", F.struct("start_line", "start_column").alias("start"), F.struct("end_line", "end_column").alias("end"), "start_line", "kind")
+    written = tables["callable"].where("not is_implicit")
+    spans = written.select(F.col("file_key").alias("path"), "signature", F.struct("start_line", "start_column").alias("start"), F.struct("end_line", "end_column").alias("end"))
     point = F.struct(F.col("line").alias("start_line"), F.col("column").alias("start_column"))
     behind = F.struct(F.col("line").alias("end_line"), F.col("column").alias("end_column"))
-    host = enclosing(inside.select("id", "path", "line", "column"), spans, ["path"], (F.col("start") <= point) & (behind < F.col("end")), ["id"], "start").select("id", F.col("signature").alias("host"), F.col("start").alias("host_start"))
-    named = inside.join(host, "id", "left")
-    exact = F.col("host_start.start_line").eqNullSafe(F.col("line")) & (F.col("host_start.start_column") <= F.col("column")) & (F.col("host_start.start_column") == F.col("column"))
+    host = enclosing(inside.select("id", "path", "line", "column"), spans, ["path"], (F.col("start") <= point) & (behind < F.col("end")), ["id"], "start").select("id", F.col("signature").alias("host"))
+    exact = written.select(F.col("file_key").alias("path"), F.col("function_line").alias("line"), F.col("function_column").alias("column"), F.col("signature").alias("own")).dropDuplicates(["path", "line", "column"])
+    named = inside.join(host, "id", "left").join(exact, ["path", "line", "column"], "left")
     anonymous = x.anonymous_signature(F.coalesce("host", "module_name"), F.col("line"), F.col("column"))
-    project = named.select("id", F.when(exact, "project").otherwise("anonymous").alias("class"), F.when(exact, F.col("host")).otherwise(anonymous).alias("signature"), F.lit(None).cast("string").alias("module"), F.lit(None).cast("string").alias("member"), "path", "line", "column")
+    project = named.select("id", F.when(F.col("own").isNotNull(), "project").otherwise("anonymous").alias("class"), F.coalesce("own", anonymous).alias("signature"), F.lit(None).cast("string").alias("module"), F.lit(None).cast("string").alias("member"), "path", "line", "column")
     library = rows.where("p is not null").select("id", F.lit("library").alias("class"), x.anonymous_signature(F.concat_ws(":", "p.package", "p.path"), F.col("line"), F.col("column")).alias("signature"), F.col("p.package").alias("module"), F.lit(None).cast("string").alias("member"), "path", "line", "column")
     return project.unionByName(library)
 
 
-def library_names(flow: Flow, functions: DataFrame, sites: DataFrame) -> DataFrame:
-    """(id, member): what the project's own calls name a library function, from calls into packages at the same place."""
-    calls = flow.calls.select(F.col("id").alias("call"), "path", F.col("place.start_line").alias("start_line"), F.col("place.start_column").alias("start_column"))
-    named = sites.where("is_external").select(F.col("file_key").alias("path"), "start_line", "start_column", F.col("method_name").alias("member"), F.col("order"))
-    met = flow.call2fun.join(calls, "call").join(named, ["path", "start_line", "start_column"]).select(F.col("callee").alias("id"), "member", "order")
-    return first_wins(met.join(functions.where("class = 'library'").select("id"), "id", "left_semi"), ["id"], [F.col("order"), F.col("member")]).select("id", "member")
+def border_calls(flow: Flow, functions: DataFrame, sites: DataFrame) -> DataFrame:
+    """(source, target, module, member, ordinal) of the project's calls into libraries.
+
+    A call is the innermost call site around its place; it belongs to the innermost of the analyzer's own functions around
+    it, and is named by what the site resolved to, else by the library function's place. Calls of no function are left out.
+    """
+    calls = flow.calls.select(F.col("id").alias("call"), "path", F.struct(F.col("place.start_line").alias("line"), F.col("place.start_column").alias("column")).alias("at"))
+    library = functions.where("class = 'library'").select(F.col("id").alias("callee"), F.col("signature").alias("place_name"), F.col("module").alias("package"))
+    met = flow.call2fun.join(library, "callee").join(calls, "call")
+    around = functions.where("class <> 'library'").join(flow.functions.select("id", "place"), "id")
+    around = around.select("path", F.col("signature").alias("source"), F.struct("place.start_line", "place.start_column").alias("start"), F.struct("place.end_line", "place.end_column").alias("end"))
+    owned = enclosing(met, around, ["path"], (F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")), ["call", "callee"], "start").drop("start", "end")
+    spans = sites.select(F.col("file_key").alias("path"), F.struct("start_line", "start_column").alias("start"), F.struct("end_line", "end_column").alias("end"), F.when(F.col("is_external"), F.col("callee_signature")).alias("named"))
+    sited = enclosing(owned, spans, ["path"], (F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")), ["call", "callee"], "start").select("call", "callee", "named")
+    out = owned.join(sited, ["call", "callee"], "left")
+    member = F.when(F.col("named").isNotNull(), x.member_of(F.col("named")))
+    module = F.coalesce(F.when(F.col("named").isNotNull(), x.owner_of(F.col("named"))), F.col("package"))
+    return out.select("source", F.coalesce("named", "place_name").alias("target"), module.alias("module"), member.alias("member"), F.struct("call", "callee").alias("ordinal"))
 
 
 def flow_edges(flow: Flow, tables: dict[str, DataFrame], sites: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(edges, external, synthesized, stats). Calls inside and between libraries are dropped, the border is kept."""
-    functions = functions_of(flow, tables)
-    names = library_names(flow, functions, sites)
-    known = functions.drop("member").join(names, "id", "left").withColumn("signature", F.coalesce(F.when(F.col("member").isNotNull(), x.dotted(F.col("module"), F.col("member"))), F.col("signature")))
-    a = known.select(F.col("id").alias("caller"), F.col("signature").alias("source"), F.col("class").alias("a"))
-    b = known.select(F.col("id").alias("callee"), F.col("signature").alias("target"), F.col("class").alias("b"), F.col("module"))
-    pairs = flow.fun2fun.join(a, "caller", "left").join(b, "callee", "left")
-    kept = (F.col("a") != "library") | (F.col("b") != "library")
-    outside = (F.col("a") == "library") | (F.col("b") == "library")
+    """(edges, external, synthesized, stats).
+
+    Pairs of functions give the edges inside the project and those from libraries into it; calls give the edges into
+    libraries, because a call's text names what is called. Pairs inside libraries, and unknown ends, are dropped.
+    """
+    functions = stored(functions_of(flow, tables), "flow-functions")
+    calls = stored(border_calls(flow, functions, sites), "border-calls")
+    a = functions.select(F.col("id").alias("caller"), F.col("signature").alias("source"), F.col("class").alias("a"), F.col("module").alias("a_module"))
+    b = functions.select(F.col("id").alias("callee"), F.col("signature").alias("target"), F.col("class").alias("b"))
+    pairs = stored(flow.fun2fun.join(a, "caller", "left").join(b, "callee", "left"), "flow-pairs")
+    inner, inbound = (F.col("a") != "library") & (F.col("b") != "library"), (F.col("a") == "library") & (F.col("b") != "library")
+    outbound = (F.col("a") != "library") & (F.coalesce("b", F.lit("library")) == "library")
     none = F.create_map().cast("map<string,string>")
-    tags = F.when(outside, F.create_map(F.lit("ts.external"), F.lit("true"))).otherwise(none)
-    good = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull() & kept).select("source", "target", F.struct("caller", "callee").alias("ordinal"), tags.alias("tags"))
-    edges = call_edges(good, "jelly")
+    tags = lambda module: F.create_map(F.lit("ts.external"), F.lit("true"), F.lit("ts.module"), F.col(module))
+    good = pairs.where(inner | inbound).select("source", "target", F.struct(F.lit(1).alias("k"), "caller", "callee").alias("ordinal"), F.when(inbound, tags("a_module")).otherwise(none).alias("tags"))
+    out = calls.select("source", "target", F.struct(F.lit(0).alias("k"), F.col("ordinal.call").alias("caller"), F.col("ordinal.callee").alias("callee")).alias("ordinal"), tags("module").alias("tags"))
+    edges = stored(call_edges(good.unionByName(out), "jelly"), "flow-call-edges")
     ends = edges.select(F.explode(F.array("source", "target")).alias("signature")).distinct()
-    synthesized = known.where(F.col("class") == "anonymous").join(ends, "signature", "left_semi").select("signature", F.lit("(anonymous)").alias("name"), "path", F.col("line").alias("start_line"), F.col("column").alias("start_column")).dropDuplicates(["signature"])
-    external = known.where(F.col("class") == "library").join(ends, "signature", "left_semi").select("signature", F.coalesce("member", F.lit("(anonymous)")).alias("name"), "module").dropDuplicates(["signature"])
-    stats = pairs.agg(F.count("*").alias("pairs"), F.count_if(kept & outside).alias("boundary"), F.count_if(F.col("a").isNull() | F.col("b").isNull() | ~kept).alias("dropped"))
-    return edges, external, synthesized, stats
+    synthesized = functions.where(F.col("class") == "anonymous").join(ends, "signature", "left_semi").select("signature", F.lit("(anonymous)").alias("name"), "path", F.col("line").alias("start_line"), F.col("column").alias("start_column")).dropDuplicates(["signature"])
+    named = calls.select(F.col("target").alias("signature"), F.coalesce("member", F.lit("(anonymous)")).alias("name"), "module")
+    entered = functions.where("class = 'library'").join(ends, "signature", "left_semi").select("signature", F.lit("(anonymous)").alias("name"), "module")
+    external = first_wins(named.unionByName(entered), ["signature"], [F.col("name"), F.col("module")])
+    dropped = ~(F.coalesce(inner, F.lit(False)) | F.coalesce(inbound, F.lit(False)) | F.coalesce(outbound, F.lit(False)))
+    stats = functions.agg(F.count("*").alias("functions"), F.count_if(F.col("class") != "library").alias("first_party"), F.count_if(F.col("class") == "anonymous").alias("synthesized"))
+    stats = stats.crossJoin(synthesized.agg(F.count("*").alias("materialized"))).crossJoin(external.agg(F.count("*").alias("external"))).crossJoin(edges.agg(F.count("*").alias("edges")))
+    counted = pairs.agg(F.count("*").alias("pairs"), F.count_if(inbound).alias("inbound"), F.count_if(dropped).alias("dropped"))
+    stats = stats.crossJoin(counted).crossJoin(calls.agg(F.count("*").alias("outbound")))
+    return edges, external, synthesized, stats.withColumn("boundary", F.col("inbound") + F.col("outbound")).drop("inbound", "outbound")

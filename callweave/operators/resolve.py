@@ -20,17 +20,17 @@ from callweave.sources.storage import stored
 
 SAME_ARRAY = ["filter", "slice", "concat", "reverse", "sort", "toSorted", "toReversed"]
 ELEMENT = ["find", "at", "pop", "shift", "findLast"]
-ROUNDS = 10
 
 
 @dataclass
 class Resolved:
-    """Call sites with their callee, edges, external symbols and run statistics."""
+    """Call sites with their callee and types, edges, external symbols, run statistics, and the heritage found."""
 
     call_sites: DataFrame
     edges: DataFrame
     external: DataFrame
     stats: DataFrame
+    parents: DataFrame
 
 
 def visible(rows: DataFrame, names: DataFrame) -> DataFrame:
@@ -120,7 +120,8 @@ def members(tables: dict[str, DataFrame], names: DataFrame, closed: DataFrame) -
 
 
 def evaluate(chains: DataFrame, names: DataFrame, values: DataFrame, known: DataFrame, types: DataFrame, parents: DataFrame, returns: DataFrame) -> DataFrame:
-    """(id, target, sig, array) of ``chains`` (id, scopes, root, steps): the callee of the last step and the type reached."""
+    """(id, target, sig, array, receiver, receiver_array) of ``chains`` (id, scopes, root, steps): the callee of the last step,
+    the type reached, and the type before the last step. A chain leaves the joins soon after its own last step."""
     chains = stored(chains.select("id", "scopes", "root", "steps").where("root is not null"), "chains")
     longest = chains.agg(F.max(F.size("steps"))).first()[0] or 0
     classes = types.where("kind = 'class'").select(F.col("signature").alias("scope"))
@@ -140,10 +141,16 @@ def evaluate(chains: DataFrame, names: DataFrame, values: DataFrame, known: Data
     used = F.when(F.col("kind") == "new", 1).when(F.col("kind").isin("function", "super") & bare, 1).otherwise(0)
     reached = F.when((F.col("kind") == "function") & bare, F.col("returned")).when(F.col("kind") == "function", F.lit(None)).when((F.col("kind") == "super") & bare, F.lit(None)).otherwise(F.col("sig"))
     many = F.when((F.col("kind") == "function") & bare, F.col("returned_array")).otherwise(F.col("array"))
-    state = state.select("id", "steps", used.alias("at"), target.alias("target"), reached.alias("sig"), F.coalesce(many, F.lit(False)).alias("array"))
+    none = F.lit(None).cast("string")
+    state = state.select("id", "steps", used.alias("at"), target.alias("target"), reached.alias("sig"), F.coalesce(many, F.lit(False)).alias("array"), none.alias("receiver"), F.lit(False).alias("receiver_array"))
     state = stored(state, "state")
+    columns = ["id", "target", "sig", "array", "receiver", "receiver_array"]
+    finished = state.where("false").select(columns)
     steps = known.select("owner", "member", F.col("target").alias("next_target"), "next", F.col("array").alias("next_array"), "self", F.lit(True).alias("hit"))
     for k in range(longest):
+        if k % 4 == 0:
+            state = stored(state, "state") if k else state
+            finished, state = finished.unionByName(state.where(F.size("steps") <= k).select(columns)), state.where(F.size("steps") > k)
         step = F.get("steps", F.lit(k))
         named = F.col("member")
         met = state.withColumn("member", step["member"]).withColumn("owner", F.when(~F.col("array"), F.col("sig"))).join(steps, ["owner", "member"], "left")
@@ -151,13 +158,12 @@ def evaluate(chains: DataFrame, names: DataFrame, values: DataFrame, known: Data
         inner = step["element"] | named.isin(ELEMENT)
         sig = F.when(many & (inner | named.isin(SAME_ARRAY)), F.col("sig")).when(many, F.lit(None)).when(F.col("self"), F.col("sig")).otherwise(F.col("next"))
         array = F.when(many, ~inner).otherwise(F.coalesce("next_array", F.lit(False)))
-        state = met.select(
-            "id", "steps", F.when(due, F.lit(k + 1)).otherwise(F.col("at")).alias("at"), F.when(due, F.when(F.col("hit") & step["called"], F.col("next_target"))).otherwise(F.col("target")).alias("target"),
-            F.when(due, sig).otherwise(F.col("sig")).alias("sig"), F.when(due, array).otherwise(many).alias("array"),
-        )
-        if k % 4 == 3:
-            state = stored(state, "state")
-    return stored(state.select("id", "target", "sig", "array"), "evaluated")
+        after = {
+            "at": F.lit(k + 1), "target": F.when(F.col("hit") & step["called"], F.col("next_target")), "sig": sig, "array": array,
+            "receiver": F.col("sig"), "receiver_array": many,
+        }
+        state = met.select("id", "steps", *[F.when(due, v).otherwise(F.col(c)).alias(c) for c, v in after.items()])
+    return stored(finished.unionByName(state.select(columns)), "evaluated")
 
 
 def value_types(tables: dict[str, DataFrame], names: DataFrame, known: DataFrame, parents: DataFrame, returns: DataFrame) -> DataFrame:
@@ -167,7 +173,7 @@ def value_types(tables: dict[str, DataFrame], names: DataFrame, known: DataFrame
     rows = stored(rows.select("id", "scope", "scopes", "name", "type_name", "type_array", "root", "steps", "element"), "bindings")
     direct = rows.join(typed(rows, names, types.where("kind in ('class', 'interface')")), "id").select("id", "scope", "name", "sig", F.col("type_array").alias("array"))
     values = stored(direct, "values")
-    for _ in range(ROUNDS):
+    while True:
         open_ = rows.where("type_name is null and root is not null").join(values.select("id"), "id", "left_anti")
         found = evaluate(open_, names, values, known, types, parents, returns).where("sig is not null")
         more = rows.select("id", "scope", "name", "element").join(found, "id")
@@ -175,13 +181,13 @@ def value_types(tables: dict[str, DataFrame], names: DataFrame, known: DataFrame
         more = stored(more, "values")
         if more.isEmpty():
             break
-        values = values.unionByName(more)
+        values = stored(values.unionByName(more), "values")
     return values
 
 
 def external_bindings(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(file_key, local, module, member) of names, and (file_key, local, module) of namespaces, that come from packages."""
-    imports = tables["import"].where(x.is_external(F.col("module")) & (F.col("import_kind") != "side_effect"))
+    imports = tables["import"].where(x.is_external(F.col("module")) & F.col("target").isNull() & (F.col("import_kind") != "side_effect"))
     default = imports["import_kind"] == "default"
     required = tables["require"].where(x.is_external(F.col("module")))
     named = imports.where("import_kind <> 'namespace'").select("file_key", "local", "module", F.when(~default, F.col("name")).alias("member")).unionByName(required.select("file_key", "local", "module", "member"))
@@ -218,8 +224,12 @@ def resolve_calls(tables: dict[str, DataFrame], use_phantoms: bool = True) -> Re
     universe = stored(tables["callable"].where("is_target").select(F.col("signature").alias("target")).distinct(), "universe")
     found = evaluate(sites, names, values, known, types, parents, returns)
     inside = stored(found.where("target is not null").join(universe, "target", "left_semi").select("id", "target"), "inside")
+    received = found.where("receiver is not null").select("id", F.concat(x.member_of(F.col("receiver")), F.when(F.col("receiver_array"), "[]").otherwise("")).alias("receiver_type"))
+    given = tables["callable"].select(F.col("signature").alias("target"), "return_type", "kind", "order")
+    given = first_wins(given, ["target"], [F.col("order")]).select("target", F.when(F.col("kind") == "constructor", x.member_of(x.owner_of(F.col("target")))).otherwise(F.col("return_type")).alias("return_type"))
     outside = stored(phantoms(sites.join(inside, "id", "left_anti"), tables) if use_phantoms else inside.where("false").select("id", F.lit("").alias("signature"), F.lit("").alias("module"), F.lit("").alias("member")), "outside")
-    done = sites.join(inside, "id", "left").join(outside, "id", "left").withColumn("callee_signature", F.coalesce("target", "signature"))
+    done = sites.join(inside, "id", "left").join(given, "target", "left").join(received, "id", "left").join(outside, "id", "left").withColumn("callee_signature", F.coalesce("target", "signature"))
+    done = done.withColumn("return_type", F.when(F.col("return_type") == "this", F.col("receiver_type")).otherwise(F.col("return_type")))
     done = stored(done.withColumn("is_external", F.col("target").isNull() & F.col("signature").isNotNull()), "resolved-sites")
     created = typed(tables["new_expr"].withColumn("id", F.concat_ws("|", "file_key", "start_line", "start_column")), names, types.where("kind = 'class'")).select(F.col("sig").alias("type"))
     created = created.unionByName(done.where("is_constructor_call and target is not null").select(x.without_constructor(F.col("target")).alias("type"))).distinct()
@@ -236,7 +246,7 @@ def resolve_calls(tables: dict[str, DataFrame], use_phantoms: bool = True) -> Re
     external = outside.select("signature", F.col("member").alias("name"), "module").dropDuplicates(["signature"])
     stats = done.agg(F.count_if(F.col("target").isNotNull()).alias("resolved"), F.count_if(F.col("is_external")).alias("phantom"), F.count_if(F.col("callee_signature").isNull()).alias("unresolved"))
     stats = stats.crossJoin(over.agg(F.count("*").alias("rta"))).crossJoin(edges.agg(F.count("*").alias("unique_edges"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")))
-    return Resolved(done.drop("target", "signature", "member"), edges, external, stats)
+    return Resolved(done.drop("target", "signature", "member"), edges, external, stats, parents)
 
 
 def scopes_of(tables: dict[str, DataFrame]) -> DataFrame:

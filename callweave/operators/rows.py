@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.sources.storage import stored
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key. A minimum by a struct, so it is aggregated before the shuffle and needs no sort."""
@@ -19,9 +21,22 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 
 
 def batches(rows: DataFrame, keys: list[str], order: list[Column], size: int) -> DataFrame:
-    """``rows`` with the number of their batch inside their key, ``size`` rows to a batch."""
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("batch", F.floor((number - 1) / size))
+    """``rows`` with the number of their batch inside their key, ``size`` rows to a batch.
+
+    Rows are dealt by ranges of key and order and numbered inside each range; what stands before a range of the same key is
+    a sum over a small table of counts. So a key with very many rows is spread over tasks. Rows that tie stand in any order.
+    """
+    ranged = rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    ranged = stored(ranged, "ranged")
+    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)], F.col("_range").alias("_key_range"), before.alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order))
+    same = F.col("_range") == F.col("_key_range")
+    for n, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{n}"))
+    placed = ranged.withColumn("_number", number).join(counts, same)
+    return placed.withColumn("batch", F.floor((F.col("_before") + F.col("_number") - 1) / size)).select(*rows.columns, "batch")
 
 
 def enclosing(points: DataFrame, ranges: DataFrame, on: list[str], inside: Column, point_key: list[str], start: str) -> DataFrame:

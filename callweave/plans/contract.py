@@ -46,7 +46,12 @@ RELATIONSHIPS = {
     "DECORATED_BY": ("Class Callable Attribute", "Decorator", "positional_arguments string[], keyword_arguments_json string, start_line integer, end_line integer"),
 }
 MARKERS = ["Entrypoint"]
-INDEXES = ["Symbol.name", "Callable.path", "Symbol.docstring (full text)"]
+# Further indexes, as statements.
+INDEXES = [
+    "CREATE INDEX callable_name IF NOT EXISTS FOR (c:Callable) ON (c.name)",
+    "CREATE INDEX decorator_name IF NOT EXISTS FOR (d:Decorator) ON (d.name)",
+    "CREATE FULLTEXT INDEX code_fts IF NOT EXISTS FOR (c:Callable) ON EACH [c.code, c.docstring]",
+]
 
 
 def properties(text: str) -> dict[str, str]:

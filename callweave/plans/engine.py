@@ -10,7 +10,7 @@ from callweave.sources.storage import stored
 from callweave.plans.project import project_graph
 from callweave.plans.providers import Context, Graph, choose
 from callweave.sources import sinks
-from callweave.sources.scan import parse_modules, scan_sources
+from callweave.sources.scan import ProjectConfig, parse_modules, project_config, resolve_aliases, scan_sources
 
 
 @dataclass
@@ -31,6 +31,7 @@ class Options:
     materialize: bool = False
     cache: str | None = None
     eager: bool = False
+    skipped: list[str] | None = None
 
     @property
     def name(self) -> str:
@@ -47,13 +48,13 @@ class Analysis:
 
 
 def analyze(spark: SparkSession, options: Options) -> Analysis:
-    files = scan_sources(spark, options.input, options.skip_tests, options.targets)
-    return analyze_files(spark, files, options)
+    files = scan_sources(spark, options.input, options.skip_tests, options.targets, options.skipped)
+    return analyze_files(spark, files, options, project_config(spark, options.input))
 
 
-def analyze_files(spark: SparkSession, files: DataFrame, options: Options) -> Analysis:
+def analyze_files(spark: SparkSession, files: DataFrame, options: Options, config: ProjectConfig | None = None) -> Analysis:
     """From rows of files; all of them are read for resolution, targets alone make nodes and edges."""
-    tables = parse_modules(files, options.name, options.cache, options.eager)
+    tables = resolve_aliases(parse_modules(files, options.name, options.cache, options.eager), config or ProjectConfig())
     graph = choose(options.provider).build(Context(spark, tables, options.phantoms, options.flow_path))
     out = Analysis(tables, graph)
     kind = options.emit if options.emit in ("json", "neo4j", "schema", "parquet") else "json"

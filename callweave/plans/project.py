@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import text as x
-from callweave.operators.resolve import Resolved, names_in_scope, ancestors
+from callweave.operators.resolve import Resolved
 from callweave.operators.rows import first_wins, last_wins
 from callweave.plans import contract
 
@@ -51,8 +51,8 @@ def project_graph(tables: dict[str, DataFrame], resolved: Resolved, app: str, sy
     sites = resolved.call_sites.where("is_target")
     fields = own["attribute"].withColumn("id", F.concat("owner", F.lit("#attr:"), "name")).dropDuplicates(["id"])
     variables = own["variable"].withColumn("id", span_key("var")).dropDuplicates(["id"])
-    bare = own["import"].where(x.is_external(F.col("module"))).select(F.col("module").alias("name"))
-    again = own["export"].where(x.is_external(F.col("module"))).select(F.col("module").alias("name"))
+    bare = own["import"].where(x.is_external(F.col("module")) & F.col("target").isNull()).select(F.col("module").alias("name"))
+    again = own["export"].where(x.is_external(F.col("module")) & F.col("target").isNull()).select(F.col("module").alias("name"))
     packages = resolved.external.select(F.col("module").alias("name")).unionByName(bare).unionByName(again).distinct()
     marked = [own[t].select(F.explode("decorators").alias("d")).select("d.*") for t in ("callable", "declaration", "attribute")]
     decorators = first_wins(marked[0].unionByName(marked[1]).unionByName(marked[2]).select("qualified_name", "name"), ["qualified_name"], [F.col("name")])
@@ -62,7 +62,7 @@ def project_graph(tables: dict[str, DataFrame], resolved: Resolved, app: str, sy
     parts.append(node(calls, app, "Callable", _module=module, type_parameter_names=generic, parameters_json=F.to_json("parameters"), accessed_symbols_json=F.lit("[]")))
     parts.append(node(resolved.external, app, "External"))
     parts += [node(packages, app, "Package"), node(decorators, app, "Decorator")]
-    parts.append(node(sites, app, "CallSite", _module=module, argument_types=F.lit(None).cast("array<string>")))
+    parts.append(node(sites, app, "CallSite", _module=module))
     parts += [node(fields, app, "Attribute", _module=module), node(variables, app, "Variable", _module=module)]
     if synthesized is not None:
         parts.append(node(synthesized, app, "AnonymousCallable", _module=F.col("path")))
@@ -71,12 +71,11 @@ def project_graph(tables: dict[str, DataFrame], resolved: Resolved, app: str, sy
         nodes = nodes.unionByName(p)
 
     by = lambda column: F.col(column)
-    parents, _ = ancestors(tables, names_in_scope(tables))
+    parents = resolved.parents
     modules = tables["module"].select("file_key", "module_name")
     owner_names = modules.select(F.col("module_name").alias("owner_signature"), F.col("file_key").alias("owner_file"))
     inner = types.select("signature", "owner_signature").unionByName(calls.where("owner_kind not in ('class', 'interface')").select("signature", "owner_signature")).join(owner_names, "owner_signature", "left")
     variable_owner = variables.join(owner_names.withColumnRenamed("owner_signature", "owner"), "owner", "left")
-    target = own["import"].join(modules.select(F.col("module_name").alias("target"), F.col("file_key").alias("to_file")), "target", "left")
     index = modules.where("module_name like '%/index'").select(F.regexp_replace("module_name", "/index$", "").alias("target"), F.col("file_key").alias("to_index"))
     reached = lambda rows: rows.join(modules.select(F.col("module_name").alias("target"), F.col("file_key").alias("to_file")), "target", "left").join(index, "target", "left").withColumn("to_key", F.coalesce("to_file", "to_index"))
     target = reached(own["import"])
@@ -111,8 +110,9 @@ def project_graph(tables: dict[str, DataFrame], resolved: Resolved, app: str, sy
         decorated(types.where("kind = 'class'"), "Class", by("signature")), decorated(calls, "Callable", by("signature")), decorated(fields, "Attribute", by("id")),
     ]
     if synthesized is not None:
-        host = F.regexp_replace("signature", r":<\d+:\d+>$", "")
-        ends.append(edge(synthesized, app, "DECLARES", ("Callable", host), ("AnonymousCallable", by("signature"))))
+        hosted = synthesized.withColumn("host", F.regexp_replace("signature", r":<\d+:\d+>$", "")).join(owner_names.withColumnRenamed("owner_signature", "host"), "host", "left")
+        ends.append(edge(hosted.where("owner_file is null"), app, "DECLARES", ("Callable", by("host")), ("AnonymousCallable", by("signature"))))
+        ends.append(edge(hosted.where("owner_file is not null"), app, "DECLARES", ("Module", by("owner_file")), ("AnonymousCallable", by("signature"))))
     edges = ends[0]
     for e in ends[1:]:
         edges = edges.unionByName(e)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +22,7 @@ class Context:
     tables: dict[str, DataFrame]
     phantoms: bool = True
     flow_path: str | None = None
+    resolved: Resolved | None = None  # of these tables with phantoms, if it is known already
 
 @dataclass
 class Graph:
@@ -29,6 +30,7 @@ class Graph:
     external: DataFrame
     synthesized: DataFrame
     resolved: Resolved
+    flow_stats: DataFrame | None = None
 
 class Provider(Protocol):
     name: str
@@ -53,9 +55,9 @@ class FlowProvider:
     def build(self, context: Context) -> Graph:
         if not context.flow_path:
             raise ValueError("the flow provider needs the path of a flow result")
-        r = resolve_calls(context.tables, True)
-        edges, external, synthesized, _ = flow_edges(ingest_flow(context.spark, context.flow_path), context.tables, r.call_sites)
-        return Graph(stored(edges, "flow-edges"), stored(external, "flow-external"), stored(synthesized, "flow-synthesized"), r)
+        r = context.resolved or resolve_calls(context.tables, True)
+        edges, external, synthesized, stats = flow_edges(ingest_flow(context.spark, context.flow_path), context.tables, r.call_sites)
+        return Graph(stored(edges, "flow-edges"), stored(external, "flow-external"), stored(synthesized, "flow-synthesized"), r, stored(stats, "flow-stats"))
 
 class Union:
     """The resolver's graph with the flow provider's laid over it. If the second fails, also late, the first stands."""
@@ -67,13 +69,13 @@ class Union:
         if not context.flow_path:
             return base
         try:
-            over = FlowProvider().build(context)
+            over = FlowProvider().build(replace(context, resolved=base.resolved if context.phantoms else None))
             merged = merge_call_graphs(base, over)
             edges = stored(merged.edges, "merged-edges")  # acts now, so that a failure shows here
         except Exception as error:
             LOG.warning("the flow provider failed, the resolver's graph stands: %s", error)
             return base
-        return Graph(edges, merged.external, merged.synthesized, base.resolved)
+        return Graph(edges, merged.external, merged.synthesized, base.resolved, over.flow_stats)
 
 def merge_call_graphs(base: Graph, overlay: Graph) -> Graph:
     """Weights add up, provenance is the union, tags and symbols of the base win."""

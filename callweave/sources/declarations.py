@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import math
 import posixpath
 import re
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ class Parser:
         self.ambient = file_key.endswith(".d.ts")
         self.rows: list[tuple[str, dict]] = []
         self.done: set[int] = set()
+        self.pending: dict[str, list[dict]] = {}  # signatures without a body that wait for their implementation
+        self.top: list[int] = []  # first tokens of the module's own statements
 
     # --- places -------------------------------------------------------------------------------------------------------
     def at(self, i: int) -> Token:
@@ -229,21 +232,35 @@ class Parser:
         """Emits a callable and walks its body; ``scope`` goes from the module to the owner."""
         signature = f"{scope[-1]}.{name}"
         concise = bool(body) and not self.is_(body[0], "{")
-        own = {"complexity": 0}
         ref = more.pop("ref", None) or {"type": None, "type_name": None, "type_array": False}
+        at = self.span(more.pop("at", first), end)
         accessor = kind if kind in ("getter", "setter") else None
-        for p in params:
-            if re.fullmatch(r"[\w$]+", p["name"] or ""):
-                self.binding([*scope, signature], p["name"], type_name=p["type_name"], type_array=p["type_array"] and not p["is_rest"])
+        overload = not body and not accessor and owner_kind != "interface" and not self.ambient and not flags & {"abstract", "declare"}
+        complexity = 0
+        if not overload:
+            for p in params:
+                if re.fullmatch(r"[\w$]+", p["name"] or ""):
+                    self.binding([*scope, signature], p["name"], type_name=p["type_name"], type_array=p["type_array"] and not p["is_rest"])
         if body:
-            own["complexity"] = 1 + self.body(*body, [*scope, signature], concise)
-        self.emit(
-            "callable", signature=signature, map_key=signature + ({"getter": "#get", "setter": "#set"}.get(kind, "")), name=name, kind=kind, owner_signature=scope[-1], owner_kind=owner_kind, depth=len(scope), path=self.file,
-            parameters=params, return_type=ref["type"], return_name=ref["type_name"], return_array=ref["type_array"], code=(self.source(first, end) or "")[:20_000], docstring=self.docstring(first), code_start_line=self.line(self.at(first).start),
-            cyclomatic_complexity=own["complexity"], accessibility=next((x for x in ("public", "private", "protected") if x in flags), None), is_static="static" in flags, is_abstract="abstract" in flags, is_async="async" in flags,
-            is_exported="export" in flags, is_ambient=self.ambient or "declare" in flags, is_implicit=False, is_readonly=False, accessor_kind=accessor, has_body=bool(body), order=self.at(first).start,
-            **({"decorators": [], "type_parameters": [], "is_generator": False, "is_optional": False} | more), **self.span(first, end),
-        )
+            complexity = 1 + self.body(*body, [*scope, signature], concise)
+        row = {
+            "signature": signature, "map_key": signature + ({"getter": "#get", "setter": "#set"}.get(kind, "")), "name": name, "kind": kind,
+            "owner_signature": scope[-1], "owner_kind": owner_kind, "depth": len(scope), "path": self.file, "parameters": params,
+            "return_type": ref["type"], "return_name": ref["type_name"], "return_array": ref["type_array"],
+            "code": (self.source(first, end) or "")[:20_000], "docstring": self.docstring(first),
+            "code_start_line": self.line(self.at(first).start), "cyclomatic_complexity": complexity,
+            "accessibility": next((x for x in ("public", "private", "protected") if x in flags), None),
+            "is_static": "static" in flags, "is_abstract": "abstract" in flags, "is_async": "async" in flags, "is_exported": "export" in flags,
+            "is_ambient": self.ambient or "declare" in flags, "is_implicit": False, "is_readonly": False, "accessor_kind": accessor,
+            "has_body": bool(body), "order": self.at(first).start, "function_line": at["start_line"], "function_column": at["start_column"],
+        }
+        row |= {"decorators": [], "type_parameters": [], "is_generator": False, "is_optional": False} | more | self.span(first, end)
+        if overload:
+            self.pending.setdefault(signature, []).append(row)
+            return signature
+        kept = ("parameters", "return_type", "type_parameters", "start_line", "end_line")
+        row["overloads"] = [{k: o[k] for k in kept} for o in self.pending.pop(signature, [])] if body else []
+        self.emit("callable", **row)
         return signature
 
     def function_like(self, i: int) -> dict:
@@ -384,7 +401,7 @@ class Parser:
         dot = k - 2 if self.is_(k - 2, ".", "?.") else None
         receiver = (self.source(i + 1, k - 2) if k - 2 > i + 1 else None) if new else self.source(i, dot) if dot and dot > i else None
         self.emit(
-            "call_site", caller=scope[-1], scopes=scope, method_name=name, receiver_expr=receiver, argument_texts=[self.source(a, b) for a, b in arguments], type_arguments=types, is_constructor_call=new,
+            "call_site", caller=scope[-1], scopes=scope, method_name=name, receiver_expr=receiver, argument_texts=[self.source(a, b) for a, b in arguments], argument_types=[self.literal_type(a, b) for a, b in arguments], type_arguments=types, is_constructor_call=new,
             is_optional_chain=any(self.is_(x, "?.") for x in range(i, k)) or self.is_(opening - 1, "?."), root=c["root"] if c else None, steps=c["steps"] if c else [], order=self.at(i).start,
             required=self.required(i) if c and c["root"] == "require" else None, **self.span(i, end),
         )
@@ -393,6 +410,20 @@ class Parser:
             if f and f["params"] and re.fullmatch(r"[\w$]+", f["params"][0]["name"]) and not f["params"][0]["type"]:
                 self.binding(scope, f["params"][0]["name"], chain={"root": c["root"], "steps": c["steps"][:-1]}, element=True)
 
+    def literal_type(self, i: int, j: int) -> str:
+        """The type of an argument that its text alone tells."""
+        x = self.at(i)
+        if self.is_(i, "new"):
+            k = i + 1
+            while self.at(k).kind == "name" or self.is_(k, "."):
+                k += 1
+            return self.source(i + 1, k) or "unknown"
+        if j == i + 1 and x.kind == "name":
+            return {"true": "boolean", "false": "boolean", "null": "null", "undefined": "undefined"}.get(x.text, "unknown")
+        if j == i + 1 or x.kind == "template" and self.at(j - 1).kind == "template":
+            return {"number": "bigint" if x.text.endswith("n") and not x.text.startswith("0x") else "number", "string": "string", "template": "string", "regex": "RegExp"}.get(x.kind, "unknown")
+        return "number" if j == i + 2 and self.is_(i, "-", "+") and self.at(i + 1).kind == "number" else "unknown"
+
     def required(self, i: int) -> str | None:
         return self.at(i + 2).text[1:-1] if self.is_(i, "require") and self.is_(i + 1, "(") and self.at(i + 2).kind == "string" else None
 
@@ -506,9 +537,9 @@ class Parser:
                     continue
                 return k, walked
             e = self.expression_end(k + 1)
-            f = self.arrow(k + 1)
+            start, f = k + 1, self.arrow(k + 1)
             if f and plain:
-                self.callable(first, name, f["kind"], scope, "function" if inside else kind, f["params"], f["body"], f["end"], flags | f["flags"], ref=f["ref"] or None, type_parameters=f["types"], is_generator=f["generator"])
+                self.callable(first, name, f["kind"], scope, "function" if inside else kind, f["params"], f["body"], f["end"], flags | f["flags"], at=start, ref=f["ref"] or None, type_parameters=f["types"], is_generator=f["generator"])
                 k = f["end"]
             else:
                 self.emit("variable", owner=scope[-1], name=name, scope=kind, declaration_kind=word, is_readonly=word == "const", is_exported="export" in flags, initializer=self.source(k + 1, e), value=None, **ref, **self.span(first, e))
@@ -553,7 +584,7 @@ class Parser:
         k += self.at(k).kind == "name"
         f = self.function_like(k)
         body = (f["at"], self.past(f["at"])) if self.is_(f["at"], "{") else None
-        self.callable(i, name, "function", scope, owner_kind, f["params"], body, body[1] if body else f["at"], flags, ref=f["ref"], type_parameters=f["types"], is_generator=generator, decorators=decorators or [])
+        self.callable(i, name, "function", scope, owner_kind, f["params"], body, body[1] if body else f["at"], flags, at=i - self.is_(i - 1, "async"), ref=f["ref"], type_parameters=f["types"], is_generator=generator, decorators=decorators or [])
         return body[1] if body else f["at"]
 
     def declaration(self, first: int, end: int, kind: str, name: str, scope: list[str], flags: set[str], **more) -> None:
@@ -675,17 +706,23 @@ class Parser:
 
     def enum(self, i: int, scope: list[str], flags: set[str], const: bool) -> int:
         name, k = self.at(i + 1).text, i + 3
-        end, members, following = self.past(i + 2), [], 0
+        end, members = self.past(i + 2), []
+        known: dict[str, str | float] = {}
+        following: float | None = 0
         while k < end - 1:
             e = self.expression_end(k)
             label = self.at(k).text.strip("'\"")
             if self.is_(k + 1, "="):
-                text = self.source(k + 2, e)
-                value = self.at(k + 2).text[1:-1] if e == k + 3 and self.at(k + 2).kind == "string" else text
-                following = int(text, 0) + 1 if re.fullmatch(r"-?(?:0[xX][\da-fA-F]+|\d+)", text or "") else None
+                value = Constant(self, name, known).value(k + 2, e)
+                text = self.source(k + 2, e) if value is None else spelled(value)
+                following = value + 1 if isinstance(value, (int, float)) else None
             else:
-                value, following = (str(following), following + 1) if following is not None else (None, None)
-            members.append({"name": label, "value": value})
+                value = following
+                text = None if following is None else spelled(following)
+                following = None if following is None else following + 1
+            if value is not None:
+                known[label] = value
+            members.append({"name": label, "value": text})
             k = e + 1
         self.declaration(i, end, "enum", name, scope, flags, members=members, is_const=const)
         return end
@@ -695,6 +732,8 @@ class Parser:
         k = i
         while k < j:
             first = k
+            if len(scope) == 1:
+                self.top.append(k)
             decorators, k = self.decorators(k)
             flags, k = self.modifiers(k)
             const = self.is_(k, "const") and self.is_(k + 1, "enum")
@@ -803,16 +842,104 @@ class Parser:
             self.emit("export", module=module, name=name, alias=alias, is_type_only=types, export_kind="re_export" if module and kind == "named" else kind, target=self.target(module) if module else None, order=self.at(first).start, **self.span(first, k))
         return k
 
+    def leading(self) -> list[Token]:
+        """The comments before the module's own statements; one on the line where the token before it ends trails that."""
+        found = []
+        for i in self.top:
+            before = self.at(i - 1).end if i else 0
+            for c in self.comments[bisect.bisect_left(self.comments, before, key=lambda c: c.start) :]:
+                if c.start >= self.at(i).start:
+                    break
+                if not i or "\n" in self.text[before : c.start]:
+                    found.append(c)
+        return found
+
     def run(self) -> list[tuple[str, dict]]:
         self.statements(0, len(self.t), [self.module], "module")
+        for rows in self.pending.values():
+            for row in rows:
+                self.emit("callable", **row, overloads=[])
         comments = []
-        for c in self.comments:
+        for c in self.leading():
             la, lb = self.line(c.start), self.line(c.end)
             comments.append({"content": c.text, "is_docstring": c.text.startswith("/**"), "start_line": la, "start_column": c.start - self.lines[la - 1] + 1, "end_line": lb, "end_column": c.end - self.lines[lb - 1] + 1})
         self.emit("module", module_name=self.module, is_tsx=self.file.endswith(".tsx"), is_declaration_file=self.ambient, comments=comments)
         return self.rows
 
 
+def spelled(value: str | float) -> str:
+    """A constant as text: whole numbers without a point."""
+    return value if isinstance(value, str) else str(int(value)) if float(value).is_integer() else repr(value)
+
+
+def whole(value: float) -> int:
+    """A number as the signed 32 bits that bit operators take."""
+    return (int(value) + (1 << 31)) % (1 << 32) - (1 << 31)
+
+
+class Constant:
+    """The value of a constant expression in an enum: numbers, strings, members before it, and operators."""
+
+    # What binds weaker comes first.
+    LEVELS = [("|",), ("^",), ("&",), ("<<", ">>", ">>>"), ("+", "-"), ("*", "/", "%"), ("**",)]
+
+    def __init__(self, parser: Parser, name: str, known: dict[str, str | float]):
+        self.p, self.name, self.known = parser, name, known
+
+    def value(self, i: int, j: int) -> str | float | None:
+        try:
+            out, at = self.level(i, j, 0)
+            return out if at == j else None
+        except (ValueError, TypeError, ZeroDivisionError, OverflowError):
+            return None
+
+    def operator(self, i: int, j: int) -> str:
+        """Shifts are two or three marks in a row."""
+        n = next((n for n in (3, 2) if i + n <= j and all(self.p.is_(k, ">") for k in range(i, i + n)) or n == 2 and i + 2 <= j and self.p.is_(i, "<") and self.p.is_(i + 1, "<")), 1)
+        return "".join(self.p.at(k).text for k in range(i, i + n)) if i < j else ""
+
+    def level(self, i: int, j: int, depth: int) -> tuple[str | float, int]:
+        if depth == len(self.LEVELS):
+            return self.operand(i, j)
+        left, i = self.level(i, j, depth + 1)
+        while (op := self.operator(i, j)) in self.LEVELS[depth]:
+            again = op == "**"
+            right, i = self.level(i + (len(op) if op in ("<<", ">>", ">>>") else 1), j, depth if again else depth + 1)
+            left = self.applied(op, left, right)
+        return left, i
+
+    def applied(self, op: str, a: str | float, b: str | float) -> str | float:
+        if op == "+" and (isinstance(a, str) or isinstance(b, str)):
+            return spelled(a) + spelled(b)
+        if isinstance(a, str) or isinstance(b, str):
+            raise TypeError(op)
+        bits = {"|": lambda: whole(a) | whole(b), "^": lambda: whole(a) ^ whole(b), "&": lambda: whole(a) & whole(b)}
+        shifts = {"<<": lambda: whole(whole(a) << (whole(b) & 31)), ">>": lambda: whole(a) >> (whole(b) & 31), ">>>": lambda: whole(a) % (1 << 32) >> (whole(b) & 31)}
+        plain = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "%": lambda: math.fmod(a, b), "**": lambda: a**b}
+        return (bits | shifts | plain)[op]()
+
+    def operand(self, i: int, j: int) -> tuple[str | float, int]:
+        x = self.p.at(i)
+        if i >= j:
+            raise ValueError("nothing to evaluate")
+        if self.p.is_(i, "-", "+", "~"):
+            v, e = self.operand(i + 1, j)
+            return {"-": lambda: -v, "+": lambda: +v, "~": lambda: ~whole(v)}[x.text](), e
+        if self.p.is_(i, "("):
+            v, e = self.level(i + 1, self.p.partner[i], 0)
+            return v, e + 1
+        if x.kind == "string" or x.kind == "template" and x.text.endswith("`") and len(x.text) > 1:
+            return x.text[1:-1], i + 1
+        if x.kind == "number":
+            text = x.text.replace("_", "")
+            return (int(text, 0) if re.fullmatch(r"0[xXbBoO][\da-fA-F]+", text) else int(text) if text.isdigit() else float(text)), i + 1
+        if x.kind == "name" and x.text == self.name and self.p.is_(i + 1, ".") and self.p.at(i + 2).text in self.known:
+            return self.known[self.p.at(i + 2).text], i + 3
+        if x.kind == "name" and x.text in self.known:
+            return self.known[x.text], i + 1
+        raise ValueError(x.text)
+
+
 def parse(file_key: str, text: str) -> Iterator[tuple[str, str]]:
     """(record, JSON) of one file. A file that cannot be read gives one ``error`` and its bare module."""
     try:

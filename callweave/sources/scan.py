@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
+import json
 import logging
+import posixpath
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions import text as x
-from callweave.sources.storage import stored
+from callweave.sources.storage import exists, names_in, stored
 
 LOG = logging.getLogger("callweave")
-CACHE_VERSION = "1.0.0"
+CACHE_VERSION = "2.0.0"
 SPAN = "start_line int, start_column int, end_line int, end_column int"
 DECORATOR = f"struct<name:string,qualified_name:string,positional_arguments:array<string>,keyword_arguments:map<string,string>,{SPAN.replace(' ', ':').replace(',:', ',')}>"
 PARAMETER = f"struct<name:string,type:string,default_value:string,is_optional:boolean,is_rest:boolean,is_readonly:boolean,accessibility:string,decorators:array<{DECORATOR}>,{SPAN.replace(' ', ':').replace(',:', ',')}>"
 TYPE_PARAMETER = "struct<name:string,constraint:string,default:string>"
+OVERLOAD = f"struct<parameters:array<{PARAMETER}>,return_type:string,type_parameters:array<{TYPE_PARAMETER}>,start_line:int,end_line:int>"
 STEPS = "array<struct<member:string,called:boolean,element:boolean>>"
 #: The tables that a file's records become, by record.
 TABLES = {
     "module": "module_name string, is_tsx boolean, is_declaration_file boolean, comments array<struct<content:string,is_docstring:boolean,start_line:int,start_column:int,end_line:int,end_column:int>>",
     "declaration": f"map_key string, signature string, kind string, owner_signature string, scopes array<string>, depth int, name string, code string, docstring string, base_classes array<string>, extends_types array<string>, implements_types array<string>, type_parameters array<{TYPE_PARAMETER}>, members array<struct<name:string,value:string>>, decorators array<{DECORATOR}>, call_signatures array<string>, index_signatures array<string>, aliased_type string, is_const boolean, is_abstract boolean, is_exported boolean, is_ambient boolean, order bigint, {SPAN}",
-    "callable": f"map_key string, signature string, name string, kind string, owner_signature string, owner_kind string, depth int, path string, parameters array<{PARAMETER}>, type_parameters array<{TYPE_PARAMETER}>, return_type string, return_name string, return_array boolean, code string, docstring string, decorators array<{DECORATOR}>, code_start_line int, cyclomatic_complexity int, accessibility string, is_static boolean, is_abstract boolean, is_async boolean, is_generator boolean, is_optional boolean, is_readonly boolean, is_exported boolean, is_ambient boolean, is_implicit boolean, accessor_kind string, has_body boolean, order bigint, {SPAN}",
-    "call_site": f"caller string, scopes array<string>, method_name string, receiver_expr string, argument_texts array<string>, type_arguments array<string>, is_constructor_call boolean, is_optional_chain boolean, root string, steps {STEPS}, required string, order bigint, {SPAN}",
+    "callable": f"map_key string, signature string, name string, kind string, owner_signature string, owner_kind string, depth int, path string, parameters array<{PARAMETER}>, type_parameters array<{TYPE_PARAMETER}>, return_type string, return_name string, return_array boolean, code string, docstring string, decorators array<{DECORATOR}>, code_start_line int, cyclomatic_complexity int, accessibility string, is_static boolean, is_abstract boolean, is_async boolean, is_generator boolean, is_optional boolean, is_readonly boolean, is_exported boolean, is_ambient boolean, is_implicit boolean, accessor_kind string, has_body boolean, overloads array<{OVERLOAD}>, function_line int, function_column int, order bigint, {SPAN}",
+    "call_site": f"caller string, scopes array<string>, method_name string, receiver_expr string, argument_texts array<string>, argument_types array<string>, type_arguments array<string>, is_constructor_call boolean, is_optional_chain boolean, root string, steps {STEPS}, required string, order bigint, {SPAN}",
     "new_expr": f"scopes array<string>, type_name string, {SPAN}",
     "attribute": f"owner string, name string, type string, type_name string, type_array boolean, initializer string, accessibility string, is_static boolean, is_readonly boolean, is_optional boolean, is_abstract boolean, decorators array<{DECORATOR}>, {SPAN}",
     "variable": f"owner string, name string, type string, initializer string, value string, scope string, declaration_kind string, is_readonly boolean, is_exported boolean, {SPAN}",
@@ -40,10 +44,10 @@ TABLES = {
 }
 
 
-def scan_sources(spark: SparkSession, root: str, skip_tests: bool = True, targets: list[str] | None = None) -> DataFrame:
+def scan_sources(spark: SparkSession, root: str, skip_tests: bool = True, targets: list[str] | None = None, skipped: list[str] | None = None) -> DataFrame:
     """(file_key, last_modified, file_size, content, is_target) of the source files below ``root``.
 
-    Vendored directories, and tests on request, are left out by path before any content is read. With ``targets`` (paths
+    Vendored directories and further ``skipped`` ones, and tests on request, are left out by path before any content is read. With ``targets`` (paths
     relative to the root or absolute) only those are marked, whatever their extension; missing ones are dropped.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -51,7 +55,7 @@ def scan_sources(spark: SparkSession, root: str, skip_tests: bool = True, target
     key = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), rf"^.*?{re.escape(base)}/", "")
     files = files.select(key.alias("file_key"), (F.unix_micros("modificationTime") / 1000).alias("last_modified"), F.col("length").alias("file_size"), "content")
     path = F.col("file_key")
-    kept = x.is_source(path) & ~x.is_vendored(path)
+    kept = x.is_source(path) & ~x.is_vendored(path, skipped)
     if targets is None:
         return files.where(kept & ~x.is_test(path) if skip_tests else kept).withColumn("is_target", F.lit(True))
     wanted = [t[len(root.rstrip("/")) + 1 :] if t.startswith(root.rstrip("/") + "/") else t.removeprefix("./") for t in targets]
@@ -90,7 +94,8 @@ def load_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] |
             return None
         at = f"{path}/{spark.read.text(f'{path}/current').first()[0]}"
         return spark.read.schema(META).parquet(f"{at}/meta"), spark.read.schema(PARSED).parquet(f"{at}/parsed")
-    except Exception:  # absent or unreadable means no cache
+    except AnalysisException as error:  # absent or broken: everything is parsed again
+        LOG.info("no cache is read: %s", error)
         return None
 
 
@@ -129,7 +134,87 @@ def parse_modules(files: DataFrame, app_name: str, cache: str | None = None, eag
     out = {}
     for record, ddl in TABLES.items():
         out[record] = rows.where(F.col("record") == record).select("file_key", "is_target", F.from_json("payload", ddl).alias("p")).select(F.lit(app_name).alias("app_name"), "file_key", "is_target", "p.*")
+    reused = keep.select("file_key", F.lit(True).alias("from_cache")) if state and not eager else None
     out["module"] = out["module"].join(meta, "file_key")
+    out["module"] = out["module"].join(reused, "file_key", "left").fillna(False, ["from_cache"]) if reused is not None else out["module"].withColumn("from_cache", F.lit(False))
+    return out
+
+
+def build_statistics(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row: how many modules were built, taken from the cache, and are there in all."""
+    return tables["module"].agg(F.count_if(~F.col("from_cache")).alias("built"), F.count_if("from_cache").alias("cached"), F.count("*").alias("modules"))
+
+
+@dataclass
+class ProjectConfig:
+    """Where specifiers that do not start with a dot may lead: paths below the root, by pattern, and the base folder."""
+
+    base: str | None = None
+    paths: dict[str, list[str]] = field(default_factory=dict)
+
+
+def project_config(spark: SparkSession, root: str) -> ProjectConfig:
+    """The configuration at a project's root: tsconfig.json, else the first tsconfig*.json by name, else jsconfig.json, else
+    none. Comments and trailing commas are allowed; what it extends by a relative path is read too, its own values win."""
+    names = names_in(spark, root)
+    name = next((n for n in ["tsconfig.json", *sorted(n for n in names if re.fullmatch(r"tsconfig.*\.json", n)), "jsconfig.json"] if n in names), None)
+    found: dict = {}
+    seen: set[str] = set()
+    while name and name not in seen:
+        seen.add(name)
+        if not exists(spark, f"{root.rstrip('/')}/{name}"):
+            break
+        text = spark.read.text(f"{root.rstrip('/')}/{name}", wholetext=True).first()[0]
+        try:
+            about = json.loads(plain_json(text))
+        except ValueError as error:
+            LOG.warning("%s is not read: %s", name, error)
+            break
+        given, folder = about.get("compilerOptions") or {}, posixpath.dirname(name)
+        base = posixpath.normpath(posixpath.join(folder, given.get("baseUrl", ".")))
+        if "baseUrl" in given:
+            found.setdefault("base", base)
+        if "paths" in given:
+            found.setdefault("paths", {k: [posixpath.normpath(posixpath.join(base, p)) for p in v] for k, v in given["paths"].items()})
+        above = about.get("extends")
+        name = posixpath.normpath(posixpath.join(folder, above if above.endswith(".json") else f"{above}.json")) if isinstance(above, str) and above.startswith(".") else None
+    return ProjectConfig(found.get("base"), found.get("paths", {}))
+
+
+def plain_json(text: str) -> str:
+    """JSON without comments and trailing commas; strings are left as they are."""
+    whole = re.compile(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', re.S)
+    text = whole.sub(lambda m: m[1] or "", text)
+    return re.sub(r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', lambda m: m[1] or "", text)
+
+
+def resolve_aliases(tables: dict[str, DataFrame], config: ProjectConfig) -> dict[str, DataFrame]:
+    """Imports and exports with the module that a path alias leads to as their target.
+
+    The pattern with the longest beginning decides; its paths, then the base folder, are tried in order, and the first that
+    is a module, or a folder with an index, is taken. Specifiers that lead nowhere stay packages."""
+    if not config.paths and config.base is None:
+        return tables
+    module = F.col("module")
+    tried = F.array().cast("array<string>")
+    for pattern in sorted(config.paths, key=lambda p: ("*" not in p, len(p.split("*")[0]))):  # the last one to match wins
+        head, star, tail = pattern.partition("*")
+        fits = (module.startswith(head) & module.endswith(tail) & (F.length(module) >= len(head) + len(tail))) if star else module == pattern
+        middle = F.substring(module, F.lit(len(head) + 1), F.length(module) - len(head) - len(tail))
+        one = lambda path: F.concat(*[y for k, part in enumerate(path.split("*")) for y in ([middle] if k else []) + [F.lit(part)]])
+        tried = F.when(fits, F.array(*map(one, config.paths[pattern]))).otherwise(tried)
+    if config.base is not None:
+        tried = F.concat(tried, F.array(module if config.base == "." else F.concat(F.lit(f"{config.base}/"), module)))
+    names = tables["module"].select(F.col("module_name").alias("place"), F.col("module_name").alias("to"))
+    names = names.unionByName(names.where("place like '%/index'").select(F.regexp_replace("place", "/index$", "").alias("place"), "to")).dropDuplicates(["place"])
+    both = tables["import"].select("module", "target").unionByName(tables["export"].select("module", "target"))
+    asked = both.where(x.is_external(module) & F.col("target").isNull()).select("module").distinct()
+    asked = asked.select("module", F.posexplode(tried).alias("rank", "place")).withColumn("place", x.strip_extension(F.col("place")))
+    led = asked.join(names, "place").groupBy("module").agg(F.min_by("to", "rank").alias("led"))
+    led = stored(led, "aliases")
+    out = dict(tables)
+    for name in ("import", "export"):
+        out[name] = tables[name].join(led, "module", "left").withColumn("target", F.coalesce("target", "led")).select(tables[name].columns)
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from callweave.operators.incremental import module_diff, patch
 from callweave.operators.rows import batches
+from callweave.sources.storage import delete_path, exists, names_in, stored
 
 SNAPSHOT_VERSION = "1.0.0"
 STATEMENT_ROWS = 500
@@ -46,6 +48,7 @@ def cypher_statements(nodes: DataFrame, edges: DataFrame, app: str, size: int =
     spark = nodes.sparkSession
     quoted = app.replace("\\", "\\\\").replace("'", "\\'")
     first = [(0, f"CREATE CONSTRAINT IF NOT EXISTS FOR (n:{m}) REQUIRE n.{k} IS UNIQUE;") for m, k in contract.constraints()]
+    first += [(0, f"{text};") for text in contract.INDEXES]
     first.append((1, f"MATCH (a:Application {{name: '{quoted}'}})-[:HAS_MODULE|DECLARES|HAS_METHOD|HAS_ATTRIBUTE|DECLARES_VAR|HAS_CALLSITE*1..]->(n) DETACH DELETE n;"))
     head = spark.createDataFrame(first, "part int, statement string")
     shape = F.array_join("labels", ":")
@@ -65,23 +68,30 @@ def cypher_statements(nodes: DataFrame, edges: DataFrame, app: str, size: int =
 
 
 def write_cypher(nodes: DataFrame, edges: DataFrame, app: str, path: str) -> None:
-    """Statements as text, in an order in which they can be run; range partitions keep the parts in order."""
-    cypher_statements(nodes, edges, app).repartitionByRange(F.col("part")).sortWithinPartitions("part", "statement").select("statement").write.mode("overwrite").text(path)
+    """Statements as text, in an order in which they can be run: files are ranges of part and statement, in their order."""
+    rows = stored(cypher_statements(nodes, edges, app), "statements")
+    rows.repartitionByRange("part", "statement").sortWithinPartitions("part", "statement").select("statement").write.mode("overwrite").text(path)
 
 
 # --- snapshots ----------------------------------------------------------------------------------------------------------
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The folders of a snapshot's complete versions, the oldest first."""
+    found = sorted(n for n in names_in(spark, path) if re.fullmatch(r"v\d{12}", n))
+    return [n for n in found if exists(spark, f"{path}/{n}/complete/_SUCCESS")]
+
+
 def load_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """(nodes, edges) of a snapshot; None if there is none, it is broken, or it has another version."""
-    try:
-        versions = [r[0] for r in spark.read.text(f"{path}/version").collect()]
-        if versions != [SNAPSHOT_VERSION]:
-            return None
-        current = spark.read.text(f"{path}/current").first()[0]
-        return spark.read.parquet(f"{path}/{current}/nodes"), spark.read.parquet(f"{path}/{current}/edges")
-    except Exception:  # absent or unreadable means no snapshot
+    """(nodes, edges) of a snapshot's last complete version; None if there is none, or if another format wrote it. Storage
+    that cannot be read is an error: taken for an empty snapshot, it would lose what other applications wrote."""
+    complete = versions(spark, path)
+    if not complete:
+        return None
+    last = f"{path}/{complete[-1]}"
+    if [r[0] for r in spark.read.text(f"{last}/complete").collect()] != [SNAPSHOT_VERSION]:
         return None
+    return spark.read.parquet(f"{last}/nodes"), spark.read.parquet(f"{last}/edges")
 
 
 def changes(state: tuple[DataFrame, DataFrame] | None, nodes: DataFrame) -> DataFrame:
@@ -96,11 +106,13 @@ def apply_incremental(spark: SparkSession, path: str, nodes: DataFrame, edges: D
 
     Modules that changed are replaced with their nodes and the edges that start there; others keep theirs. Shared nodes are
     patched and never removed. Modules that vanished go on a full run alone. Every key holds the application's name, so
-    other applications in the snapshot stay. A pointer file is replaced last: a failure leaves the old snapshot.
+    other applications in the snapshot stay. A version is written under the next number and marked complete last; readers
+    take the highest complete one, so a failure leaves the snapshot as it was. The last two versions are kept.
     """
     state = load_snapshot(spark, path)
-    diff = changes(state, nodes).cache()
-    name = f"s{len(diff.columns)}-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.System.nanoTime()}"
+    diff = stored(changes(state, nodes), "changes")
+    taken = [int(n[1:]) for n in names_in(spark, path) if re.fullmatch(r"v\d{12}", n)]
+    name = f"v{max(taken, default=0) + 1:012d}"
     if state:
         old_nodes, old_edges = state
         apps = nodes.select("app_name").distinct()
@@ -125,9 +137,9 @@ def apply_incremental(spark: SparkSession, path: str, nodes: DataFrame, edges: D
         nodes, edges = all_nodes, all_edges.select(edges.columns)
     nodes.write.parquet(f"{path}/{name}/nodes")
     edges.write.parquet(f"{path}/{name}/edges")
-    one = lambda text, where: spark.createDataFrame([(text,)], "v string").coalesce(1).write.mode("overwrite").text(f"{path}/{where}")
-    one(SNAPSHOT_VERSION, "version")
-    one(name, "current")
+    spark.createDataFrame([(SNAPSHOT_VERSION,)], "v string").coalesce(1).write.text(f"{path}/{name}/complete")
+    for old in versions(spark, path)[:-2]:
+        delete_path(spark, f"{path}/{old}")
     return diff
 
 
