@@ -39,7 +39,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive.convert(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "uri", "date")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def personal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 finds of the base kinds, which SQL can count."""
+    return op7_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 finds of the base kinds, which SQL can count."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -95,6 +105,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "personal_counts": personal_counts,
+    "secret_counts": secret_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+REACHED = """
+  reached AS (SELECT id AS x, id AS y FROM ids UNION SELECT x, e.b FROM reached JOIN ends e ON y = e.a),
+  components AS (SELECT x AS id, min(y) AS component_id FROM reached GROUP BY 1)"""
+
+#: Tokenizers, models, kernels and sketches have none; they are tested against brute force, round trips or held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html)::BIGINT AS bytes, sha1(html) AS digest FROM p),
+     first AS (SELECT digest, max(page_id) AS best FROM d WHERE bytes >= 1000 GROUP BY 1)
+SELECT page_id, bytes AS payload_bytes, d.digest AS payload_digest, CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN best <> page_id THEN best END AS refers_to
+FROM d LEFT JOIN first ON d.digest = first.digest AND bytes >= 1000
+""",
+    "op5_jaccard_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+  g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g FROM w),
+  sizes AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+  met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+  ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), ids AS (SELECT doc_id AS id FROM documents), {REACHED}
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM w LEFT JOIN sizes USING (doc_id) JOIN components ON id = w.doc_id
+""",
+    "op8_embedding_near_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  good AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+  ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), ids AS (SELECT vec_id AS id FROM embeddings), {REACHED},
+  many AS (SELECT a, count(*) AS n FROM ends GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept FROM v JOIN components ON id = vec_id LEFT JOIN many ON many.a = vec_id
+""",
+    "personal_counts": r"""
+WITH m AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(coalesce(text, ''), '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS i,
+  list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]([ -]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))) AS c,
+  list_transform(regexp_extract_all(coalesce(text, ''), '\+[0-9][ ().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS p FROM documents)
+SELECT doc_id, len(e)::BIGINT AS n_email, len(list_filter(i, lambda x: list_max(list_transform(string_split(x, '.'), lambda y: y::DOUBLE)) <= 255))::BIGINT AS n_ip,
+  len(list_filter(c, lambda x: length(x) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda k: CASE WHEN k % 2 = 1 THEN x[k]::INT WHEN x[k]::INT > 4 THEN x[k]::INT * 2 - 9 ELSE x[k]::INT * 2 END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(p, lambda x: x BETWEEN 9 AND 15))::BIGINT AS n_phone FROM m
+""",
+    "secret_counts": r"""
+SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex FROM documents
+""",
+}

@@ -317,3 +317,20 @@ def test_queries_over_the_small_tables(spark):
     pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
     assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in queries.op3_warc(spark, DATA).collect()} == brute.warc_rows(pages)
     assert F is not None
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from tests.conftest import DATA
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want, got = con.sql(queries.ORACLE_SQL[name]), queries.QUERIES[name](spark, DATA)
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    order = [want.columns.index(c) for c in columns]
+    rows = sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect())))
+    assert rows and rows == sorted(map(repr, (tuple(r[k] for k in order) for r in want.fetchall())))
