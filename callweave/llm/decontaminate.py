@@ -104,8 +104,8 @@ def windows(docs: DataFrame, marks: DataFrame, least: float, id_col: str, text_c
 
     Of a window with m shingles and an item with n, at least ``least`` (m + n) / (1 + ``least``) are common to both. Each run
     of so many hits, one after the other, that fits into a window gives all starts of windows that hold it. A document is
-    known by its id and text: equal rows are one. Starts are written before texts are joined to them, so that Spark knows
-    their size: if they are few, no text is shuffled, else each one once, as text."""
+    known by its id and text: equal rows are one. Texts are shuffled once, as text and not as words, to meet their starts,
+    at every size alike."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     texts = own.select("doc_id", "text_hash", words(F.col("text")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= SHINGLE)
     places = texts.select("doc_id", "text_hash", "w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - SHINGLE)).alias("i"))
@@ -119,7 +119,7 @@ def windows(docs: DataFrame, marks: DataFrame, least: float, id_col: str, text_c
     first, last = F.get("hits", F.col("k")), F.get("hits", F.col("k") + F.col("need") - 1)
     runs = runs.select("doc_id", "text_hash", "len", F.greatest(F.lit(0), last - F.col("held") + 1).alias("low"), F.least(first, F.greatest(F.lit(0), F.col("n") - F.col("len"))).alias("high")).where("low <= high")
     starts = written(runs.select("doc_id", "text_hash", "len", F.explode(F.sequence("low", "high")).alias("start")).distinct(), "starts")
-    found = own.join(starts, ["doc_id", "text_hash"]).withColumn("w", words(F.col("text")))
+    found = own.join(starts.hint("merge"), ["doc_id", "text_hash"]).withColumn("w", words(F.col("text")))
     return found.select("doc_id", "start", "len", F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " ").alias("window")).distinct()
 
 

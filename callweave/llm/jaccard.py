@@ -276,9 +276,10 @@ def connected(members: DataFrame, k: int, num: int, den: int) -> DataFrame:
     labels = large.select("cluster", "id").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("label"))
     labels = written(labels, "hub-labels")
     main = labels.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    main = written(main, "main-labels")  # one row a large cluster, so that Spark sees how small it is
     parted = large.drop("part").join(labels, ["cluster", "id"]).join(main, "cluster").withColumn("rest", F.col("label") != F.col("main"))
     many = F.greatest(F.lit(1), F.ceil(F.count_if("rest") * F.first("tiles") / F.count("*"))).alias("rest_tiles")
-    parted = parted.join(parted.groupBy("cluster").agg(many), "cluster")
+    parted = parted.join(written(parted.groupBy("cluster").agg(many), "rest-tiles"), "cluster")
     rest = parted.where("rest")
     inner = tiled(rest, "rest_tiles")
     sides = rest.select("cluster", "rest_tiles").distinct()
