@@ -57,19 +57,23 @@ def vocabulary_size(path: str) -> int:
     return 1 + max([*about["model"]["vocab"].values(), *(t["id"] for t in about["added_tokens"])])
 
 
+class WholeText(Exception):
+    """A piece whose ids depend on what stands around it: its text must be encoded at once."""
+
+
 class Pieces(dict):
-    """The ids of each piece met so far, learned on the first look; None: the whole text must be encoded at once."""
+    """The ids of each piece met so far, learned on the first look."""
 
     def __init__(self, owner: "PieceEncoder", space: str):
         self.owner, self.space = owner, space
 
-    def __missing__(self, piece: str) -> bytes | None:
+    def __missing__(self, piece: str) -> bytes:
         mark = piece[-1:] if piece[-1:] in MARKS else ""
         word = piece[:-1] if mark else piece
         if word.isalpha() and max(word) <= LATIN_END and DOTTED_I not in word:
             ids = self[word] + self.owner.marks[mark] if mark else self.owner.word(word, self.space)
         elif self.owner.space_joins_piece and (not piece or piece[0].isspace() or piece[-1].isspace()):
-            ids = None
+            raise WholeText
         else:
             ids = self.owner.whole(self.space + piece)
         if len(self) < CACHE_PIECES:
@@ -115,14 +119,14 @@ class PieceEncoder:
         if self.kind == "other" or self.added and self.added.search(text):
             return self.whole(text)
         first, rest = self.first, self.rest
-        lines = []
-        for line in text.split("\n"):
-            parts = line.split(" ")
-            found = [first[parts[0]], *[rest[x] for x in parts[1:]]]
-            if None in found:
-                return self.whole(text)
-            lines.append(b"".join(found))
-        return self.line.join(lines)
+        try:
+            lines = []
+            for line in text.split("\n"):
+                parts = line.split(" ")
+                lines.append(first[parts[0]] + b"".join([rest[x] for x in parts[1:]]))
+            return self.line.join(lines)
+        except WholeText:
+            return self.whole(text)
 
 
 def encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
