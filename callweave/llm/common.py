@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from callweave.sources.storage import delete_path, fresh_path, scratch
 from callweave.sources.storage import stored as written
 
-__all__ = ["Forest", "Task", "bound", "components", "delete_path", "fresh_path", "one_task_each", "rows_to_batches", "scratch", "sorted_groups", "tasks_for", "written"]
+__all__ = ["Forest", "Task", "bound", "components", "delete_path", "fresh_path", "numbered", "one_task_each", "rows_to_batches", "scratch", "sorted_groups", "tasks_for", "written"]
 
 
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -93,6 +93,70 @@ def one_task_each(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartitionByRange(max(1, rows.count()), key)
 
 
+def numbered(rows: DataFrame, key: str, order: list[str], label: str = "numbered") -> DataFrame:
+    """``rows`` with rank (of ``key`` among its values, from 0, null first), number (of the row within its key in ``order``,
+    from 0) and last (whether no row of the key follows).
+
+    Rows are dealt by ranges of key and order, so a key that holds most of the rows is spread over many tasks, and so are
+    equal rows, by a number of their own. Each task numbers its own rows; what precedes them in other tasks is summed up on
+    the driver from one row for each task.
+    """
+    import numpy as np
+    from pyspark import TaskContext
+    from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+
+    spark, names, at = rows.sparkSession, rows.columns, rows.columns.index(key)
+    more = [("part", pa.int64(), LongType()), ("rank", pa.int64(), LongType()), ("number", pa.int64(), LongType()), ("last", pa.bool_(), BooleanType()), ("final", pa.bool_(), BooleanType())]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rank, number, before = TaskContext.get().partitionId(), -1, 0, None
+        held: tuple | None = None
+
+        def done(follows: bool) -> pa.RecordBatch:
+            batch, ranks, numbers, last = held
+            last[-1], final = not follows, np.zeros(len(last), bool)
+            final[-1] = not more_to_come
+            columns = [pa.array(np.full(len(last), part)), pa.array(ranks), pa.array(numbers), pa.array(last), pa.array(final)]
+            return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *(n for n, _, _ in more)])
+
+        more_to_come = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(at).to_pylist()
+            new = np.array([rank < 0 or keys[0] != before, *(a != b for a, b in zip(keys, keys[1:]))])
+            if held is not None:
+                yield done(not new[0])
+            ranks = rank + np.cumsum(new)
+            starts = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
+            numbers = np.arange(len(keys)) - starts + np.where(starts < 0, number - 1, 0)
+            rank, number, before = int(ranks[-1]), int(numbers[-1]) + 1, keys[-1]
+            held = batch, ranks, numbers, np.append(new[1:], True)
+        more_to_come = False
+        if held is not None:
+            yield done(False)
+
+    sort = [F.col(c).asc_nulls_first() for c in (key, *order)]
+    dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*sort, "tie").sortWithinPartitions(*sort, "tie").drop("tie")
+    schema = StructType([*rows.schema.fields, *(StructField(n, t) for n, _, t in more)])
+    placed = written(dealt.mapInArrow(task, schema), label)
+    place = F.struct("rank", "number")
+    ends = placed.groupBy("part").agg(F.max("rank").alias("keys"), F.min_by(F.struct(key), place).alias("first"), F.max_by(F.struct(key, "number"), place).alias("end")).orderBy("part").collect()
+    shifts, keys, open_key, run = [], 0, None, 0
+    for r in ends:
+        goes_on = bool(shifts) and r["first"][0] == open_key
+        if goes_on:
+            shifts[-1][3] = True
+            keys -= 1
+        shifts.append([r["part"], keys, run if goes_on else 0, False])
+        run = r["end"][1] + 1 + (shifts[-1][2] if r["keys"] == 0 else 0)
+        keys, open_key = keys + r["keys"] + 1, r["end"][0]
+    shift = spark.createDataFrame(shifts or [], "part long, keys_before long, rows_before long, goes_on boolean")
+    joined = placed.join(F.broadcast(shift), "part")
+    number = F.col("number") + F.when(F.col("rank") == 0, F.col("rows_before")).otherwise(F.lit(0))
+    return joined.select(*names, "part", (F.col("rank") + F.col("keys_before")).alias("rank"), number.alias("number"), (F.col("last") & ~(F.col("final") & F.col("goes_on"))).alias("last"))
+
+
 class Forest:
     """Union-find over the integers below ``n``, for the pairs of one bounded block."""
 
