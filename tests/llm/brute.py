@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -125,3 +126,75 @@ def base_scores(docs, training):
     counts = Counter(x for i, t in docs.items() if training(i) for x in tokens(t))
     n, v = sum(counts.values()), len(counts)
     return {i: (len(tokens(t)), sum(x in counts for x in tokens(t)), n, sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens(t))) for i, t in docs.items()}
+
+
+def prefix_trie(rows):
+    """Nodes as the query gives them, of rows (conv_id, turn, role, text)."""
+    by = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            by.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    by = {c: [t[2:] for t in sorted(own, key=lambda t: t[:2])] for c, own in by.items()}
+    built = {}
+    for c, own in by.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        built[c] = by.get(c - int(math.fmod(c, 100)), [])[:h] + own[h:]
+    members, children, totals, out = {}, {}, {}, []
+    prefix_of = {}
+    for c, turns in built.items():
+        prefix_of[c] = [hashlib.sha256().digest()]
+        for role, text in turns:
+            prefix_of[c].append(hashlib.sha256(prefix_of[c][-1] + repr((role, text)).encode()).digest())
+        for d, p in enumerate(prefix_of[c]):
+            if (d, p) not in members:
+                members[d, p] = []
+                if d:
+                    children.setdefault((d - 1, prefix_of[c][d - 1]), []).append((d, p))
+            members[d, p].append(c)
+    for node in sorted(members, key=lambda n: -n[0]):
+        depth, convs = node[0], members[node]
+        saved, leaves = (len(convs) - 1) * (len(built[convs[0]][depth - 1][1]) if depth else 0), 0 if node in children else 1
+        for child in children.get(node, []):
+            saved, leaves = saved + totals[child][0], leaves + totals[child][1]
+        totals[node] = saved, leaves
+        parent = min(members[depth - 1, prefix_of[convs[0]][depth - 1]]) if depth else None
+        ends = ",".join(str(c) for c in sorted(convs) if len(built[c]) == depth)
+        out.append((min(convs), depth, parent, len(convs), len(children.get(node, [])), leaves, saved, sha256(ends)))
+    return out
+
+
+def merkle_manifest(rows):
+    """Rows as the query gives them, of documents (doc_id, text, lang, source, n_chars)."""
+    spelled_field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    sources = {}
+    for doc_id, text, lang, source, n_chars in rows:
+        tampered = text.replace("\n", "") if text is not None and doc_id is not None and zlib.crc32(str(doc_id).encode()) % 2 == 0 else text
+        own, now = (sha256("".join(map(spelled_field, (doc_id, source, lang, n_chars, t)))) for t in (text, tampered))
+        sources.setdefault(source, []).append({"id": doc_id, "leaf": own, "now": now, "path": []})
+
+    def build(nodes):
+        while len(nodes) > 1:
+            above = []
+            for a in range(0, len(nodes), 3):
+                run = nodes[a : a + 3]
+                for k, (_, leaves) in enumerate(run):
+                    for x in leaves:
+                        x["path"].append(("".join(d for d, _ in run[:k]), "".join(d for d, _ in run[k + 1 :])))
+                above.append((sha256("".join(d for d, _ in run)), [x for _, leaves in run for x in leaves]))
+            nodes = above
+        return nodes[0]
+
+    tops = []
+    for source in sorted(sources, key=lambda s: (s is not None, (s or "").encode())):
+        digest, leaves = build([(x["leaf"], [x]) for x in sorted(sources[source], key=lambda x: (x["id"] is not None, x["id"] or 0, x["leaf"]))])
+        for x in leaves:
+            x["subroot"] = digest
+        tops.append((digest, leaves))
+    root, leaves = build(tops)
+    out = []
+    for x in leaves:
+        folded = x["now"]
+        for left, right in x["path"]:
+            folded = sha256(left + folded + right)
+        out.append((x["id"], x["leaf"], x["subroot"], root, sha256("".join(a + b for a, b in x["path"])), folded, folded == root))
+    return out
