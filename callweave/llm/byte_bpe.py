@@ -1,8 +1,8 @@
 """Operator 13: byte-level BPE by ranks, encoded and decoded by DuckDB inside the tasks.
 
 ``encode`` cuts each text into the matches of the split pattern. A match that is a token itself is that token. All other
-distinct matches of a batch of texts become token-position rows, one for each byte, and a recursive query contracts them:
-each step joins adjacent tokens with the merge table, takes each word's pair of least rank, the leftmost of equals, and ends
+distinct matches of a batch of texts become token-position rows, one for each byte, and a recursive query contracts them: each
+step joins adjacent tokens with the merge table, takes each word's pair of least rank, the leftmost of equals, and ends
 when no word has a pair. Where no pair that the merged token can form has a lower rank than the merge itself, all
 places of the pair that do not overlap are contracted in the same step, from the left, which gives what one at a time gives;
 only words longer than ``LONG`` bytes need that. A query stops after ``STEPS`` steps and goes on from the rows reached, so
@@ -11,8 +11,9 @@ its rows stay bounded by the bytes put in.
 ``decode`` joins token-position rows with the vocabulary and aggregates their bytes in the order of positions.
 
 The merge table holds every way to put a token together from two tokens. Texts are split before spaces first, where no match
-of the pattern can reach across, so that the ids of frequent words are kept between texts (``CACHE`` of them at most, then
-they are dropped and learned again); a text with other white space is matched as a whole.
+of the pattern can reach across, so that the ids of frequent words are kept between texts (``CACHE`` of them and as many
+matches, and those of a batch at most; then they are dropped and learned again); a text with other white space is matched as
+a whole.
 
 Nulls and ties: a null text counts as empty and has no tokens; a null id is kept; repeated rows are separate rows; an empty
 table gives an empty result; other columns are left out. Texts are never cut: a long one passes in blocks of ``BLOCK`` tokens
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 400_000
+CACHE = 600_000
 CHARS = 2_000_000
 BLOCK = 1_000_000
 BYTES = 1_000_000
@@ -41,16 +42,14 @@ _CODERS: dict[tuple[str, str], "Coder"] = {}
 
 ONE = """
 WITH RECURSIVE step AS (
-  SELECT word, pos, id, true AS open, 0 AS steps FROM start
+  SELECT word, ids, true AS open FROM given
   UNION ALL
-  SELECT word, pos, CASE WHEN hit THEN m ELSE id END, best IS NOT NULL, steps + 1 FROM (
-    SELECT *, lag(hit, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM (
-      SELECT *, coalesce(pos = best & 4294967295, false) AS hit FROM (
-        SELECT word, pos, id, steps, m, min((m::BIGINT << 32) + pos) OVER (PARTITION BY word) AS best
-        FROM (SELECT word, pos, id, steps, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next FROM step WHERE open AND steps < {limit}) LEFT JOIN merges ON a = id AND b = next)))
-  WHERE NOT gone)
-SELECT word, pos, id, open FROM step WHERE NOT open OR steps = {limit} ORDER BY word, pos
-""".format(limit=STEPS)
+  SELECT word, CASE WHEN best IS NULL THEN ids ELSE ids[:(best & 4294967295) - 1] || [(best >> 32)::INTEGER] || ids[(best & 4294967295) + 2:] END, best IS NOT NULL FROM (
+    SELECT word, any_value(ids) AS ids, min((m::BIGINT << 32) + pos) AS best
+    FROM (SELECT word, ids, unnest(range(1, len(ids))) AS pos, unnest(ids[:len(ids) - 1]) AS a, unnest(ids[2:]) AS b FROM step WHERE open) LEFT JOIN merges USING (a, b)
+    GROUP BY word))
+SELECT word, ids FROM step WHERE NOT open
+"""
 ALL = """
 WITH RECURSIVE step AS (
   SELECT word, pos, id, true AS open, 0 AS steps FROM start
@@ -92,6 +91,8 @@ class Coder:
         self.pattern = regex.compile(white(pattern))
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = {}
+        self.tokens = {token: rank.to_bytes(4, "little") for token, rank in self.ranks.items()}
+        self.words = dict(self.tokens)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.base = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         rows = []
@@ -119,42 +120,54 @@ class Coder:
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
         at = 0
         while at < len(order):
-            query, held, part = (ONE if len(words[order[at]]) <= LONG else ALL), 0, []
-            while at < len(order) and (not part or held + len(words[order[at]]) <= (BYTES if query is ONE else LONG * STEPS) and (query is ALL or len(words[order[at]]) <= LONG)):
+            short, held, part = len(words[order[at]]) <= LONG, 0, []
+            while at < len(order) and short == (len(words[order[at]]) <= LONG) and (not part or held + len(words[order[at]]) <= (BYTES if short else LONG * STEPS)):
                 held += len(words[order[at]])
                 part.append(order[at])
                 at += 1
-            for k, ids in zip(part, self.fixpoint([words[k] for k in part], query)):
-                out[k] = ids
+            for k, ids in (self.one if short else self.all)([words[k] for k in part]):
+                out[part[k]] = ids
         return out
 
-    def fixpoint(self, words: list[bytes], query: str) -> list[bytes]:
+    def one(self, words: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """(number, ids) of each word, by the query that contracts one pair of a word at a time."""
+        import numpy as np
+
+        ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte[np.frombuffer(b"".join(words), np.uint8)]))
+        given = pa.table({"word": np.arange(len(words), dtype=np.int32), "ids": lists})
+        self.base.register("given", given)
+        for batch in self.base.sql(ONE).to_arrow_table().to_batches():
+            found, ends = batch.column(1).flatten().to_numpy().astype("<u4").tobytes(), np.cumsum([0, *batch.column(1).value_lengths().to_pylist()]).tolist()
+            for word, a, b in zip(batch.column(0).to_pylist(), ends, ends[1:]):
+                yield word, found[4 * a : 4 * b]
+        self.base.unregister("given")
+
+    def all(self, words: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """(number, ids) of each word, by the query that contracts all places of a pair; it goes on from where it stopped."""
         import numpy as np
 
         sizes = np.array([len(w) for w in words])
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        out: list[bytes] = [b""] * len(words)
         while len(word):
             self.put("start", word=word, pos=pos.astype(np.int32), id=ids)
-            got = self.base.sql(query).to_arrow_table()
-            word, pos, ids, still = (got.column(c).to_numpy() for c in range(4))
+            word, pos, ids, still = (c.to_numpy() for c in self.base.sql(ALL).to_arrow_table().columns)
             ready = np.flatnonzero(~still)
             cuts = np.flatnonzero(np.diff(word[ready], prepend=-1, append=-1))
             values = ids[ready].astype("<u4")
-            for a, b in zip(cuts, cuts[1:]):
-                out[word[ready[a]]] = values[a:b].tobytes()
+            yield from ((int(word[ready[a]]), values[a:b].tobytes()) for a, b in zip(cuts, cuts[1:]))
             word, pos, ids = word[still], pos[still], ids[still]
-        return out
 
     def ids_of(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text, cut by the pattern on its own."""
         cut = [[m.encode() for m in self.pattern.findall(text)] for text in texts]
-        whole = {m: self.ranks.get(m) for m in set(chain.from_iterable(cut))}
-        ids = {m: rank.to_bytes(4, "little") for m, rank in whole.items() if rank is not None}
-        rare = [m for m, rank in whole.items() if rank is None]
-        ids |= zip(rare, self.contract(rare))
+        if len(self.words) > CACHE:
+            self.words = dict(self.tokens)
+        rare = list(set(chain.from_iterable(cut)).difference(self.words))
+        self.words.update(zip(rare, self.contract(rare)))
+        ids = self.words
         return [b"".join([ids[m] for m in matches]) for matches in cut]
 
     def learn(self, words: set[str], known: dict[str, bytes | None], space: str) -> None:

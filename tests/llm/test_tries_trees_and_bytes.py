@@ -136,8 +136,7 @@ def test_byte_bpe_is_the_librarys(spark, library):
 def test_queries_that_stop_and_go_on(library, monkeypatch):
     """Few steps a query, small batches and blocks, and a cache that is dropped between texts."""
     path, pattern, plain = library
-    for name in ("ONE", "ALL"):
-        monkeypatch.setattr(byte_bpe, name, getattr(byte_bpe, name).replace(str(byte_bpe.STEPS), "2"))
+    monkeypatch.setattr(byte_bpe, "ALL", byte_bpe.ALL.replace(str(byte_bpe.STEPS), "2"))
     for name, value in (("BYTES", 50), ("CACHE", 3), ("BLOCK", 5), ("LONG", 9)):
         monkeypatch.setattr(byte_bpe, name, value)
     coder = byte_bpe.Coder(path, pattern)
