@@ -3,13 +3,14 @@
 A row's leaf is the digest of its fields. The leaves of a source, ascending by id, are the lowest level of its tree, and each
 ``FAN`` consecutive nodes have a parent; the roots of the sources, ordered by source, are the leaves of the last tree.
 
-Upward supersteps: each node sends its digest to its parent. A parent whose children have all reported hashes them, keeps
-their digests and sends on; a tree ends where one node is left. Downward supersteps: each node sends each child the path above
-it with the child's siblings put before, until the leaves have the whole path, by which a leaf, as it is now, is folded back
-to a root and compared.
-
-Nodes are keyed by (tree, place), so the nodes of a source that holds most rows are spread like all others; a level has a
-third of the nodes of the one below, and as many tasks as its nodes need. Texts pass no shuffle, only digests do. Each level
+A vertex of the message passing is a node with the levels of its subtree below it that ``SPAN`` counts, so that the supersteps
+are a third of the levels. Upward supersteps: each vertex sends its digest to its parent, the vertex ``SPAN`` levels above. A
+parent whose children have all reported hashes them level by level, keeps their digests and sends on; a tree ends where one
+node is left. Downward supersteps: each vertex sends each child the path above it with the siblings on the child's way up put
+before, until the leaves have the whole path, by which a leaf, as it is now, is folded back to a root and compared.
+
+Vertices are keyed by (tree, place), so those of a source that holds most rows are spread like all others; each superstep has
+``FAN`` ** ``SPAN`` times fewer of them than the one before, and as many tasks as they need. Texts pass no shuffle, only digests do. Each level
 is checkpointed in the shared folder. The driver gets one number for each level and the root.
 
 Nulls and ties: any field may be null, and is then written as ``-``; null ids come first and nothing tampers with them; rows of
@@ -30,6 +31,8 @@ from callweave.llm.common import numbered
 from callweave.sources.storage import shared_dir
 
 FAN = 3
+SPAN = 3
+BLOCK = FAN**SPAN
 EACH = 20_000
 RESULT = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
@@ -47,6 +50,24 @@ def digest(parts: list[bytes]) -> bytes:
     return hashlib.sha256("".join([p.hex() for p in parts]).encode()).digest()
 
 
+def layers(digests: list[bytes], top: bool) -> list[list[bytes]]:
+    """The levels of a vertex, from its children up: ``SPAN`` more, or up to the root in the vertex that ends its tree."""
+    out = [digests]
+    while len(out[-1]) > 1 if top else len(out) <= SPAN:
+        out.append([digest(out[-1][a : a + FAN]) for a in range(0, len(out[-1]), FAN)])
+    return out
+
+
+def sides(levels: list[list[bytes]], child: int) -> tuple:
+    """The (left, right) siblings on the way up from a child of a vertex."""
+    out = []
+    for level in levels[:-1]:
+        first = child - child % FAN
+        out.append((b"".join(level[first:child]), b"".join(level[child + 1 : first + FAN])))
+        child //= FAN
+    return tuple(out)
+
+
 def kept(level: RDD) -> RDD:
     """The level, written to the shared folder; the cache only spares its second computation."""
     level = level.persist(StorageLevel.MEMORY_AND_DISK)
@@ -56,32 +77,37 @@ def kept(level: RDD) -> RDD:
 
 
 def climb(leaves: RDD, largest: int, tasks: int) -> list[RDD]:
-    """``largest``: the leaves of the largest tree. Upward supersteps over leaves ((tree, place), (last, digest, payload)). Level k holds ((tree, place), (last, digest,
-    children)) of the parents of level k - 1, children as (digest, payload); a lone leaf is its own parent's digest."""
+    """Upward supersteps over leaves ((tree, place), (last, digest, payload)), ``largest`` of them in the largest tree. The
+    levels hold ((tree, place), (last, digest, children)) of their vertices, children as (digest, payload)."""
 
     def send(node):
         (tree, place), (last, own, payload) = node
-        return (tree, place // FAN), (place % FAN, last, own, payload)
+        return (tree, place // BLOCK), (place % BLOCK, last, own, payload)
 
     def hashed(node):
         (tree, place), messages = node
         children = sorted(messages, key=lambda m: m[0])
         last = any(m[1] for m in children)
-        lone = len(children) == 1 and last and place == 0
-        return (tree, place), (last, children[0][2] if lone else digest([m[2] for m in children]), [m[2:] for m in children])
+        top = layers([m[2] for m in children], ends((tree, place), last))[-1]
+        return (tree, place), (last, top[0], [m[2:] for m in children])
 
     levels, waiting = [], leaves
     while True:
         levels.append(kept(waiting.map(send).groupByKey(tasks).map(hashed, preservesPartitioning=True)))
-        largest, tasks = -(-largest // FAN), max(1, -(-tasks // FAN))
+        largest, tasks = -(-largest // BLOCK), max(1, -(-tasks // BLOCK))
         if largest == 1:
             return levels
-        waiting = levels[-1].filter(lambda node: not (node[0][1] == 0 and node[1][0])).mapValues(lambda v: (v[0], v[1], None))
+        waiting = levels[-1].filter(lambda node: not ends(node[0], node[1][0])).mapValues(lambda v: (v[0], v[1], None))
+
+
+def ends(key: tuple[int, int], last: bool) -> bool:
+    """Whether a vertex is the only one left of its tree."""
+    return last and key[1] == 0
 
 
 def tops(levels: list[RDD]) -> RDD:
     """(tree, (digest, level)) of the node left of each tree."""
-    found = [level.filter(lambda n: n[0][1] == 0 and n[1][0]).map(lambda n, k=k: (n[0][0], (n[1][1], k))) for k, level in enumerate(levels)]
+    found = [level.filter(lambda n: ends(n[0], n[1][0])).map(lambda n, k=k: (n[0][0], (n[1][1], k))) for k, level in enumerate(levels)]
     return found[0].context.union(found) if len(found) > 1 else found[0]
 
 
@@ -90,12 +116,10 @@ def descend(levels: list[RDD], starts: RDD) -> RDD:
     path) of every leaf; a path is a (left, right) of sibling digests for each level, from the leaf up."""
 
     def below(node) -> Iterator:
-        (tree, place), ((_, own, children), (message, path)) = node
-        digests = [c[0] for c in children]
-        step = () if len(children) == 1 and own == digests[0] else None
-        for k, (one, payload) in enumerate(children):
-            sides = step if step is not None else ((b"".join(digests[:k]), b"".join(digests[k + 1 :])),)
-            yield (tree, place * FAN + k), (payload, one, message, sides + path)
+        (tree, place), ((last, _, children), (message, path)) = node
+        inner = layers([own for own, _ in children], ends((tree, place), last))
+        for k, (own, payload) in enumerate(children):
+            yield (tree, place * BLOCK + k), (payload, own, message, sides(inner, k) + path)
 
     sent: RDD | None = None
     for k in range(len(levels) - 1, -1, -1):
