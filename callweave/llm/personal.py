@@ -1,15 +1,16 @@
 """Operator 7: personal data, by fixed patterns and by patterns learned from their contexts. DataFrame functions only.
 
 ``extract`` finds the base kinds (email, ip, card, phone) in every whole text, with their places in code points, and the
-candidates: other tokens of at least six digits. The base entities are seeds. Each entity and candidate has up to three
-lexical patterns: the word before it, the two words before it, and the word after it.
+candidates: other tokens of letters, digits and ``_./:-``, of four characters or more, with a digit among the first sixteen
+and three digits at least; they need not begin with one. The base entities are seeds. Each entity and candidate has up to
+three lexical patterns: the word before it, the two words before it, and the word after it, all of them whole words.
 
-``bootstrap`` scores the graph of patterns and values in rounds. A pattern's confidence is the share of its occurrences
-that values found so far make up, weighed by their confidence, with one more occurrence added against it, and zero unless
-at least ``support`` different values of those are sure: seeds, or values that reached ``least`` in a round before. So what
-a pattern finds can induce further patterns. A value's confidence is the largest of its patterns', one for seeds. Rounds go
-on until no further value becomes sure, ``rounds`` at most. Candidates whose confidence reaches ``least`` are identifiers
-found, of the kind ``context``.
+``bootstrap`` scores the graph of patterns and values in rounds. Seeds are sure. A pattern counts if ``support`` different
+sure values occur with it and they make up ``share`` of its occurrences; its confidence is then s / (s + 1), s being the
+occurrences of sure values: the limit to which the pattern and the values that it alone supports confirm each other. A value's
+confidence is the largest of its patterns', and it is sure from ``least`` on, so what a pattern finds can induce further
+patterns. Confidences follow from the sure values alone: rounds go on until none becomes sure, and then nothing moves any more.
+There is no limit of rounds unless one is given. Candidates that are sure are identifiers found, of the kind ``context``.
 
 Places are sums of lengths, taken in blocks of the root of their number, and a redacted text is cut from pieces of
 ``PIECE`` characters: work grows little faster than the text, also where it holds tens of thousands of matches.
@@ -35,9 +36,11 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 AT_MOST_255 = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-CANDIDATE = r"(?<![0-9A-Za-z])[0-9][0-9A-Za-z_./:-]{4,}[0-9A-Za-z]"
+CANDIDATE = r"(?<![0-9A-Za-z])(?=[A-Za-z_./:-]{0,15}[0-9](?:[A-Za-z_./:-]*+[0-9]){2})[0-9A-Za-z][0-9A-Za-z_./:-]{2,}[0-9A-Za-z]"
 PIECE = 1000
-NEAR = 48  # characters around a match in which its neighbours are looked for
+NEAR = 48  # characters around a match that are enough for its neighbours if they hold whole words; if not, all are taken
+SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+TWO_BEFORE, ONE_AFTER = f"{SPACE}{WORD}+{SPACE}+{WORD}+{SPACE}*$", f"^{SPACE}*{WORD}+{SPACE}"
 ROW = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
 
@@ -71,6 +74,12 @@ def running(values: Column, zero: Column, merge) -> Column:
     return bound(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<int>")))
 
 
+def near(gap: Column, side, words: str) -> Column:
+    """The end of a gap beside a match, long enough for the whole words that patterns take."""
+    end = side(gap, F.lit(NEAR))
+    return F.when((F.length(gap) <= NEAR) | end.rlike(words), end).otherwise(gap)
+
+
 def located(text: Column, pattern: str, possible: Column) -> Column:
     """The leftmost matches that do not overlap, with places and surroundings; the text is cut only if there are any."""
     none = F.array().cast(ROW)
@@ -81,7 +90,7 @@ def located(text: Column, pattern: str, possible: Column) -> Column:
 
         def row(at: Column, i: Column) -> Column:
             start = at + F.length(F.get(gaps, i))
-            return F.struct(start.alias("start"), (start + F.length(F.get(found, i))).alias("end"), F.get(found, i).alias("value"), F.right(F.get(gaps, i), F.lit(NEAR)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(NEAR)).alias("after"))
+            return F.struct(start.alias("start"), (start + F.length(F.get(found, i))).alias("end"), F.get(found, i).alias("value"), near(F.get(gaps, i), F.right, TWO_BEFORE).alias("before"), near(F.get(gaps, i + 1), F.left, ONE_AFTER).alias("after"))
 
         return F.transform(before, row)
 
@@ -107,8 +116,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     named = lambda k: lambda m: m.withField("kind", F.lit(k))
     base = [F.transform(F.filter(name, test), named(k)) for k, (name, test) in enumerate(kept.items())]
     rows = rows.select("doc_id", "doc", "o", F.concat(*base).alias("base"))
-    others = apart(F.filter("o", lambda m: length(m) >= 6), F.col("base"))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "doc", "base", others.alias("candidates"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "doc", "base", apart(F.col("o"), F.col("base")).alias("candidates"))
 
 
 def apart(rows: Column, base: Column) -> Column:
@@ -130,38 +138,46 @@ def apart(rows: Column, base: Column) -> Column:
 
 def patterns(m: Column) -> Column:
     """The lexical patterns of a match: word before, two words before, word after."""
-    word = "[^\\x20\\x09-\\x0D]+"
+    word = f"{WORD}+"
     before, after = F.regexp_extract_all(F.lower(m["before"]), F.lit(word), F.lit(0)), F.regexp_extract(F.lower(m["after"]), word, 0)
     last, previous = F.element_at(before, -1), F.try_element_at(before, F.lit(-2))
     made = F.array(F.when(F.size(before) > 0, F.concat(F.lit("1 "), last)), F.when(F.size(before) > 1, F.concat(F.lit("2 "), previous, F.lit(" "), last)), F.when(after != "", F.concat(F.lit("+ "), after)))
     return F.filter(made, lambda x: x.isNotNull())
 
 
-def bootstrap(found: DataFrame, rounds: int = 8, support: int = 5, least: float = 0.9) -> DataFrame:
+def bootstrap(found: DataFrame, rounds: int | None = None, support: int = 5, least: float = 0.9, share: float = 0.5) -> DataFrame:
     """The candidate values (value, confidence) that reach ``least``."""
     both = F.concat(F.transform("base", lambda m: F.struct(m["value"].alias("value"), F.lit(True).alias("seed"), patterns(m).alias("patterns"))), F.transform("candidates", lambda m: F.struct(m["value"].alias("value"), F.lit(False).alias("seed"), patterns(m).alias("patterns"))))
     seen = found.where("size(candidates) + size(base) > 0").select(F.explode(both).alias("m")).select("m.value", "m.seed", F.explode("m.patterns").alias("pattern"))
     pairs = seen.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.bool_or("seed").alias("seed"), F.bool_or(~F.col("seed")).alias("other"))
     pairs = written(pairs, "contexts")
-    seeds = pairs.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("confidence"))
-    scores, sure = seeds, None
-    for _ in range(rounds):
-        weighed = pairs.join(scores, "value")
-        share = F.sum(F.col("n") * F.col("confidence")) / (F.sum("n") + 1)
-        weights = weighed.groupBy("pattern").agg(share.alias("weight"), F.count_if(F.col("confidence") >= least).alias("sure")).where(F.col("sure") >= support)
-        best = pairs.join(weights.select("pattern", "weight"), "pattern", "left").groupBy("value").agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("weight"), F.lit(0.0))).alias("confidence"))
-        scores = written(best, "confidence")
-        now = scores.where(F.col("confidence") >= least).count()
-        if now == sure:
+    sure, last = pairs.where("seed").select("value").distinct(), None
+    done = 0
+    while rounds is None or done < rounds:
+        weights = trusted(pairs, sure, support, share).where(F.col("weight") >= least)
+        reached = pairs.join(weights, "pattern").groupBy("value").agg(F.max("weight").alias("confidence"))
+        last = written(reached, "confidence")
+        new = written(last.join(sure, "value", "left_anti").select("value"), "sure")
+        if new.isEmpty():
             break
-        sure = now
-    return scores.join(pairs.where("other").select("value").distinct(), "value", "left_semi").where(F.col("confidence") >= least)
+        sure, done = written(sure.union(new), "sure"), done + 1
+    if last is None:
+        last = found.sparkSession.createDataFrame([], "value string, confidence double")
+    return last.join(pairs.where("other").select("value").distinct(), "value", "left_semi")
+
+
+def trusted(pairs: DataFrame, sure: DataFrame, support: int, share: float) -> DataFrame:
+    """(pattern, weight) of the patterns that count, given the sure values."""
+    marked = pairs.join(sure.withColumn("sure", F.lit(True)), "value", "left")
+    held = F.sum(F.when(F.col("sure"), F.col("n")).otherwise(0))
+    sums = marked.groupBy("pattern").agg(F.sum("n").alias("n"), held.alias("held"), F.count_if("sure").alias("values"))
+    return sums.where((F.col("values") >= support) & (F.col("held") >= share * F.col("n"))).select("pattern", (F.col("held") / (F.col("held") + 1)).alias("weight"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 8, support: int = 5, least: float = 0.9, carry: bool = False) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None, support: int = 5, least: float = 0.9, carry: bool = False, share: float = 0.5) -> DataFrame:
     """doc_id, spans: array of (kind, start, end), kinds numbered as in KINDS; with ``carry`` also doc, as in ``extract``."""
     found = written(extract(docs, id_col, text_col, carry), "personal")
-    sure = bootstrap(found, rounds, support, least).select("value")
+    sure = bootstrap(found, rounds, support, least, share).select("value")
     more = found.where("size(candidates) > 0").select("row", F.explode("candidates").alias("m")).select("row", "m.value", "m.start", "m.end").join(sure, "value", "left_semi")
     more = more.groupBy("row").agg(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("more"))
     base = F.transform("base", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))

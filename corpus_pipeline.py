@@ -9,7 +9,8 @@ same in the shared folder.
 * near_duplicates: documents link at a Jaccard similarity of 0.8 of their five-word shingles; of each group of linked
   documents the one with the smallest id stays. Documents without words, or without an id, stay; rows that share an id and
   a text stay or go together, rows that share an id alone are judged each by its text.
-* decontamination: documents with a window that reaches similarity 0.8 with a benchmark item go.
+* decontamination: documents with a window that reaches similarity 0.8 with a benchmark item go, those without an id too; of
+  rows that share an id only those whose own text has such a window.
 * personal_data: every span found is replaced by its kind in angle brackets; ``n_chars`` follows the text.
 * packing: the documents' ids in sequences of at most 1024.
 """
@@ -45,8 +46,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaked = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    leaked = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked_id"), F.col("text_hash").alias("leaked_hash")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("leaked_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("leaked_hash"))
+    return docs.join(leaked, same, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

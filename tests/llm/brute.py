@@ -198,3 +198,39 @@ def merkle_manifest(rows):
             folded = sha256(left + folded + right)
         out.append((x["id"], x["leaf"], x["subroot"], root, sha256("".join(a + b for a, b in x["path"])), folded, folded == root))
     return out
+
+
+def contexts(texts, support=5, share=0.5, least=0.9):
+    """The values that contexts find in the texts, by a plain bootstrap over all patterns and values."""
+    digits = lambda v: re.sub("[^0-9]", "", v)
+    kinds = (
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(x) <= 255 for x in v.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda v: 13 <= len(digits(v)) <= 19 and luhn(digits(v))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 9 <= len(digits(v)) <= 15),
+        (r"(?<![0-9A-Za-z])(?=[A-Za-z_./:-]{0,15}[0-9](?:[A-Za-z_./:-]*[0-9]){2})[0-9A-Za-z][0-9A-Za-z_./:-]{2,}[0-9A-Za-z]", lambda v: True),
+    )
+    count, sure, others = Counter(), set(), set()
+    for text in texts:
+        text, base = text or "", []
+        for k, (pattern, test) in enumerate(kinds):
+            found = list(re.finditer(pattern, text))
+            edges = [0, *(x for m in found for x in m.span()), len(text)]
+            for n, m in enumerate(found):
+                if not test(m[0]) or k == 4 and any(m.start() < b and a < m.end() for a, b in base):
+                    continue
+                base += [m.span()] * (k < 4)
+                (sure if k < 4 else others).add(m[0])
+                before, after = WORD.findall(text[edges[2 * n] : m.start()].lower()), WORD.findall(text[m.end() : edges[2 * n + 3]].lower())
+                count.update((p, m[0]) for p in [*(f"1 {w}" for w in before[-1:]), *([f"2 {before[-2]} {before[-1]}"] if len(before) > 1 else []), *(f"+ {w}" for w in after[:1])])
+    while True:
+        total, held, values = Counter(), Counter(), Counter()
+        for (p, v), n in count.items():
+            total[p] += n
+            held[p] += n * (v in sure)
+            values[p] += v in sure
+        good = {p for p in total if values[p] >= support and held[p] >= share * total[p] and held[p] / (held[p] + 1) >= least}
+        new = {v for p, v in count if p in good} - sure
+        if not new:
+            return {v for p, v in count if p in good} & others
+        sure |= new
