@@ -102,7 +102,8 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """At most SENT tokens reach the driver: those of the highest bins of counts that fit."""
+    """At most SENT tokens reach the driver: those of the highest bins of counts that fit, and the OWN most frequent anyway,
+    whatever the bins hold. Others are looked up by a join."""
     bins = counts.groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.count("*").alias("tokens"), F.sum("n").alias("n")).orderBy(F.desc("bin")).collect()
     kept, least = 0, math.inf
     for r in bins:
@@ -112,6 +113,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         least = r["bin"]
     total, distinct = sum(r["n"] for r in bins), sum(r["tokens"] for r in bins)
     found = counts.where(F.floor(F.log2("n") * 8) >= least).collect() if least < math.inf else []
+    if len(found) < OWN:
+        found = counts.orderBy(F.desc("n"), "token").limit(OWN).collect()
     rows = sorted(((bytes(r["token"]), r["n"]) for r in found), key=lambda r: (-r[1], r[0]))
     own = {w for w, _ in rows[:OWN]}
     sent = counts.sparkSession.sparkContext.broadcast(own)

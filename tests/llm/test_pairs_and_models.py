@@ -316,3 +316,11 @@ def test_rare_tokens_learn_vectors_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(lm, "SENT", lm.OWN + 31)  # so that they are looked up by a join
     again = {r.doc_id: r.score for r in lm.score(table, F.col("doc_id") >= 640).collect()}
     assert all(math.isclose(again[i], got[i], rel_tol=1e-4) for i in got)
+
+
+def test_tied_tokens_have_outputs_of_their_own(spark, monkeypatch):
+    """The most frequent tokens are sent whatever their number: ties go by bytes."""
+    monkeypatch.setattr(lm, "SENT", 40)
+    counts = spark.range(3000).selectExpr("cast(concat('t', id) as binary) AS token", "cast(7 AS long) AS n")
+    vocab = lm.vocabulary(counts)
+    assert vocab.words == sorted(b"t%d" % k for k in range(3000))[: lm.OWN] and (vocab.total, vocab.distinct) == (21_000, 3000)
