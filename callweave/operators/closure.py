@@ -39,6 +39,47 @@ def fixpoint_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return out
 
 
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) of a forest ``edges`` (parent, child), in which a node has one parent at most.
+
+    Distances double: what stands up to n above a node, and what stands up to n above its n-th ancestor, is what stands up to
+    2 n above it. So a chain of a thousand takes ten rounds, not a thousand. Null ends and loops from a node to itself are
+    dropped; a node with two parents, or a cycle, is an error.
+    """
+    links = stored(edges.where("parent is not null and child is not null and parent <> child").select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct(), "links")
+    nodes, distinct = links.agg(F.count("*"), F.countDistinct("node")).first()
+    if nodes != distinct:
+        raise ValueError("a node has two parents")
+    near, jump, n = links.withColumn("depth", F.lit(1)), links.withColumnRenamed("ancestor", "via"), 1
+    parts = [near]
+    while n <= 2 * max(nodes, 1):
+        far = near.select(F.col("node").alias("via"), "ancestor", (F.col("depth") + n).alias("depth"))
+        near = stored(jump.join(far, "via").select("node", "ancestor", "depth"), "doubled")
+        if near.isEmpty():
+            return union_of(parts)
+        parts.append(near)
+        jump, n = near.where(F.col("depth") == 2 * n).select("node", F.col("ancestor").alias("via")), 2 * n
+        near = union_of(parts)
+    raise ValueError("the edges hold a cycle")
+
+
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def dispatch(calls: DataFrame, parents: DataFrame, methods: DataFrame, instantiated: DataFrame, abstract: DataFrame) -> DataFrame:
+    """(owner, member, target): for each called method its overrides in instantiated subtypes. One row a method and override,
+    however often the method is called."""
+    called = calls.select("owner", "member").distinct()
+    subtypes = fixpoint_closure(parents.select("parent", "child"), called.select(F.col("owner").alias("seed")).distinct())
+    able = subtypes.join(instantiated.select(F.col("type").alias("node")).distinct(), "node", "left_semi").join(abstract.select(F.col("type").alias("node")).distinct(), "node", "left_anti")
+    over = able.join(methods.select(F.col("owner").alias("node"), "member").distinct(), "node").select(F.col("seed").alias("owner"), "member", F.concat_ws(".", "node", "member").alias("target"))
+    return over.join(called, ["owner", "member"], "left_semi")
+
+
 def rta_expand(calls: DataFrame, parents: DataFrame, methods: DataFrame, instantiated: DataFrame, abstract: DataFrame) -> DataFrame:
     """Further targets of method calls: overrides in instantiated subtypes.
 
@@ -46,7 +87,5 @@ def rta_expand(calls: DataFrame, parents: DataFrame, methods: DataFrame, instant
     Subtypes are walked through abstract and never instantiated ones, only targets are filtered. Returns (call, target).
     The closure starts at the calls' owners only.
     """
-    subtypes = fixpoint_closure(parents.select("parent", "child"), calls.select(F.col("owner").alias("seed")).distinct())
-    able = subtypes.join(instantiated.select(F.col("type").alias("node")).distinct(), "node", "left_semi").join(abstract.select(F.col("type").alias("node")).distinct(), "node", "left_anti")
-    over = able.join(methods.select(F.col("owner").alias("node"), "member").distinct(), "node").select(F.col("seed").alias("owner"), "member", F.concat_ws(".", "node", "member").alias("target"))
+    over = dispatch(calls, parents, methods, instantiated, abstract)
     return calls.join(over, ["owner", "member"]).select("call", "target")

@@ -10,12 +10,14 @@ EDGE = "source string, target string, type string, weight bigint, provenance arr
 
 
 def edge_rollup(contributions: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    """One edge a key: weight counts the contributions. Any order gives the same edges; the sums are partial before the shuffle."""
-    return contributions.groupBy(*keys).agg(F.count("*").alias("weight"), *more)
+    """One edge a key: weight counts the contributions, or sums their ``weight`` where they have one. Any order gives the same
+    edges; the sums are partial before the shuffle."""
+    weight = F.sum("weight") if "weight" in contributions.columns else F.count("*")
+    return contributions.groupBy(*keys).agg(weight.alias("weight"), *more)
 
 
 def call_edges(contributions: DataFrame, provenance: str) -> DataFrame:
-    """Edges from (source, target, ordinal, tags). Tags of the first contribution hold; the mark of a virtual dispatch
+    """Edges from (source, target, ordinal, tags), and weight if contributions are groups. Tags of the first contribution hold; the mark of a virtual dispatch
     holds if any contribution carries it."""
     rta = F.coalesce(F.col("tags")["ts.dispatch"] == "rta", F.lit(False))
     rows = edge_rollup(contributions, ["source", "target"], F.bool_or(rta).alias("rta"), F.min_by("tags", "ordinal").alias("first"))

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import text as x
 from callweave.operators.edges import call_edges
-from callweave.operators.rows import enclosing, first_wins
+from callweave.operators.rows import first_wins, innermost
 from callweave.sources.scan import Flow
 from callweave.sources.storage import stored
 
 
+COLUMNS = 1 << 24
+
+
+def place(line: str, column: str) -> Column:
+    """A line and column as one number. Columns from ``COLUMNS`` on would run into the next line; no file has such lines."""
+    return F.col(line).cast("long") * COLUMNS + F.col(column)
+
+
 def functions_of(flow: Flow, tables: dict[str, DataFrame]) -> DataFrame:
     """(id, class, signature, module, member, path, line, column) of the analyzer's functions.
 
@@ -22,10 +30,8 @@ def functions_of(flow: Flow, tables: dict[str, DataFrame]) -> DataFrame:
     modules = tables["module"].select(F.col("file_key").alias("path"), "module_name")
     inside = rows.where("p is null").join(modules, "path")
     written = tables["callable"].where("not is_implicit")
-    spans = written.select(F.col("file_key").alias("path"), "signature", F.struct("start_line", "start_column").alias("start"), F.struct("end_line", "end_column").alias("end"))
-    point = F.struct(F.col("line").alias("start_line"), F.col("column").alias("start_column"))
-    behind = F.struct(F.col("line").alias("end_line"), F.col("column").alias("end_column"))
-    host = enclosing(inside.select("id", "path", "line", "column"), spans, ["path"], (F.col("start") <= point) & (behind < F.col("end")), ["id"], "start").select("id", F.col("signature").alias("host"))
+    spans = written.select(F.col("file_key").alias("path"), F.col("signature").alias("host"), place("start_line", "start_column").alias("start"), place("end_line", "end_column").alias("end"))
+    host = innermost(inside.select("id", "path", place("line", "column").alias("at")), spans, ["path"], ["id"], "at", "start", "end").select("id", "host")
     exact = written.select(F.col("file_key").alias("path"), F.col("function_line").alias("line"), F.col("function_column").alias("column"), F.col("signature").alias("own")).dropDuplicates(["path", "line", "column"])
     named = inside.join(host, "id", "left").join(exact, ["path", "line", "column"], "left")
     anonymous = x.anonymous_signature(F.coalesce("host", "module_name"), F.col("line"), F.col("column"))
@@ -40,14 +46,14 @@ def border_calls(flow: Flow, functions: DataFrame, sites: DataFrame) -> DataFram
     A call is the innermost call site around its place; it belongs to the innermost of the analyzer's own functions around
     it, and is named by what the site resolved to, else by the library function's place. Calls of no function are left out.
     """
-    calls = flow.calls.select(F.col("id").alias("call"), "path", F.struct(F.col("place.start_line").alias("line"), F.col("place.start_column").alias("column")).alias("at"))
+    calls = flow.calls.select(F.col("id").alias("call"), "path", place("place.start_line", "place.start_column").alias("at"))
     library = functions.where("class = 'library'").select(F.col("id").alias("callee"), F.col("signature").alias("place_name"), F.col("module").alias("package"))
     met = flow.call2fun.join(library, "callee").join(calls, "call")
     around = functions.where("class <> 'library'").join(flow.functions.select("id", "place"), "id")
-    around = around.select("path", F.col("signature").alias("source"), F.struct("place.start_line", "place.start_column").alias("start"), F.struct("place.end_line", "place.end_column").alias("end"))
-    owned = enclosing(met, around, ["path"], (F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")), ["call", "callee"], "start").drop("start", "end")
-    spans = sites.select(F.col("file_key").alias("path"), F.struct("start_line", "start_column").alias("start"), F.struct("end_line", "end_column").alias("end"), F.when(F.col("is_external"), F.col("callee_signature")).alias("named"))
-    sited = enclosing(owned, spans, ["path"], (F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")), ["call", "callee"], "start").select("call", "callee", "named")
+    around = around.select("path", F.col("signature").alias("source"), place("place.start_line", "place.start_column").alias("start"), place("place.end_line", "place.end_column").alias("end"))
+    owned = innermost(met, around, ["path"], ["call", "callee"], "at", "start", "end").drop("start", "end")
+    spans = sites.select(F.col("file_key").alias("path"), place("start_line", "start_column").alias("start"), place("end_line", "end_column").alias("end"), F.when(F.col("is_external"), F.col("callee_signature")).alias("named"))
+    sited = innermost(owned, spans, ["path"], ["call", "callee"], "at", "start", "end").select("call", "callee", "named")
     out = owned.join(sited, ["call", "callee"], "left")
     member = F.when(F.col("named").isNotNull(), x.member_of(F.col("named")))
     module = F.coalesce(F.when(F.col("named").isNotNull(), x.owner_of(F.col("named"))), F.col("package"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import text as x
-from callweave.operators.closure import fixpoint_closure, rta_expand
+from callweave.operators.closure import fixpoint_closure, dispatch
 from callweave.operators.edges import call_edges
 from callweave.operators.rows import first_wins
 from callweave.sources.storage import stored
@@ -233,19 +233,22 @@ def resolve_calls(tables: dict[str, DataFrame], use_phantoms: bool = True) -> Re
     done = stored(done.withColumn("is_external", F.col("target").isNull() & F.col("signature").isNotNull()), "resolved-sites")
     created = typed(tables["new_expr"].withColumn("id", F.concat_ws("|", "file_key", "start_line", "start_column")), names, types.where("kind = 'class'")).select(F.col("sig").alias("type"))
     created = created.unionByName(done.where("is_constructor_call and target is not null").select(x.without_constructor(F.col("target")).alias("type"))).distinct()
-    virtual = done.where("target is not null and receiver_expr is not null and not is_constructor_call").select(F.col("id").alias("call"), x.owner_of(F.col("target")).alias("owner"), x.member_of(F.col("target")).alias("member")).where("member <> 'constructor'")
+    virtual = done.where("target is not null and receiver_expr is not null and not is_constructor_call").select(x.owner_of(F.col("target")).alias("owner"), x.member_of(F.col("target")).alias("member"), "caller", F.col("target").alias("direct"), "order")
+    groups = virtual.where("member <> 'constructor'").groupBy("caller", "owner", "member", "direct").agg(F.count("*").alias("weight"), F.min("order").alias("order"))
+    groups = stored(groups, "virtual-groups")  # calls of one method by one caller go through dispatch together
     methods = tables["callable"].where("owner_kind = 'class' and kind = 'method'").select(F.col("owner_signature").alias("owner"), F.col("name").alias("member"))
-    over = rta_expand(virtual, parents.where("from_class").select("child", "parent"), methods, created, types.where("kind = 'class' and is_abstract").select(F.col("signature").alias("type")))
-    over = stored(over.join(universe, "target", "left_semi").join(done.select(F.col("id").alias("call"), F.col("target").alias("direct"), "caller", "order"), "call").where("target <> direct"), "overrides")
+    over = dispatch(groups, parents.where("from_class").select("child", "parent"), methods, created, types.where("kind = 'class' and is_abstract").select(F.col("signature").alias("type")))
+    over = over.join(universe, "target", "left_semi")
+    over = stored(groups.join(over, ["owner", "member"]).where("target <> direct").select("caller", "target", "order", "weight"), "overrides")
     tags = lambda *kv: F.create_map(*[F.lit(v) if isinstance(v, str) else v for v in kv]).cast("map<string,string>")
     none = F.create_map().cast("map<string,string>")
-    exact = done.where("target is not null").select(F.col("caller").alias("source"), "target", F.col("order").alias("ordinal"), none.alias("tags"))
-    dispatched = over.select(F.col("caller").alias("source"), "target", F.col("order").alias("ordinal"), tags("ts.dispatch", "rta").alias("tags"))
+    exact = done.where("target is not null").select(F.col("caller").alias("source"), "target", F.col("order").alias("ordinal"), none.alias("tags"), F.lit(1).cast("long").alias("weight"))
+    dispatched = over.select(F.col("caller").alias("source"), "target", F.col("order").alias("ordinal"), tags("ts.dispatch", "rta").alias("tags"), "weight")
     away = done.where("is_external").select(F.col("caller").alias("source"), F.col("signature").alias("target"), F.col("order").alias("ordinal"), tags("ts.external", "true", "ts.module", F.col("module")).alias("tags"))
     edges = stored(call_edges(exact.unionByName(dispatched), "tsc").unionByName(call_edges(away, "import")), "edges")
     external = outside.select("signature", F.col("member").alias("name"), "module").dropDuplicates(["signature"])
     stats = done.agg(F.count_if(F.col("target").isNotNull()).alias("resolved"), F.count_if(F.col("is_external")).alias("phantom"), F.count_if(F.col("callee_signature").isNull()).alias("unresolved"))
-    stats = stats.crossJoin(over.agg(F.count("*").alias("rta"))).crossJoin(edges.agg(F.count("*").alias("unique_edges"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")))
+    stats = stats.crossJoin(over.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("rta"))).crossJoin(edges.agg(F.count("*").alias("unique_edges"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")))
     return Resolved(done.drop("target", "signature", "member"), edges, external, stats, parents)
 
 

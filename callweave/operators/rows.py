@@ -39,7 +39,62 @@ def batches(rows: DataFrame, keys: list[str], order: list[Column], size: int) ->
     return placed.withColumn("batch", F.floor((F.col("_before") + F.col("_number") - 1) / size)).select(*rows.columns, "batch")
 
 
-def enclosing(points: DataFrame, ranges: DataFrame, on: list[str], inside: Column, point_key: list[str], start: str) -> DataFrame:
-    """For each point the innermost range that holds it: an equi-join on ``on``, then the range that starts last."""
-    met = points.join(ranges, on).where(inside)
-    return last_wins(met, point_key, [F.col(start)])
+def cells(start: Column, end: Column, bits: int) -> Column:
+    """The cells (level, cell), at most two of each level, that cover the places from ``start`` up to ``end`` exactly; a cell
+    of level k is 2 ** k places wide. Empty if the range is."""
+
+    def level(k: Column) -> Column:
+        below = F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1
+        low, high = F.call_function("shiftright", start + below, k), F.call_function("shiftright", end, k)
+        both = F.array(F.when(low % 2 == 1, low), F.when(high % 2 == 1, high - 1))
+        return F.when(low < high, F.transform(F.filter(both, lambda c: c.isNotNull()), lambda c: F.struct(k.alias("level"), c.alias("cell"))))
+
+    return F.flatten(F.filter(F.transform(F.sequence(F.lit(0), F.lit(bits)), level), lambda x: x.isNotNull()))
+
+
+def innermost(points: DataFrame, ranges: DataFrame, on: list[str], point_key: list[str], at: str, start: str, end: str) -> DataFrame:
+    """``points`` with the columns of the range of the same ``on`` that holds ``at`` and starts last; points in none are left out.
+
+    Places are whole numbers from 0; a range holds ``start`` and not ``end``; of ranges with equal starts the one that ends
+    first holds. Ranges may nest or cross. Each range is cut into cells of doubling width, two of a level at most, and a cell
+    keeps the range that starts last, so a point meets at most one row on each level that occurs: the work is the points and
+    ranges times the logarithm of the widest place, whatever a key holds, and a key with very many ranges is dealt over tasks
+    by its cells. Ranges without a place, and points without one, take no part.
+    """
+    good = ranges.where((F.col(start) >= 0) & (F.col(end) > F.col(start)))
+    widest = good.agg(F.max(end)).first()[0]
+    if widest is None:
+        others = [f for f in ranges.schema.fields if f.name not in on and f.name not in points.columns]
+        return points.where("false").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in others])
+    body = [c for c in ranges.columns if c not in on]
+    cut = good.select(*on, F.struct(*body).alias("range"), F.explode(cells(F.col(start).cast("long"), F.col(end).cast("long"), int(widest).bit_length())).alias("c"))
+    order = F.struct(F.col(f"range.{start}"), -F.col(f"range.{end}"), F.to_json("range"))
+    best = stored(cut.groupBy(*on, "c.level", "c.cell").agg(F.max_by("range", order).alias("range")), "cells")
+    levels = [r[0] for r in best.select("level").distinct().collect()]  # a few dozen at most
+    probes = points.where(F.col(at) >= 0).select(*on, *[c for c in point_key if c not in on], F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col(at).cast("long"), k).alias("cell")) for k in levels])).alias("c"))
+    met = probes.select("*", "c.level", "c.cell").drop("c").join(best, [*on, "level", "cell"])
+    held = met.groupBy(*point_key).agg(F.max_by("range", order).alias("range"))
+    return points.join(held, point_key).select(*points.columns, *[F.col(f"range.{c}").alias(c) for c in body if c not in points.columns])
+
+
+def latest(points: DataFrame, marks: DataFrame, on: list[str], at: str, since: str, tie: list[str]) -> DataFrame:
+    """``points`` with the columns of the last mark of the same ``on`` before ``at``; points without one are left out.
+
+    Of marks at one time the last by ``tie`` holds. Points and marks are dealt together by ranges of key and time; each range
+    hands its last mark of a key on to the ranges that follow, one row for each range and key. So a key with most of the rows
+    is spread over tasks, and no point meets more than one mark. Rows without a key or a time take no part.
+    """
+    body = [c for c in marks.columns if c not in on]
+    point = points.select(*on, F.col(at).alias("_time"), F.lit(0).alias("_kind"), F.struct(*points.columns).alias("_point"), F.lit(None).cast(marks.select(F.struct(*body)).schema[0].dataType).alias("_mark"))
+    mark = marks.select(*on, F.col(since).alias("_time"), F.lit(1).alias("_kind"), F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("_point"), F.struct(*body).alias("_mark"))
+    both = point.unionByName(mark).dropna(subset=[*on, "_time"])
+    order = ["_time", "_kind", *[f"_mark.{t}" for t in tie]]
+    ranged = stored(both.repartitionByRange(*on, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    held = ranged.where("_kind = 1").groupBy(*on, "_range").agg(F.max_by("_mark", F.struct(*order)).alias("_held"))
+    parts = ranged.select(*on, "_range").distinct().join(held, [*on, "_range"], "left")
+    before = F.last("_held", ignorenulls=True).over(Window.partitionBy(*on).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*on, "_range", before.alias("_before"))
+    inside = F.last("_mark", ignorenulls=True).over(Window.partitionBy(*on, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = ranged.withColumn("_own", inside).where("_kind = 0").join(parts, [*on, "_range"])
+    found = found.withColumn("_mark", F.coalesce("_own", "_before")).where("_mark is not null")
+    return found.select("_point.*", *[F.col(f"_mark.{c}").alias(c) for c in body if c not in points.columns])

@@ -109,6 +109,18 @@ def base_wins(spark, sf_dir):
     return edges.base_wins_union(base, overlay, ["nation"])
 
 
+@query("""
+SELECT c_nationkey AS nation, c_mktsegment AS segment, c_name AS name, 'customer' AS origin FROM customer
+UNION ALL SELECT s_nationkey, 'MACHINERY', s_name, 'supplier' FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE s_nationkey = c_nationkey AND c_mktsegment = 'MACHINERY' )
+UNION ALL SELECT s_nationkey, 'none', s_name, 'supplier' FROM supplier
+""")
+def base_wins_all(spark, sf_dir):
+    """All customers, and the suppliers' entries where no customer of the nation has the segment."""
+    base = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"), F.lit("customer").alias("origin"))
+    overlay = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.explode(F.array(F.lit("MACHINERY"), F.lit("none"))).alias("segment"), F.col("s_name").alias("name"), F.lit("supplier").alias("origin"))
+    return edges.base_wins_union(base, overlay, ["nation", "segment"])
+
+
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
 def signature_gate(spark, sf_dir):
     known = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
@@ -174,8 +186,31 @@ def enclosing_top1(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     points = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     starts = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("start_id"), F.col("ts").alias("start"))
-    met = starts.withColumn("place", F.struct("start", "start_id"))
-    return rows.enclosing(points, met, ["user_id"], F.col("start") < F.col("ts"), ["event_id"], "place").select("event_id", "start_id")
+    return rows.latest(points, starts, ["user_id"], "ts", "start", ["start_id"]).select("event_id", "start_id")
+
+
+@query("""
+SELECT o_orderkey, c_custkey FROM (
+  SELECT o_orderkey, c_custkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY c_custkey DESC) AS k
+  FROM orders JOIN customer ON o_custkey * 3 >= c_custkey * 3 AND o_custkey * 3 < c_custkey * 3 + 1 + (c_custkey * 7919) % 97) WHERE k = 1
+""")
+def enclosing_ranges(spark, sf_dir):
+    """The range that starts last around each point, ranges of one file that nest and cross."""
+    file = F.lit("bundle").alias("path")
+    points = table(spark, sf_dir, "orders").select(file, "o_orderkey", (F.col("o_custkey") * 3).alias("at"))
+    start = F.col("c_custkey") * 3
+    ranges = table(spark, sf_dir, "customer").select(file, "c_custkey", start.alias("start"), (start + 1 + F.col("c_custkey") * 7919 % 97).alias("end"))
+    return rows.innermost(points, ranges, ["path"], ["o_orderkey"], "at", "start", "end").select("o_orderkey", "c_custkey")
+
+
+@query("""
+SELECT a.s_suppkey AS node, b.s_suppkey AS ancestor, (a.s_suppkey - b.s_suppkey)::INTEGER AS depth
+FROM supplier a JOIN supplier b ON a.s_suppkey > b.s_suppkey AND a.s_suppkey // 128 = b.s_suppkey // 128
+""")
+def containment_chain(spark, sf_dir):
+    """Everything around each node, where each holds the next, in chains of 128."""
+    key = F.col("s_suppkey")
+    return closure.ancestors(table(spark, sf_dir, "supplier").where(key % 128 != 0).select((key - 1).alias("parent"), key.alias("child")).join(table(spark, sf_dir, "supplier").select((key).alias("parent")), "parent"))
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
