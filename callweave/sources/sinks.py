@@ -1,18 +1,17 @@
-"""Sinks: JSON documents, Cypher statements, snapshots."""
+"""Sinks: JSON documents and Cypher statements; snapshots are those of :mod:`callweave.sources.snapshot`."""
 
 from __future__ import annotations
 
-import re
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.operators.incremental import module_diff, patch
 from callweave.operators.rows import batches
-from callweave.sources.storage import delete_path, exists, names_in, stored
+from callweave.sources.snapshot import apply_incremental, load_snapshot, versions
+from callweave.sources.storage import stored
 
-SNAPSHOT_VERSION = "1.0.0"
+__all__ = ["apply_incremental", "cypher_statements", "literal", "load_snapshot", "module_documents", "versions", "write_contract", "write_cypher", "write_json"]
 STATEMENT_ROWS = 500
 
 
@@ -73,76 +72,6 @@ def write_cypher(nodes: DataFrame, edges: DataFrame, app: str, path: str) -> Non
     rows.repartitionByRange("part", "statement").sortWithinPartitions("part", "statement").select("statement").write.mode("overwrite").text(path)
 
 
-# --- snapshots ----------------------------------------------------------------------------------------------------------
-
-
-def versions(spark: SparkSession, path: str) -> list[str]:
-    """The folders of a snapshot's complete versions, the oldest first."""
-    found = sorted(n for n in names_in(spark, path) if re.fullmatch(r"v\d{12}", n))
-    return [n for n in found if exists(spark, f"{path}/{n}/complete/_SUCCESS")]
-
-
-def load_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """(nodes, edges) of a snapshot's last complete version; None if there is none, or if another format wrote it. Storage
-    that cannot be read is an error: taken for an empty snapshot, it would lose what other applications wrote."""
-    complete = versions(spark, path)
-    if not complete:
-        return None
-    last = f"{path}/{complete[-1]}"
-    if [r[0] for r in spark.read.text(f"{last}/complete").collect()] != [SNAPSHOT_VERSION]:
-        return None
-    return spark.read.parquet(f"{last}/nodes"), spark.read.parquet(f"{last}/edges")
-
-
-def changes(state: tuple[DataFrame, DataFrame] | None, nodes: DataFrame) -> DataFrame:
-    """(app_name, file_key, state) of the modules, by content hash."""
-    hashed = lambda n: n.where(F.array_contains("labels", "Module")).select("app_name", F.col("value").alias("file_key"), F.get_json_object("props", "$.content_hash").alias("hash"))
-    new = hashed(nodes)
-    return module_diff(new, hashed(state[0]) if state else new.where("false"), ["app_name", "file_key"], "hash", "hash")
-
-
-def apply_incremental(spark: SparkSession, path: str, nodes: DataFrame, edges: DataFrame, full_run: bool = True) -> DataFrame:
-    """Writes the next snapshot and returns the modules' states.
-
-    Modules that changed are replaced with their nodes and the edges that start there; others keep theirs. Shared nodes are
-    patched and never removed. Modules that vanished go on a full run alone. Every key holds the application's name, so
-    other applications in the snapshot stay. A version is written under the next number and marked complete last; readers
-    take the highest complete one, so a failure leaves the snapshot as it was. The last two versions are kept.
-    """
-    state = load_snapshot(spark, path)
-    diff = stored(changes(state, nodes), "changes")
-    taken = [int(n[1:]) for n in names_in(spark, path) if re.fullmatch(r"v\d{12}", n)]
-    name = f"v{max(taken, default=0) + 1:012d}"
-    if state:
-        old_nodes, old_edges = state
-        apps = nodes.select("app_name").distinct()
-        moved = diff.where("state in ('added', 'changed')").select("app_name", F.col("file_key").alias("m"))
-        gone = diff.join(apps, "app_name", "left_semi").where("state = 'removed'").select("app_name", F.col("file_key").alias("m"))
-        out = moved.unionByName(gone) if full_run else moved
-        owned = lambda rows, column: rows.withColumn("m", F.col(column))
-        kept = owned(old_nodes, "_module").where("_module is not null").join(out, ["app_name", "m"], "left_anti").drop("m")
-        fresh = owned(nodes, "_module").join(moved, ["app_name", "m"], "left_semi").drop("m")
-        shared = old_nodes.where("_module is null").alias("o").join(nodes.where("_module is null").alias("n"), ["app_name", "labels", "key_prop", "value"], "full_outer")
-        kinds = "map<string,string>"
-        merged = F.to_json(patch(F.from_json("o.props", kinds), F.from_json("n.props", kinds)))
-        shared = shared.select("app_name", "labels", "key_prop", "value", merged.alias("props"), F.lit(None).cast("string").alias("_module"))
-        all_nodes = kept.unionByName(fresh.select(kept.columns)).unionByName(shared.select(kept.columns))
-        kept_edges = owned(old_edges, "owner_module").join(out, ["app_name", "m"], "left_anti").drop("m").where("owner_module is not null")
-        new_edges = edges.where("owner_module is null").unionByName(owned(edges, "owner_module").join(moved, ["app_name", "m"], "left_semi").drop("m").select(edges.columns))
-        old_shared = old_edges.where("owner_module is null").join(edges.where("owner_module is null"), ["app_name", "type", "from_label", "from_key", "to_label", "to_key"], "left_anti").select(edges.columns)
-        all_edges = kept_edges.select(edges.columns).unionByName(new_edges).unionByName(old_shared)
-        keys = all_nodes.select("app_name", F.element_at("labels", 1).alias("l"), "value")
-        for side in ("from", "to"):
-            all_edges = all_edges.join(keys.select("app_name", F.col("l").alias(f"{side}_label"), F.col("value").alias(f"{side}_key")), ["app_name", f"{side}_label", f"{side}_key"], "left_semi")
-        nodes, edges = all_nodes, all_edges.select(edges.columns)
-    nodes.write.parquet(f"{path}/{name}/nodes")
-    edges.write.parquet(f"{path}/{name}/edges")
-    spark.createDataFrame([(SNAPSHOT_VERSION,)], "v string").coalesce(1).write.text(f"{path}/{name}/complete")
-    for old in versions(spark, path)[:-2]:
-        delete_path(spark, f"{path}/{old}")
-    return diff
-
-
 def write_contract(path: str) -> None:
     from callweave.plans.contract import as_json
 
