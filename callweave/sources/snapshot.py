@@ -124,7 +124,7 @@ def plan(spark: SparkSession, path: str, state: Version | None, nodes: DataFrame
     patched and never removed. Modules that vanished go on a full run alone. Edges whose ends are gone go. Every key holds the
     application's name, so other applications stay."""
     nodes = nodes.withColumn("bucket", bucket_of(F.col("app_name"), F.col("_module"), F.col("value")))
-    edges = edges.withColumn("bucket", bucket_of(F.col("app_name"), F.col("owner_module"), F.col("from_key")))
+    edges = edges.withColumn("bucket", bucket_of(F.col("app_name"), F.col("owner_module"), F.concat_ws(">", "from_key", "to_key")))
     apps = nodes.select("app_name").distinct()
     old_nodes, old_edges = (table_of(spark, path, state, k).join(F.broadcast(apps), "app_name", "left_semi") for k in ("nodes", "edges"))
     every = table_of(spark, path, state, "nodes").where(F.array_contains("labels", "Module"))

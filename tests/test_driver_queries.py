@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from callweave.plans import source_queries  # noqa: F401  registers its queries with the others
+from callweave.plans import snapshot_queries, source_queries  # noqa: F401  they register their queries with the others
 from callweave.plans.driver_queries import ORACLE_SQL, QUERIES
 from tests.conftest import DATA
 
