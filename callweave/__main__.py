@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import json
 import logging
 import os
 import sys
@@ -67,15 +66,18 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    from callweave.sources.sinks import module_documents
+    from callweave.sources import sinks
+    from callweave.sources.storage import delete_path, fresh_path
 
     spark = SparkSession.builder.appName("callweave").getOrCreate()
     done = analyze(spark, chosen)
     if not chosen.output:
-        for row in module_documents(done.tables).select("json").toLocalIterator():
-            print(row.json)
-        for row in done.graph.edges.toLocalIterator():
-            print(json.dumps(row.asDict(recursive=True)))
+        path = fresh_path(spark, "json")
+        done.figures = sinks.write_json(done.tables, done.graph.edges, path)
+        sinks.copy_json(spark, path, sys.stdout.buffer)
+        delete_path(spark, path)
+    if done.figures:
+        LOG.info("modules: %(modules)d, of which built %(built)d and cached %(cached)d; edges: %(edges)d of weight %(weight)d", done.figures)
     return 0
 
 

@@ -45,6 +45,7 @@ class Analysis:
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     changes: DataFrame | None = field(default=None)
+    figures: dict[str, int] | None = None  # counted while JSON was written: modules built and cached, edges and their weight
 
 
 def analyze(spark: SparkSession, options: Options) -> Analysis:
@@ -55,7 +56,7 @@ def analyze(spark: SparkSession, options: Options) -> Analysis:
 def analyze_files(spark: SparkSession, files: DataFrame, options: Options, config: ProjectConfig | None = None) -> Analysis:
     """From rows of files; all of them are read for resolution, targets alone make nodes and edges."""
     tables = resolve_aliases(parse_modules(files, options.name, options.cache, options.eager), config or ProjectConfig())
-    graph = choose(options.provider).build(Context(spark, tables, options.phantoms, options.flow_path))
+    graph = choose(options.provider).build(Context(spark, tables, options.phantoms, options.flow_path, root=options.input or None))
     out = Analysis(tables, graph)
     kind = options.emit if options.emit in ("json", "neo4j", "schema", "parquet") else "json"
     if kind in ("neo4j", "parquet") or options.snapshot:
@@ -67,7 +68,7 @@ def analyze_files(spark: SparkSession, files: DataFrame, options: Options, confi
         out.changes = sinks.apply_incremental(spark, options.snapshot, out.nodes, out.edges, options.targets is None)
     if options.output:
         if kind == "json":
-            sinks.write_json(tables, graph.edges, options.output)
+            out.figures = sinks.write_json(tables, graph.edges, options.output)
         elif kind == "neo4j":
             sinks.write_cypher(out.nodes, out.edges, options.name, options.output)
         elif kind == "parquet":

@@ -6,13 +6,15 @@ import logging
 from dataclasses import dataclass, replace
 from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.sources.storage import stored
+from callweave.sources.storage import exists, stored
 from callweave.operators.edges import base_wins_union, edge_diff, merge_edges
 from callweave.operators.flow import flow_edges
 from callweave.operators.resolve import Resolved, resolve_calls
-from callweave.sources.scan import ingest_flow
+from callweave.sources.scan import declared_packages, ingest_flow, within_policy
 
 LOG = logging.getLogger("callweave")
 
@@ -23,6 +25,7 @@ class Context:
     phantoms: bool = True
     flow_path: str | None = None
     resolved: Resolved | None = None  # of these tables with phantoms, if it is known already
+    root: str | None = None  # the project's folder; its manifest tells which packages a flow result may name
 
 @dataclass
 class Graph:
@@ -56,7 +59,10 @@ class FlowProvider:
         if not context.flow_path:
             raise ValueError("the flow provider needs the path of a flow result")
         r = context.resolved or resolve_calls(context.tables, True)
-        edges, external, synthesized, stats = flow_edges(ingest_flow(context.spark, context.flow_path), context.tables, r.call_sites)
+        flow = ingest_flow(context.spark, context.flow_path)
+        if context.root and exists(context.spark, manifest := f"{context.root}/package.json"):
+            flow = within_policy(flow, declared_packages(context.spark, manifest))
+        edges, external, synthesized, stats = flow_edges(flow, context.tables, r.call_sites)
         return Graph(stored(edges, "flow-edges"), stored(external, "flow-external"), stored(synthesized, "flow-synthesized"), r, stored(stats, "flow-stats"))
 
 class Union:
@@ -72,7 +78,7 @@ class Union:
             over = FlowProvider().build(replace(context, resolved=base.resolved if context.phantoms else None))
             merged = merge_call_graphs(base, over)
             edges = stored(merged.edges, "merged-edges")  # acts now, so that a failure shows here
-        except Exception as error:
+        except (PySparkException, Py4JJavaError, ValueError, OSError) as error:  # what reading and parsing it may raise
             LOG.warning("the flow provider failed, the resolver's graph stands: %s", error)
             return base
         return Graph(edges, merged.external, merged.synthesized, base.resolved, over.flow_stats)

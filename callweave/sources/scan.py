@@ -8,7 +8,7 @@ import posixpath
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -236,19 +236,20 @@ def save_cache(spark: SparkSession, path: str, meta: DataFrame, rows: DataFrame,
 def declared_packages(spark: SparkSession, manifest: str) -> DataFrame:
     """(package) that a package manifest declares; a manifest that is missing or broken declares none."""
     kinds = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
-    try:
-        rows = spark.read.text(manifest, wholetext=True)
-        rows.schema  # resolves the path
-    except Exception:  # the path is missing
+    if not exists(spark, manifest):
         return spark.createDataFrame([], "package string")
+    rows = spark.read.text(manifest, wholetext=True)
     parsed = rows.select(F.from_json("value", ", ".join(f"{k} map<string,string>" for k in kinds)).alias("m"))
     names = F.concat(*[F.coalesce(F.map_keys(F.col("m")[k]), F.array().cast("array<string>")) for k in kinds])
     return parsed.select(F.explode(names).alias("package")).distinct()
 
 
+INSTALLED = r"(?:^|/)node_modules/(@[^/]+/[^/]+|[^@./][^/]*)/"  # the package of a path
+
+
 def installed_packages(paths: DataFrame) -> DataFrame:
     """(package) of a table of file paths below ``node_modules``; names that start with a dot are left out."""
-    first = F.regexp_extract("path", r"(?:^|/)node_modules/(@[^/]+/[^/]+|[^@./][^/]*)/", 1)
+    first = F.regexp_extract("path", INSTALLED, 1)
     return paths.select(first.alias("package")).where("package <> ''").distinct()
 
 
@@ -280,3 +281,10 @@ def ingest_flow(spark: SparkSession, path: str) -> Flow:
 
     pairs = lambda column, a, b: row.select(F.explode(column).alias("p")).select(F.get("p", 0).alias(a), F.get("p", 1).alias(b))
     return Flow(located("functions"), pairs("fun2fun", "caller", "callee"), pairs("call2fun", "call", "callee"), located("calls"))
+
+
+def within_policy(flow: Flow, declared: DataFrame) -> Flow:
+    """The flow without functions of packages that are installed and not declared; what names them is unknown then."""
+    excluded = excluded_packages(installed_packages(flow.functions.select("path")), declared)
+    marked = flow.functions.withColumn("package", F.regexp_extract("path", INSTALLED, 1))
+    return replace(flow, functions=marked.join(excluded, "package", "left_anti").drop("package"))

@@ -3,36 +3,57 @@
 from __future__ import annotations
 
 from pathlib import Path
+from typing import BinaryIO
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.operators.rows import batches
 from callweave.sources.snapshot import apply_incremental, load_snapshot, versions
-from callweave.sources.storage import stored
+from callweave.sources.storage import names_in, pieces_of, stored
 
-__all__ = ["apply_incremental", "cypher_statements", "literal", "load_snapshot", "module_documents", "versions", "write_contract", "write_cypher", "write_json"]
+__all__ = ["apply_incremental", "copy_json", "cypher_statements", "in_order", "literal", "load_snapshot", "module_documents", "versions", "write_contract", "write_cypher", "write_json"]
 STATEMENT_ROWS = 500
 
 
 def module_documents(tables: dict[str, DataFrame], edges: DataFrame | None = None) -> DataFrame:
-    """(file_key, json): one document a module, nulls kept. Every list is grouped by file before it is joined, so a group is
+    """(file_key, from_cache, json): one document a module, nulls kept. Every list is grouped by file before it is joined, so a group is
     one file's rows; the tables join on the file alone."""
-    out = tables["module"].select("file_key", F.struct("module_name", "is_tsx", "is_declaration_file", "content_hash", "last_modified", "file_size", "comments").alias("module"))
+    out = tables["module"].select("file_key", "from_cache", F.struct("module_name", "is_tsx", "is_declaration_file", "content_hash", "last_modified", "file_size", "comments").alias("module"))
     for name in ("declaration", "callable", "call_site", "attribute", "variable", "import", "export"):
         rows = tables[name]
         fields = [c for c in rows.columns if c not in ("app_name", "file_key", "is_target")]
         lists = rows.groupBy("file_key").agg(F.array_sort(F.collect_list(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))).alias(f"{name}s"))
         out = out.join(lists, "file_key", "left")
-    lists = [c for c in out.columns if c not in ("file_key", "module")]
+    lists = [c for c in out.columns if c not in ("file_key", "from_cache", "module")]
     body = F.concat(F.lit('{"module":'), F.to_json("module", {"ignoreNullFields": "false"}), *[F.concat(F.lit(f',"{c}":['), F.coalesce(F.array_join(c, ","), F.lit("")), F.lit("]")) for c in lists], F.lit("}"))
-    return out.select("file_key", body.alias("json"))
+    return out.select("file_key", "from_cache", body.alias("json"))
 
 
-def write_json(tables: dict[str, DataFrame], edges: DataFrame, path: str) -> None:
-    """One compact document a line for modules, and one for edges, below ``path``."""
-    module_documents(tables).select("json").write.mode("overwrite").text(f"{path}/modules")
-    edges.select(F.to_json(F.struct(*edges.columns), {"ignoreNullFields": "false"})).write.mode("overwrite").text(f"{path}/call_graph")
+def in_order(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ranges of the keys, as people sort names, so that the files written from them follow each other."""
+    order = [F.collate(k, "UNICODE") for k in keys] + [F.col(k) for k in keys]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def write_json(tables: dict[str, DataFrame], edges: DataFrame, path: str) -> dict[str, int]:
+    """One compact document a line for modules, by file, and one for edges, by their ends, below ``path``: the files of a
+    folder, one after the other, are one sorted list. Returns what was counted while they were written."""
+    built, linked = Observation("modules written"), Observation("edges written")
+    documents = in_order(module_documents(tables), "file_key")  # counted behind the shuffle, whose sampling reads rows twice
+    documents = documents.observe(built, F.count("*").alias("modules"), F.count_if("from_cache").alias("cached"), F.count_if(~F.col("from_cache")).alias("built"))
+    documents.select("json").write.mode("overwrite").text(f"{path}/modules")
+    ordered = in_order(edges, "source", "target").observe(linked, F.count("*").alias("edges"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight"))
+    ordered.select(F.to_json(F.struct(*edges.columns), {"ignoreNullFields": "false"})).write.mode("overwrite").text(f"{path}/call_graph")
+    return built.get | linked.get
+
+
+def copy_json(spark: SparkSession, path: str, out: BinaryIO) -> None:
+    """Copies the files of :func:`write_json` to a stream in their order, in pieces, modules first."""
+    for folder in ("modules", "call_graph"):
+        for name in sorted(n for n in names_in(spark, f"{path}/{folder}") if n.startswith("part-")):
+            for piece in pieces_of(spark, f"{path}/{folder}/{name}"):
+                out.write(piece)
 
 
 def literal(json: Column) -> Column:

@@ -90,16 +90,22 @@ def create_new(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
-def read_small(spark: SparkSession, path: str) -> str:
-    """The text of a small file."""
+def pieces_of(spark: SparkSession, path: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file, some at a time."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
     try:
-        return bytes(stream.readAllBytes()).decode()
+        while piece := bytes(stream.readNBytes(size)):
+            yield piece
     finally:
         stream.close()
 
 
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    return b"".join(pieces_of(spark, path)).decode()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the intermediate tables made inside it. What is still to be read must be written elsewhere first."""
