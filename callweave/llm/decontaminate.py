@@ -17,8 +17,8 @@ At similarity 0.8 the expected distance is about 10 of 64 bits, with a deviation
 pair at 0.85 and for 97 of 100 at 0.8, in passages edited, rotated, swapped and interleaved.
 
 Words are runs of characters other than ASCII white space, in lower case. Nulls and ties: null texts and texts of fewer than
-five words match nothing, items of fewer than five words are matched by nothing; rows without an id are judged like others, as
-are rows that share an id but not a text; equal rows match alike and give one row; empty tables give an empty result; other
+five words match nothing, items of fewer than five words are matched by nothing; rows without an id are judged like others (``find``,
+which gives pairs of ids, leaves them out), as are rows that share an id but not a text; equal rows match alike and give one row; empty tables give an empty result; other
 columns are left out.
 The items' shingles are broadcast only if there are at most ``BROADCAST_ROWS`` of them, else joined by a shuffle.
 """
@@ -159,6 +159,6 @@ def matches(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: int =
 
 
 def find(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """(doc_id, item_id, similarity, start) as :func:`matches` has them; of rows that share an id, null among them, the best."""
+    """(doc_id, item_id, similarity, start) as :func:`matches` has them, of rows with an id; of rows that share one, the best."""
     best = F.max_by(F.struct("similarity", "start"), F.struct("similarity", -F.col("start"))).alias("best")
-    return matches(docs, items, **options).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", "best.start")
+    return matches(docs, items, **options).where("doc_id is not null").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", "best.start")
