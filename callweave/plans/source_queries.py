@@ -158,6 +158,36 @@ def ts_relationships(spark, sf_dir):
     return analysis(spark, sf_dir).edges.groupBy("type").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {PROGRAM}
+SELECT 'Application' AS label, 'suppliers' AS key UNION ALL SELECT 'Module', module || '.ts' FROM files
+UNION ALL SELECT 'Class', rsig FROM r UNION ALL SELECT 'Class', nsig FROM n
+UNION ALL SELECT 'Callable', rsig || unnest(['.constructor', '.price', '.total']) FROM r
+UNION ALL SELECT 'Callable', nsig || unnest(['.constructor', '.price']) FROM n UNION ALL SELECT 'Callable', ssig FROM s
+UNION ALL SELECT 'External', 'node:zlib.crc32' UNION ALL SELECT 'Package', 'node:zlib'
+UNION ALL SELECT 'Attribute', rsig || '#attr:name' FROM r UNION ALL SELECT 'Variable', ssig || '#var:one' FROM s""")
+def ts_node_keys(spark, sf_dir):
+    """Every node but call sites, by its key; of variables without their places."""
+    nodes = analysis(spark, sf_dir).nodes.select(F.element_at("labels", -1).alias("label"), F.regexp_replace("value", "@.*$", "").alias("key"))
+    return nodes.where("label <> 'CallSite'")
+
+
+@query(f"""WITH {PROGRAM}, {SITES}, {EDGES}
+SELECT 'HAS_MODULE' AS type, 'suppliers' AS from_key, module || '.ts' AS to_key FROM files
+UNION ALL SELECT 'DECLARES', 'r' || rk || '.ts', rsig FROM r UNION ALL SELECT 'DECLARES', 'n' || nk || '.ts', nsig FROM n UNION ALL SELECT 'DECLARES', 's' || sk || '.ts', ssig FROM s
+UNION ALL SELECT 'HAS_METHOD', rsig, rsig || unnest(['.constructor', '.price', '.total']) FROM r
+UNION ALL SELECT 'HAS_METHOD', nsig, nsig || unnest(['.constructor', '.price']) FROM n
+UNION ALL SELECT 'HAS_ATTRIBUTE', rsig, rsig || '#attr:name' FROM r UNION ALL SELECT 'DECLARES_VAR', ssig, ssig || '#var:one' FROM s
+UNION ALL SELECT DISTINCT 'CALLS', source, target FROM calls UNION ALL SELECT 'EXTENDS', nsig, rsig FROM n
+UNION ALL SELECT 'IMPORTS', 'n' || nk || '.ts', 'r' || rk || '.ts' FROM n
+UNION ALL SELECT 'IMPORTS', 's' || sk || '.ts', unnest(['n' || nk || '.ts', 'node:zlib']) FROM s
+UNION ALL SELECT 'MEMBER_OF', 'node:zlib.crc32', 'node:zlib'""")
+def ts_edge_keys(spark, sf_dir):
+    """Every relationship that does not end or start at a call site, by the keys of its ends."""
+    edges = analysis(spark, sf_dir).edges.where("type not in ('HAS_CALLSITE', 'RESOLVES_TO')")
+    bare = lambda c: F.regexp_replace(c, "@.*$", "").alias(c)
+    return edges.select("type", bare("from_key"), bare("to_key"))
+
+
 @query(f"""WITH {PROGRAM}, {SITES}, {EDGES}, {LABELS}, {TYPES}, shapes AS (
   SELECT label AS shape, n FROM labels
   UNION ALL SELECT type, n FROM types WHERE type NOT IN ('HAS_MODULE', 'DECLARES_VAR', 'IMPORTS')
