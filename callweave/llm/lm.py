@@ -18,7 +18,8 @@ Training: Spark counts tokens, then pairs of an output and the one before it (th
 training texts; tasks add up matrices of a fixed size, which are summed by key. The model scores output w after h as
 r_h C q_w + b_w. Because it sees h alone, the noise-contrastive loss over all tokens, with ``noise`` noise tokens to each in
 expectation, is a function of those counts, and numpy minimises it without sampling. The counts that reach the driver are
-bounded by the outputs squared. The modelled tokens' counts stay in Spark: a sparse table of (token, role, output, n). With
+bounded by the outputs squared. The modelled tokens' counts stay in Spark: sparse counts by token, role and output, from the
+same pass, packed by blocks of tokens. They grow with the tokens modelled, and are two for each token of a text at most. With
 the outputs fixed, the same loss falls apart into one convex problem for each token and role, which tasks solve in blocks of
 tokens with a prior that holds vectors of little evidence near zero. The vectors are a table that grows with the tokens.
 
@@ -35,8 +36,9 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +52,13 @@ OWN, BUCKETS = 768, 256
 SENT = 300_000
 HELD = 400_000
 WIDTH, STEPS, NOISE = 32, 200, 10.0
-LEAST, BLOCK, FITS, PRIOR = 64, 256, 30, 2.0
+LEAST, BLOCK, FITS, PRIOR = 64, 128, 30, 2.0
+RUN, CELLS = 1 << 17, 1024
 _COUNT = pa.schema([("token", pa.binary()), ("n", pa.int64())])
-_PAIR = pa.schema([("before", pa.int32()), ("after", pa.int32()), ("n", pa.int64())])
+_PAIR = pa.schema([("before", pa.int32()), ("many", pa.binary())])
+_PART = pa.schema([("block", pa.int32()), ("token", pa.binary()), ("cells", pa.binary()), ("many", pa.binary())])
 _SHARE = pa.schema([("bucket", pa.int32()), ("mass", pa.int64()), ("tokens", pa.int64())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.struct([("token", pa.binary()), ("role", pa.int32()), ("other", pa.int32()), ("n", pa.int32())])))])
-_SPARSE = pa.schema([("entity", pa.int32()), ("token", pa.binary()), ("role", pa.int32()), ("others", pa.list_(pa.int32())), ("many", pa.list_(pa.int32()))])
 _VECTORS = pa.schema([("entity", pa.int32()), ("token", pa.binary()), ("share", pa.float64()), ("output", pa.int32()), ("context", pa.binary()), ("norm", pa.float64()), ("word", pa.binary())])
 _NORM = pa.schema([("bucket", pa.int32()), ("before", pa.int32()), ("x", pa.float64())])
 #: What a modelled token is counted as: what comes after it, or what it comes after.
@@ -137,52 +140,155 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([w for w, _ in rows], np.array([n for _, n in rows], np.float64), outputs, mass, total, distinct)
 
 
-def output_ids(words: list[bytes], places: dict[bytes, int], outputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token its place in the table sent (-1: rarer) and its output."""
-    get = places.get
-    at = np.array([get(w, -1) for w in words], np.int64)
-    ids = outputs[at] if len(outputs) else np.zeros(len(at), np.int32)
-    for k in np.flatnonzero(at < 0).tolist():
-        ids[k] = OWN + bucket(words[k])
-    return at, ids
+class Table:
+    """The tokens sent, with the outputs of all."""
 
+    def __init__(self, words: list[bytes], outputs: np.ndarray):
+        self.places = {w: k for k, w in enumerate(words)}
+        self.outputs = outputs
+        at, ids = self.output_ids([END])
+        self.end_at, self.end = int(at[0]), int(ids[0])
 
-def pair_counts(texts: DataFrame, vocab: Vocabulary) -> np.ndarray:
-    """How often each output follows each other one in a table of one text column."""
+    def output_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each token its place in the table (-1: rarer) and its output."""
+        at = np.fromiter(map(self.places.get, words, repeat(-1)), np.int32, len(words))
+        ids = self.outputs[at] if len(self.outputs) else np.zeros(len(at), np.int32)
+        for k in np.flatnonzero(at < 0).tolist():
+            ids[k] = OWN + bucket(words[k])
+        return at, ids
+
+    def run(self, texts: list[str | None]) -> Run:
+        cut = [tokens(t) for t in texts]
+        words = list(chain.from_iterable(cut))
+        starts = np.cumsum([0, *map(len, cut)])[:-1]
+        at, ids = self.output_ids(words)
+        above, before = np.append(self.end_at, at[:-1]), np.append(self.end, ids[:-1])
+        above[starts], before[starts] = self.end_at, self.end
+        return Run(words, starts, at, ids, above, before)
+
+
+@dataclass
+class Run:
+    """Texts cut into tokens, one text after the other: each token's place and output, and those of the token before it."""
+
+    words: list[bytes]
+    starts: np.ndarray
+    at: np.ndarray
+    ids: np.ndarray
+    above: np.ndarray
+    before: np.ndarray
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum over each text's tokens; a text has one at least, its end."""
+        return np.add.reduceat(values, self.starts)
+
+    def around(self) -> Iterator[tuple[int, bytes, int, int]]:
+        """(text, token, role, output) for each place of a token that is not sent."""
+        text_of = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(self.words))))
+        for k in np.flatnonzero(self.at < 0).tolist():
+            yield int(text_of[k]), self.words[k], WORD, int(self.before[k])
+        first = np.zeros(len(self.words), bool)
+        first[self.starts] = True
+        for k in np.flatnonzero(self.above < 0).tolist():
+            yield int(text_of[k]), END if first[k] else self.words[k - 1], CONTEXT, int(self.ids[k])
+
+
+def in_runs(rows: Iterable[tuple], text: int = 0) -> Iterator[list[tuple]]:
+    """Rows in lists whose texts have RUN characters together, the last text's beyond that included."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[text] or "") + 1
+        if size >= RUN:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def gathered(texts: DataFrame, vocab: Vocabulary, numbers: np.ndarray, more: bool) -> DataFrame:
+    """(block, token, cells, many): counts of neighbours over a table of one text column, from one pass over it, in parts.
+
+    A part with neither block nor token says how often outputs (after) follow the output -1 - ``block`` (before): its cells
+    are ``after`` and ``many`` are 64 bits wide. A part of block b >= 0 tells of the modelled tokens sent whose numbers are
+    b * BLOCK and the BLOCK - 1 after it, a part with a token (only if there are ``more``) of that one. Their cells are
+    (k * 2 + role) * size + output, for the k-th token of the part, and ``many`` are 32 bits wide. A part has CELLS at most."""
     size = OWN + BUCKETS
-    sent = texts.sparkSession.sparkContext.broadcast((vocab.words, vocab.outputs))
+    sent = texts.sparkSession.sparkContext.broadcast((vocab.words, vocab.outputs, numbers))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, outputs = sent.value
-        places = {w: k for k, w in enumerate(words)}
-        end = int(outputs[places[END]]) if END in places else OWN + bucket(END)
-        found = np.zeros(size * size, np.int64)
+        words, outputs, numbers = sent.value
+        table = Table(words, outputs)
+        numbers = np.append(numbers, -1).astype(np.int64)  # the last is that of place -1
+        pairs = np.zeros(size * size, np.int64)
         held: list[np.ndarray] = []
+        rare: Counter = Counter()
         many = 0
 
-        def add() -> None:
-            nonlocal many
-            found[:] += np.bincount(np.concatenate(held), minlength=size * size)
+        def packed(keys: np.ndarray, counts: np.ndarray, span: int) -> Iterator[tuple[int, bytes, bytes]]:
+            """Sorted keys by their multiple of span."""
+            of = keys // span
+            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(keys)) if len(keys) else []
+            a = 0
+            for b in ends:
+                for k in range(a, b, CELLS):
+                    part = slice(k, min(b, k + CELLS))
+                    yield int(of[a]), (keys[part] - of[a] * span).astype(np.int32).tobytes(), counts[part].tobytes()
+                a = int(b)
+
+        def flush() -> Iterator[tuple]:
+            found, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+            for block, cells, times in packed(found, n.astype(np.int32), BLOCK * 2 * size):
+                yield block, None, cells, times
+            by_token: dict[bytes, list[tuple[int, int]]] = {}
+            for (w, cell), times in rare.items():
+                by_token.setdefault(w, []).append((cell, times))
+            for w, cells in by_token.items():
+                cells, times = np.array(sorted(cells), np.int32).T
+                yield None, w, cells.tobytes(), times.tobytes()
             held.clear()
-            many = 0
+            rare.clear()
+
+        def rows() -> Iterator[tuple]:
+            nonlocal many
+            texts = ((t,) for batch in batches for t in batch.column(0).to_pylist())
+            for part in in_runs(texts):
+                run = table.run([t for (t,) in part])
+                np.add.at(pairs, run.before.astype(np.int64) * size + run.ids, 1)
+                for number, role, other in ((numbers[run.at], WORD, run.before), (numbers[run.above], CONTEXT, run.ids)):
+                    k = np.flatnonzero(number >= 0)
+                    held.append((number[k] * 2 + role) * size + other[k])
+                if more:
+                    rare.update((w, role * size + o) for _, w, role, o in run.around())
+                many += len(run.ids)
+                if many > 2_000_000 or len(rare) > HELD:
+                    yield from flush()
+                    many = 0
+            yield from flush()
+            where = np.flatnonzero(pairs)
+            for before, cells, times in packed(where, pairs[where], size):
+                yield -1 - before, None, cells, times
 
+        yield from rows_to_batches(rows(), _PART, 1000)
+
+    return texts.mapInArrow(task, "block int, token binary, cells binary, many binary")
+
+
+def pair_counts(parts: DataFrame) -> np.ndarray:
+    """How often each output follows each other one."""
+    size = OWN + BUCKETS
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = output_ids(tokens(text), places, outputs)[1].astype(np.int64)
-                held.append(np.concatenate([[end], ids[:-1]]) * size + ids)
-                many += len(ids)
-                if many > 2_000_000:
-                    add()
-        if held:
-            add()
-        where = np.flatnonzero(found)
-        for k in range(0, len(where), 50_000):
-            part = where[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array((part // size).astype(np.int32)), pa.array((part % size).astype(np.int32)), pa.array(found[part])], schema=_PAIR)
-
-    rows = texts.mapInArrow(task, "before int, after int, n long").groupBy("before", "after").agg(F.sum("n").alias("n")).toArrow()
+            for block, cells, many in zip(*(batch.column(k).to_pylist() for k in ("block", "cells", "many"))):
+                total.setdefault(-1 - block, np.zeros(size, np.int64))[np.frombuffer(cells, np.int32)] += np.frombuffer(many, np.int64)
+        yield from rows_to_batches(((before, n.tobytes()) for before, n in total.items()), _PAIR)
+
+    rows = parts.where("block < 0").repartition("block").mapInArrow(task, "before int, many binary").collect()
     out = np.zeros((size, size))
-    out[rows.column("before").to_numpy(), rows.column("after").to_numpy()] = rows.column("n").to_numpy()
+    for r in rows:
+        out[r["before"]] = np.frombuffer(r["many"], np.int64)
     return out
 
 
@@ -243,71 +349,6 @@ def modelled(vocab: Vocabulary) -> np.ndarray:
     return np.where(own, np.cumsum(own) - 1, -1).astype(np.int32)
 
 
-def sparse_counts(texts: DataFrame, counts: DataFrame, vocab: Vocabulary, numbers: np.ndarray, more: bool) -> DataFrame:
-    """(entity, token, role, others, many, c): how often each modelled token stands before and after each output, in parts.
-
-    A token sent is named by its number, another one (only if there are ``more``) by its bytes, with its count c."""
-    size = OWN + BUCKETS
-    sent = texts.sparkSession.sparkContext.broadcast((vocab.words, vocab.outputs, numbers))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, outputs, numbers = sent.value
-        places = {w: k for k, w in enumerate(words)}
-        numbers = np.append(numbers, -1)  # of place -1
-        end_at, end = (a[0] for a in output_ids([END], places, outputs))
-        held: list[np.ndarray] = []
-        rare: Counter = Counter()
-        many = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            found, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
-            key = found // size
-            cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64), len(key))
-            for k in range(0, len(cuts) - 1, 10_000):
-                ends = cuts[k : k + 10_001]
-                a, b = ends[0], ends[-1]
-                offsets, of = pa.array((ends - a).astype(np.int32)), key[ends[:-1]]
-                others, times = (pa.ListArray.from_arrays(offsets, pa.array(x[a:b].astype(np.int32))) for x in (found % size, n))
-                yield pa.RecordBatch.from_arrays([pa.array((of // 2).astype(np.int32)), pa.nulls(len(of), pa.binary()), pa.array((of % 2).astype(np.int32)), others, times], schema=_SPARSE)
-            yield from rows_to_batches(((-1, w, role, [o], [n]) for (w, role, o), n in rare.items()), _SPARSE)
-            held.clear()
-            rare.clear()
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = tokens(text)
-                at, ids = output_ids(found, places, outputs)
-                before = np.append(end, ids[:-1]).astype(np.int64)
-                number = numbers[at].astype(np.int64)
-                above = np.append(numbers[end_at], number[:-1]).astype(np.int64)
-                held.append((number * 2 + WORD)[number >= 0] * size + before[number >= 0])
-                held.append((above * 2 + CONTEXT)[above >= 0] * size + ids[above >= 0])
-                if more:
-                    rare.update(around(found, at, ids, before, int(end_at)))
-                many += len(ids)
-                if many > 2_000_000 or len(rare) > HELD:
-                    yield from flush()
-                    many = 0
-        yield from flush()
-
-    parts = texts.mapInArrow(task, "entity int, token binary, role int, others array<int>, many array<int>")
-    if not more:
-        return parts.withColumn("c", F.lit(None).cast("long"))
-    parts = written(parts, "sparse-counts")
-    rest = parts.where("entity < 0").join(counts.where(F.col("n") >= LEAST).select("token", F.col("n").alias("c")), "token")
-    return parts.where("entity >= 0").withColumn("c", F.lit(None).cast("long")).unionByName(rest)
-
-
-def around(found: list[bytes], at: np.ndarray, ids: np.ndarray, before: np.ndarray, end_at: int) -> Iterator[tuple[bytes, int, int]]:
-    """(token, role, output) for each place of a token that is not sent."""
-    for k in np.flatnonzero(at < 0).tolist():
-        yield found[k], WORD, int(before[k])
-        if k + 1 < len(found):
-            yield found[k], CONTEXT, int(ids[k + 1])
-    if end_at < 0:
-        yield END, CONTEXT, int(ids[0])
-
-
 def fitted(seen: np.ndarray, expected: np.ndarray, offset: np.ndarray, features: np.ndarray) -> np.ndarray:
     """For each row the vector t that minimises its noise-contrastive loss, the log-odds being ``offset`` + t ``features``."""
     t = np.zeros((len(seen), features.shape[1]), np.float32)
@@ -315,15 +356,21 @@ def fitted(seen: np.ndarray, expected: np.ndarray, offset: np.ndarray, features:
     scale = 1 / np.maximum(1, seen.sum(1, keepdims=True))
     both = (seen + expected) * scale
     seen = seen * scale
+    down, slope = np.ascontiguousarray(-features.T), np.empty_like(seen)
     for step in range(1, FITS + 1):
-        slope = both / (1 + np.exp(-np.clip(offset + t @ features.T, -30, 30))) - seen
+        np.matmul(t, down, out=slope)
+        slope -= offset
+        np.exp(np.clip(slope, -30, 30, out=slope), out=slope)
+        slope += 1
+        np.divide(both, slope, out=slope)
+        slope -= seen
         g = slope @ features + PRIOR * scale * t
         mean, square = 0.8 * mean + 0.2 * g, 0.95 * square + 0.05 * g * g
         t -= np.float32(0.2 * (1 - step / (FITS + 1))) * (mean / (1 - 0.8**step)) / (np.sqrt(square / (1 - 0.95**step)) + 1e-7)
     return t.astype(np.float16)
 
 
-def vectors(parts: DataFrame, vocab: Vocabulary, numbers: np.ndarray, model: Outputs) -> DataFrame:
+def vectors(parts: DataFrame, counts: DataFrame, vocab: Vocabulary, numbers: np.ndarray, model: Outputs, more: bool) -> DataFrame:
     """(entity, token, share, output, context, norm, word): t_h with its normaliser's logarithm, and (v_w, a_w), of each modelled token."""
     at = np.flatnonzero(numbers >= 0)
     sent = parts.sparkSession.sparkContext.broadcast((model, vocab.counts[at], vocab.outputs[at]))
@@ -332,43 +379,52 @@ def vectors(parts: DataFrame, vocab: Vocabulary, numbers: np.ndarray, model: Out
         model, counts, outputs = sent.value
         size, after = len(model.b), model.after()
         noise = np.exp(model.log_noise)
-        seen = np.zeros((2, BLOCK, size), np.float32)
-        keys: list[tuple] = []
+        seen = np.zeros((BLOCK, 2, size), np.float32)
+        flat = seen.reshape(-1)
+        keys: list[tuple] = []  # (entity, token, count)
 
         def solved() -> Iterator[tuple]:
             n = len(keys)
             output = np.array([outputs[e] if e >= 0 else OWN + bucket(w) for e, w, _ in keys])
-            share = np.array([(counts[e] if e >= 0 else c) + 0.1 for e, _, c in keys]) / model.mass[output - OWN]
+            share = np.array([c + 0.1 for _, _, c in keys]) / model.mass[output - OWN]
             start = model.context[output]
-            as_context = seen[CONTEXT, :n]
+            as_context = np.ascontiguousarray(seen[:n, CONTEXT])
             t = fitted(as_context, as_context.sum(1, keepdims=True) * noise, start @ model.q.T + model.b - model.log_noise, model.q)
             scores = ((start + t) @ model.q.T + model.b).astype(np.float64)
             top = scores.max(1)
             norm = top + np.log(np.exp(scores - top[:, None]).sum(1))
             expected = (NOISE * share[:, None] * model.into.T[output - OWN]).astype(np.float32)
-            v = fitted(seen[WORD, :n], expected, np.float32(-math.log(NOISE)), after)
+            v = fitted(np.ascontiguousarray(seen[:n, WORD]), expected, np.float32(-math.log(NOISE)), after)
             for k, (e, w, _) in enumerate(keys):
                 yield e, w, float(share[k]), int(output[k]), t[k].tobytes(), float(norm[k]), v[k].tobytes()
             seen[:] = 0
             keys.clear()
 
         def rows() -> Iterator[tuple]:
+            last = None
             for batch in batches:
-                entities, words, roles, counted = (batch.column(k).to_pylist() for k in ("entity", "token", "role", "c"))
-                others, many = batch.column("others"), batch.column("many")
-                cuts, others, many = others.offsets.to_pylist(), others.values.to_numpy(), many.values.to_numpy()
-                for k, key in enumerate(zip(entities, words, counted)):
-                    if not keys or keys[-1] != key:
-                        if len(keys) == BLOCK:
+                for block, token, cells, many, c in zip(*(batch.column(k).to_pylist() for k in ("block", "token", "cells", "many", "c"))):
+                    if (block, token) != last:
+                        if keys and (token is None or len(keys) == BLOCK):
                             yield from solved()
-                        keys.append(key)
-                    seen[roles[k], len(keys) - 1, others[cuts[k] : cuts[k + 1]]] += many[cuts[k] : cuts[k + 1]]
+                        if token is None:
+                            first = block * BLOCK
+                            keys.extend((e, None, counts[e]) for e in range(first, min(first + BLOCK, len(counts))))
+                        else:
+                            keys.append((-1, token, c))
+                        last = block, token
+                    shift = 0 if token is None else (len(keys) - 1) * 2 * size
+                    flat[np.frombuffer(cells, np.int32) + shift] += np.frombuffer(many, np.int32)
             if keys:
                 yield from solved()
 
         yield from rows_to_batches(rows(), _VECTORS)
 
-    sorted_parts = parts.repartition("entity", "token").sortWithinPartitions("entity", "token")
+    mine = parts.where("block >= 0").withColumn("c", F.lit(None).cast("long"))
+    if more:
+        mine = mine.unionByName(parts.where("token is not null").join(counts.where(F.col("n") >= LEAST).select("token", F.col("n").alias("c")), "token"))
+    # Tokens come first: nulls of a sorted column do.
+    sorted_parts = mine.repartition("block", "token").sortWithinPartitions("block", "token")
     return sorted_parts.mapInArrow(task, "entity int, token binary, share double, output int, context binary, norm double, word binary")
 
 
@@ -409,12 +465,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     training = rows.where("not held_out").select("text")
     counts = written(token_counts(training), "token-counts")
     vocab = vocabulary(counts)
-    pairs = pair_counts(training, vocab)
-    model = Outputs(*parameters(pairs), pairs[:, OWN:].astype(np.float32), vocab.mass)
-    table = normalised(model.context @ model.q.T + model.b) / math.log(10)
     numbers = modelled(vocab)
     more = counts.where(F.col("n") >= LEAST).count() > int((vocab.counts >= LEAST).sum())
-    found = written(vectors(sparse_counts(training, counts, vocab, numbers, more), vocab, numbers, model), "vectors")
+    parts = written(gathered(training, vocab, numbers, more), "neighbours")
+    pairs = pair_counts(parts)
+    model = Outputs(*parameters(pairs), pairs[:, OWN:].astype(np.float32), vocab.mass)
+    table = normalised(model.context @ model.q.T + model.b) / math.log(10)
+    found = written(vectors(parts, counts, vocab, numbers, model, more), "vectors")
     norms = bucket_norms(found, model) / math.log(10)
     log_all = math.log10(vocab.total + 0.1 * (vocab.distinct + 1))
     raised = np.log10(vocab.counts + 0.1)
@@ -428,30 +485,43 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, outputs, raised, inside, outside, table, norms, model, (numbers, contexts, norm, word) = sent.value
-        places = {w: k for k, w in enumerate(words)}
-        numbers = np.append(numbers, -1)  # of place -1
-        end_at, end = (int(a[0]) for a in output_ids([END], places, outputs))
+        cut = Table(words, outputs)
+        # What place -1 adds is told by the tokens' buckets and by a join.
+        numbers, raised, inside = np.append(numbers, -1), np.append(raised, 0.0), np.append(inside, 0.0)
         after = model.after()
 
-        def row(doc: int | None, text: str | None, out: bool) -> tuple:
-            found = tokens(text)
-            at, ids = output_ids(found, places, outputs)
-            before = np.append(end, ids[:-1]).astype(np.int64)
-            common = at[at >= 0]
-            if more:
-                rare = Counter(around(found, at, ids, before, end_at))
-            else:
-                rare = Counter((found[k], WORD, 0) for k in np.flatnonzero(at < 0).tolist())
-            number = numbers[at]
-            above = np.append(numbers[end_at], number[:-1])
-            model_score = table[before, ids].sum() + inside[common].sum() + outside[ids[at < 0] - OWN].sum() - norms[before, np.maximum(0, ids - OWN)][ids >= OWN].sum()
-            if (k := np.flatnonzero(above >= 0)).size:
-                model_score += context_gain(contexts[above[k]], norm[above[k]], before[k], ids[k], model, table).sum()
-            if (k := np.flatnonzero(number >= 0)).size:
-                model_score += word_gain(word[number[k]], before[k], after).sum()
-            return doc, out, len(found), len(common), float(raised[common].sum()), float(model_score), [{"token": w, "role": role, "other": o, "n": n} for (w, role, o), n in rare.items()]
-
-        yield from rows_to_batches((row(*r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), _SCORED, 1024)
+        def gained(run: Run) -> np.ndarray:
+            """What each token adds to the score, some at a time."""
+            out = np.empty(len(run.ids))
+            for a in range(0, len(out), 1 << 15):
+                part = slice(a, a + (1 << 15))
+                at, ids, before = run.at[part], run.ids[part], run.before[part]
+                g = table[before, ids] + inside[at]
+                if (k := np.flatnonzero(at < 0)).size:
+                    g[k] += outside[ids[k] - OWN]
+                if (k := np.flatnonzero(ids >= OWN)).size:
+                    g[k] -= norms[before[k], ids[k] - OWN]
+                above, number = numbers[run.above[part]], numbers[at]
+                if (k := np.flatnonzero(above >= 0)).size:
+                    g[k] += context_gain(contexts[above[k]], norm[above[k]], before[k], ids[k], model, table)
+                if (k := np.flatnonzero(number >= 0)).size:
+                    g[k] += word_gain(word[number[k]], before[k], after)
+                out[part] = g
+            return out
+
+        def rows() -> Iterator[tuple]:
+            for part in in_runs((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), 1):
+                run = cut.run([text for _, text, _ in part])
+                rare: dict[int, Counter] = {}
+                for k, w, role, o in run.around():
+                    if more or role == WORD:
+                        rare.setdefault(k, Counter())[w, role, o if more else 0] += 1
+                lengths = np.diff(np.append(run.starts, len(run.ids))).tolist()
+                sums = (run.sums((run.at >= 0).astype(np.int64)), run.sums(raised[run.at]), run.sums(gained(run)))
+                for k, ((doc, _, out), n, known, base, total) in enumerate(zip(part, lengths, *(x.tolist() for x in sums))):
+                    yield doc, out, n, known, base, total, [{"token": w, "role": role, "other": o, "n": n} for (w, role, o), n in rare.get(k, {}).items()]
+
+        yield from rows_to_batches(rows(), _SCORED, 1024)
 
     scored = rows.select("doc_id", "text", "held_out").mapInArrow(task, "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<token:binary,role:int,other:int,n:int>>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
