@@ -12,7 +12,7 @@ from callweave.plans.engine import Options, analyze
 from callweave.plans.project import check_conformance, project_graph
 from callweave.plans.providers import Context, FlowProvider, choose, compare
 from callweave.sources import scan, sinks
-from callweave.streaming.watch import watch
+from callweave.streaming.watch import STATE, tree_changes, watch
 from tests.conftest import ROOT
 
 PROJECT = f"{ROOT}/tests/project"
@@ -204,16 +204,42 @@ def test_packages(spark, tmp_path):
     assert scan.declared_packages(spark, str(tmp_path / "none.json")).count() == 0
 
 
-def test_a_stream_of_files_keeps_the_snapshot_current(spark, tmp_path):
-    (tmp_path / "demo/src").mkdir(parents=True)
-    shutil.copy(f"{PROJECT}/src/kit/units.ts", tmp_path / "demo/src/units.ts")
+def test_a_stream_of_looks_keeps_the_snapshot_current(spark, tmp_path):
+    """Added, changed, renamed and deleted files, and a batch that finds nothing."""
+    src, checkpoint = tmp_path / "demo/src", tmp_path / "checkpoint"
+    src.mkdir(parents=True)
     given = Options(str(tmp_path / "demo"), provider="tsc", snapshot=str(tmp_path / "snapshot"))
-    modules = lambda: sinks.load_snapshot(spark, str(tmp_path / "snapshot"))[0].where("labels[0] = 'Module'").count()
-    watch(spark, given, str(tmp_path / "checkpoint")).awaitTermination()
-    assert modules() == 1
-    (tmp_path / "demo/src/more.ts").write_text("export function more() { return 1; }")
-    watch(spark, given, str(tmp_path / "checkpoint")).awaitTermination()
-    assert modules() == 2
+
+    def batch() -> tuple[set, set, set]:
+        """What the batch says has changed, and the modules and functions of the snapshot after it."""
+        seen = set((checkpoint / "changes").glob("batch=*"))
+        watch(spark, given, str(checkpoint)).awaitTermination()
+        new = sorted(set((checkpoint / "changes").glob("batch=*")) - seen)
+        found = {(r.file_key, r.change) for path in new for r in spark.read.parquet(str(path)).collect()}
+        nodes = sinks.load_snapshot(spark, str(tmp_path / "snapshot"))[0]
+        keys = lambda label: {r.value for r in nodes.where(F.array_contains("labels", label)).collect()}
+        return found, keys("Module"), keys("Callable")
+
+    (src / "more.ts").write_text("export function more() { return 1; }")
+    (src / "use.ts").write_text("export function use() { return 2; }")
+    found, modules, _ = batch()
+    assert found == {("src/more.ts", "added"), ("src/use.ts", "added")} and modules == {"src/more.ts", "src/use.ts"}
+    assert batch()[0] == set()
+    (src / "more.ts").write_text("export function less() { return 10; }")
+    found, _, functions = batch()
+    assert found == {("src/more.ts", "changed")} and functions == {"src/more.less", "src/use.use"}
+    (src / "use.ts").rename(src / "used.ts")
+    (src / "more.ts").unlink()
+    found, modules, functions = batch()
+    assert found == {("src/more.ts", "deleted"), ("src/use.ts", "deleted"), ("src/used.ts", "added")}
+    assert modules == {"src/used.ts"} and functions == {"src/used.use"}
+
+
+def test_tree_changes(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), STATE)
+    before, now = rows(("a", 1.0, 5), ("b", 1.0, 5), ("c", 1.0, 5), ("d", 1.0, 5)), rows(("a", 1.0, 5), ("b", 2.0, 5), ("c", 1.0, 6), ("e", 1.0, 5))
+    assert {r[:] for r in tree_changes(now, before).collect()} == {("b", "changed"), ("c", "changed"), ("d", "deleted"), ("e", "added")}
+    assert {r[:] for r in tree_changes(now, rows()).collect()} == {(k, "added") for k in "abce"} and tree_changes(rows(), rows()).isEmpty()
 
 
 def test_options():
