@@ -63,7 +63,7 @@ def analyze_files(spark: SparkSession, files: DataFrame, options: Options, confi
         resolved = graph.resolved
         resolved.edges, resolved.external = graph.edges, graph.external
         nodes, edges = project_graph(tables, resolved, options.name, graph.synthesized)
-        out.nodes, out.edges = stored(nodes, "nodes"), stored(edges, "graph-edges")
+        out.nodes, out.edges = nodes, stored(edges, "graph-edges")
     if options.snapshot:
         out.changes = sinks.apply_incremental(spark, options.snapshot, out.nodes, out.edges, options.targets is None)
     if options.output:

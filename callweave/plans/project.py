@@ -13,6 +13,7 @@ from callweave.functions import text as x
 from callweave.operators.resolve import Resolved
 from callweave.operators.rows import first_wins, last_wins
 from callweave.plans import contract
+from callweave.sources.storage import stored
 
 NODE = ["app_name", "labels", "key_prop", "value", "props", "_module"]
 EDGE = ["app_name", "type", "from_label", "from_key", "to_label", "to_key", "props", "owner_module"]
@@ -41,12 +42,12 @@ def span_key(prefix: str) -> Column:
 
 
 def project_graph(tables: dict[str, DataFrame], resolved: Resolved, app: str, synthesized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges). Ends that are no nodes drop their edge; the number is the difference to the rows given."""
+    """(nodes, edges), the nodes written. Ends that are no nodes drop their edge; the number is the difference to the rows given."""
     own = {k: v.where("is_target") for k, v in tables.items()}
     generic = F.transform("type_parameters", lambda p: p["name"])
     kinds = {"class": "Class", "interface": "Interface", "enum": "Enum", "type_alias": "TypeAlias", "namespace": "Namespace"}
-    types = last_wins(own["declaration"], ["signature"], [F.col("order")])
-    calls = last_wins(own["callable"], ["signature"], [F.col("order")])
+    types = stored(last_wins(own["declaration"], ["signature"], [F.col("order")]), "types")
+    calls = stored(last_wins(own["callable"], ["signature"], [F.col("order")]), "callables")
     module = F.col("file_key")
     sites = resolved.call_sites.where("is_target")
     fields = own["attribute"].withColumn("id", F.concat("owner", F.lit("#attr:"), "name")).dropDuplicates(["id"])
@@ -70,6 +71,7 @@ def project_graph(tables: dict[str, DataFrame], resolved: Resolved, app: str, sy
     for p in parts[1:]:
         nodes = nodes.unionByName(p)
 
+    nodes = stored(nodes.select(NODE), "nodes")  # edges meet it twice
     by = lambda column: F.col(column)
     parents = resolved.parents
     modules = tables["module"].select("file_key", "module_name")
@@ -119,7 +121,7 @@ def project_graph(tables: dict[str, DataFrame], resolved: Resolved, app: str, sy
     keys = nodes.select(F.element_at("labels", 1).alias("label"), "value", "_module")
     edges = edges.join(keys.select(F.col("label").alias("from_label"), F.col("value").alias("from_key"), F.col("_module").alias("owner_module")), ["from_label", "from_key"])
     edges = edges.join(keys.select(F.col("label").alias("to_label"), F.col("value").alias("to_key")), ["to_label", "to_key"], "left_semi")
-    return nodes.select(NODE), edges.select(EDGE)
+    return nodes, edges.select(EDGE)
 
 
 def check_conformance(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -63,9 +63,11 @@ def scan_sources(spark: SparkSession, root: str, skip_tests: bool = True, target
 
 
 def sources_from_table(rows: DataFrame, path_col: str, text_col: str) -> DataFrame:
-    """The same rows from a table of paths and texts, for corpora that are not a tree of files."""
+    """The same rows from a table of paths and texts, for corpora that are not a tree of files. They are dealt over tasks by
+    their paths: a small file of a table may hold, or expand to, very many texts, and would be parsed by one task."""
     content = F.col(text_col).cast("binary")
-    return rows.select(F.col(path_col).alias("file_key"), F.lit(0.0).alias("last_modified"), F.length(content).cast("bigint").alias("file_size"), content.alias("content"), F.lit(True).alias("is_target"))
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks, path_col).select(F.col(path_col).alias("file_key"), F.lit(0.0).alias("last_modified"), F.length(content).cast("bigint").alias("file_size"), content.alias("content"), F.lit(True).alias("is_target"))
 
 
 PARSED = "file_key string, record string, payload string"
@@ -73,18 +75,19 @@ META = "file_key string, last_modified double, file_size bigint, content_hash st
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """(file_key, record, payload) of the files' contents; a file that cannot be parsed gives a record ``error``."""
+    """(file_key, record, payload, is_target) of the files' contents; a file that cannot be parsed gives a record ``error``."""
     from callweave.sources.declarations import parse
 
-    schema = pa.schema([("file_key", pa.string()), ("record", pa.string()), ("payload", pa.string())])
+    schema = pa.schema([("file_key", pa.string()), ("record", pa.string()), ("payload", pa.string()), ("is_target", pa.bool_())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, content, target in zip(*[c.to_pylist() for c in batch.columns]):
                 found = list(parse(key, (content or b"").decode("utf-8-sig", "replace")))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found)), pa.array([r for r, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], schema=schema)
+                columns = [[key] * len(found), [r for r, _ in found], [p for _, p in found], [target] * len(found)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    return files.select("file_key", "content").mapInArrow(task, PARSED)
+    return files.select("file_key", "content", "is_target").mapInArrow(task, f"{PARSED}, is_target boolean")
 
 
 def load_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
@@ -115,29 +118,30 @@ def unchanged(files: DataFrame, cached: DataFrame) -> DataFrame:
 
 def parse_modules(files: DataFrame, app_name: str, cache: str | None = None, eager: bool = False) -> dict[str, DataFrame]:
     """The tables of TABLES. With ``cache`` only files that changed are parsed, unless ``eager``; files that are not among
-    ``files`` keep their place in the cache. Parsed records are written, then read by every table."""
+    ``files`` keep their place in the cache. Records are written once, typed and a folder for each table, so that what reads a
+    table later neither reads nor parses another's records, nor the files."""
     spark = files.sparkSession
     hashed = lambda rows: rows.select("file_key", "last_modified", "file_size", F.sha2("content", 256).alias("content_hash"))
     state = load_cache(spark, cache) if cache else None
+    reused = None
     if state and not eager:
         keep = stored(unchanged(files, state[0]), "unchanged")
         fresh = files.join(keep.select("file_key"), "file_key", "left_anti")
-        rows = stored(state[1].join(keep.select("file_key"), "file_key", "left_semi").unionByName(parsed(fresh)), "parsed")
-        meta = keep.unionByName(hashed(fresh))
+        old = state[1].join(files.select("file_key", "is_target").join(keep.select("file_key"), "file_key", "left_semi"), "file_key")
+        rows, meta = old.unionByName(parsed(fresh)), keep.unionByName(hashed(fresh))
+        reused = keep.select("file_key", F.lit(True).alias("from_cache"))
     else:
-        rows, meta = stored(parsed(files), "parsed"), hashed(files)
+        rows, meta = parsed(files), hashed(files)
+    meta = stored(meta, "meta")
     if cache:
-        meta = stored(meta, "meta")
-        save_cache(spark, cache, meta, rows, state)
-    marks = files.select("file_key", "is_target")
-    rows = rows.join(marks, "file_key")
-    out = {}
-    for record, ddl in TABLES.items():
-        out[record] = rows.where(F.col("record") == record).select("file_key", "is_target", F.from_json("payload", ddl).alias("p")).select(F.lit(app_name).alias("app_name"), "file_key", "is_target", "p.*")
-    reused = keep.select("file_key", F.lit(True).alias("from_cache")) if state and not eager else None
-    out["module"] = out["module"].join(meta, "file_key")
-    out["module"] = out["module"].join(reused, "file_key", "left").fillna(False, ["from_cache"]) if reused is not None else out["module"].withColumn("from_cache", F.lit(False))
-    return out
+        rows = stored(rows, "parsed")
+        save_cache(spark, cache, meta, rows.drop("is_target"), state)
+    typed = [F.when(F.col("record") == record, F.from_json("payload", ddl)).alias(record) for record, ddl in TABLES.items()]
+    rows = stored(rows.select("file_key", "is_target", *typed, F.col("record").alias("_record")), "records", by="_record")
+    out = {record: rows.where(F.col("_record") == record).select(F.lit(app_name).alias("app_name"), "file_key", "is_target", f"{record}.*") for record in TABLES}
+    modules = out["module"].join(meta, "file_key")
+    modules = modules.join(reused, "file_key", "left").fillna(False, ["from_cache"]) if reused is not None else modules.withColumn("from_cache", F.lit(False))
+    return out | {"module": stored(modules, "modules")}
 
 
 def build_statistics(tables: dict[str, DataFrame]) -> DataFrame:

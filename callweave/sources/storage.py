@@ -39,10 +39,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(rows: DataFrame, label: str, **options: str) -> DataFrame:
-    """``rows`` as a table written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def stored(rows: DataFrame, label: str, by: str | None = None, **options: str) -> DataFrame:
+    """``rows`` as a table written to the shared folder and read again: cuts the lineage and survives lost executors. ``by``
+    names a column whose values get folders of their own."""
     path = fresh_path(rows.sparkSession, label)
-    rows.write.options(**options).parquet(path)
+    rows.write.options(**options).partitionBy(*[by] if by else []).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -1,6 +1,7 @@
 """The project below tests/project from source text to graph, against numbers found by hand."""
 
 import json
+import re
 import shutil
 
 import pytest
@@ -306,3 +307,13 @@ def test_closure_reaches_the_end_of_a_deep_chain(spark):
 
     chain = spark.range(103).selectExpr("id as parent", "id + 1 as child")
     assert sorted((r.node, r.depth) for r in fixpoint_closure(chain, spark.range(1).toDF("seed")).collect()) == [(k, k) for k in range(1, 104)]
+
+
+def test_tables_of_a_program_are_read_alone_and_parsed_by_many_tasks(spark):
+    """A table of texts in one file is parsed by more than one task, and a parsed table is read without the others' records."""
+    rows = spark.range(40).selectExpr("concat('m', id, '.ts') as path", "concat('export function f', id, '() { return ', id, '; }') as text").coalesce(1)
+    files = scan.sources_from_table(rows, "path", "text")
+    assert scan.parsed(files).select(F.spark_partition_id()).distinct().count() > 1
+    tables = scan.parse_modules(files, "demo")
+    assert re.search(r"PartitionFilters: \[[^\]]*_record#\d+ = callable", tables["callable"]._jdf.queryExecution().executedPlan().toString())
+    assert {r["signature"] for r in tables["callable"].collect()} == {f"m{k}.f{k}" for k in range(40)} and tables["module"].count() == 40 and tables["attribute"].isEmpty()
