@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from callweave.sources.storage import stored
 
+BLOCK = 6  # an innermost range is looked up in the 64 places around a point
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key. A minimum by a struct, so it is aggregated before the shuffle and needs no sort."""
@@ -57,24 +58,46 @@ def innermost(points: DataFrame, ranges: DataFrame, on: list[str], point_key: li
 
     Places are whole numbers from 0; a range holds ``start`` and not ``end``; of ranges with equal starts the one that ends
     first holds. Ranges may nest or cross. Each range is cut into cells of doubling width, two of a level at most, and a cell
-    keeps the range that starts last, so a point meets at most one row on each level that occurs: the work is the points and
-    ranges times the logarithm of the widest place, whatever a key holds, and a key with very many ranges is dealt over tasks
-    by its cells. Ranges without a place, and points without one, take no part.
+    keeps the range that starts last. Cells of up to ``2 ** BLOCK`` places meet in the block they lie in, one row with a range
+    for each place; wider ones are asked for by blocks that hold points, one range a block. So a point passes the shuffle once and
+    meets one row, and a key with very many ranges is dealt over tasks by its blocks. Ranges without a place, and points
+    without one or without a ``point_key``, take no part.
     """
-    good = ranges.where((F.col(start) >= 0) & (F.col(end) > F.col(start)))
-    widest = good.agg(F.max(end)).first()[0]
+    good = ranges.where((F.col(start) >= 0) & (F.col(end) > F.col(start))).dropna(subset=on)
+    body = [c for c in ranges.columns if c not in on]
+    widest, longest = good.agg(F.max(end), F.max(F.col(end) - F.col(start))).first()
     if widest is None:
         others = [f for f in ranges.schema.fields if f.name not in on and f.name not in points.columns]
         return points.where("false").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in others])
-    body = [c for c in ranges.columns if c not in on]
-    cut = good.select(*on, F.struct(*body).alias("range"), F.explode(cells(F.col(start).cast("long"), F.col(end).cast("long"), int(widest).bit_length())).alias("c"))
-    order = F.struct(F.col(f"range.{start}"), -F.col(f"range.{end}"), F.to_json("range"))
-    best = stored(cut.groupBy(*on, "c.level", "c.cell").agg(F.max_by("range", order).alias("range")), "cells")
-    levels = [r[0] for r in best.select("level").distinct().collect()]  # a few dozen at most
-    probes = points.where(F.col(at) >= 0).select(*on, *[c for c in point_key if c not in on], F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col(at).cast("long"), k).alias("cell")) for k in levels])).alias("c"))
-    met = probes.select("*", "c.level", "c.cell").drop("c").join(best, [*on, "level", "cell"])
-    held = met.groupBy(*point_key).agg(F.max_by("range", order).alias("range"))
-    return points.join(held, point_key).select(*points.columns, *[F.col(f"range.{c}").alias(c) for c in body if c not in points.columns])
+    shift = lambda way, value, n: F.call_function(f"shift{way}", value, n)
+    held = F.struct(*body)
+    cut = good.groupBy(*on, start, end).agg(F.max_by(held, F.to_json(held)).alias("_range"))
+    cut = cut.select(*on, "_range", F.explode(cells(F.col(start).cast("long"), F.col(end).cast("long"), int(widest).bit_length())).alias("_c"))
+    last = F.max_by("_range", F.struct(F.col(f"_range.{start}"), -F.col(f"_range.{end}"))).alias("_range")
+    best = cut.groupBy(*on, F.col("_c.level").alias("_level"), F.col("_c.cell").alias("_cell")).agg(last)
+    asked = points.where(F.col(at) >= 0).dropna(subset=[*on, *point_key]).withColumn("_block", F.shiftright(F.col(at).cast("long"), BLOCK))
+    if longest >= 2 << BLOCK:  # no range has a wider cell than itself
+        best = stored(best, "cells")
+        levels = [r[0] for r in best.where(F.col("_level") > BLOCK).select("_level").distinct().collect()]  # a few dozen at most
+        probes = asked.select(*on, "_block").distinct().withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+        probes = probes.withColumn("_cell", shift("right", F.col("_block"), F.col("_level") - BLOCK))
+        wide = probes.join(best, [*on, "_level", "_cell"]).groupBy(*on, "_block").agg(last).select(*on, "_block", F.lit(0).alias("_node"), "_range")
+    below = F.lit(BLOCK) - F.col("_level")
+    first = shift("left", F.lit(1).cast("long"), below)  # cells of a block are numbered level by level, from 1
+    inner = best.where(F.col("_level") <= BLOCK).withColumn("_block", shift("right", F.col("_cell"), below))
+    inner = inner.select(*on, "_block", (first + F.col("_cell") - shift("left", F.col("_block"), below)).cast("int").alias("_node"), "_range")
+    nodes = inner.unionByName(wide) if longest >= 2 << BLOCK else inner
+    tree = F.col("_tree")
+
+    def winner(place: Column) -> Column:
+        around = F.array(F.lit(0), *[F.shiftright(place + 2**BLOCK, k) for k in range(BLOCK + 1)])
+        found = F.transform(around, lambda n: F.struct(F.try_element_at(tree, n)[start].alias("s"), (-F.try_element_at(tree, n)[end]).alias("e"), n.alias("n")))
+        return F.try_element_at(tree, F.array_max(F.filter(found, lambda c: c["s"].isNotNull()))["n"])
+
+    blocks = nodes.groupBy(*on, "_block").agg(F.map_from_entries(F.collect_list(F.struct("_node", "_range"))).alias("_tree"))  # 128 at most
+    blocks = blocks.select(*on, "_block", F.transform(F.sequence(F.lit(0), F.lit(2**BLOCK - 1)), winner).alias("_places"))
+    met = asked.join(blocks, [*on, "_block"]).withColumn("_range", F.get("_places", F.col(at).cast("long").bitwiseAND(2**BLOCK - 1).cast("int")))
+    return met.where("_range is not null").select(*points.columns, *[F.col(f"_range.{c}").alias(c) for c in body if c not in points.columns])
 
 
 def latest(points: DataFrame, marks: DataFrame, on: list[str], at: str, since: str, tie: list[str]) -> DataFrame:

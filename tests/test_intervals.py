@@ -43,6 +43,26 @@ def test_a_file_with_very_many_ranges(spark):
     assert got.where(F.col("r") != F.when(F.col("at") < 200_000, F.floor(F.col("at") / 4)).otherwise(-1)).count() == 0 and got.count() == 100_000
 
 
+def test_innermost_passes_points_once(spark):
+    """Points are not multiplied by levels, nor sent again to be put together: the only rows made of a range are its cells."""
+    points = spark.range(500).select(F.lit("f").alias("f"), F.col("id").alias("p"), (F.col("id") * 3).alias("at"))
+    ranges = spark.range(400).select(F.lit("f").alias("f"), F.col("id").alias("r"), (F.col("id") * 3).alias("s"), (F.col("id") * 3 + 90).alias("e"))
+    got = rows.innermost(points, ranges, ["f"], ["p"], "at", "s", "e")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.count("Join") == 1
+    assert {x.p: x.r for x in got.collect()} == {k: min(k, 399) for k in range(429)}
+
+
+def test_innermost_around_blocks(spark):
+    """Wide and narrow ranges around the borders of blocks of places, with equal starts and equal ends."""
+    chosen = random.Random(4)
+    ranges = [(k, a := chosen.choice([0, 1, 63, 64, 65, 127, 128, 4095, 4096, 5000]), a + chosen.choice([1, 63, 64, 65, 128, 129, 4096, 2**33])) for k in range(60)]
+    points = list(range(0, 10_000, 7)) + [62, 63, 64, 65, 4095, 4096, 2**33 + 100, 2**33 + 6000]
+    p, r = spark.createDataFrame([("f", x) for x in set(points)], "f string, at long"), spark.createDataFrame([("f", *x) for x in ranges], "f string, r int, s long, e long")
+    got = {x.at: (x.s, -x.e) for x in rows.innermost(p, r, ["f"], ["at"], "at", "s", "e").collect()}
+    assert got == {x: max((s, -e) for _, s, e in ranges if s <= x < e) for x in points if any(s <= x < e for _, s, e in ranges)}
+
+
 def test_latest(spark):
     chosen = random.Random(2)
     keys = ["hot"] * 8 + ["a", "b", None]
