@@ -22,7 +22,7 @@ import os
 import re
 from array import array
 
-CACHE_PIECES = 150_000
+CACHE_PIECES = 500_000  # of both kinds together, some 100 MB
 LATIN_END = "ɏ"  # letters up to here are their own normal form, and lower case goes letter by letter
 DOTTED_I = "İ"
 SPACE = chr(288)  # how byte-level vocabularies spell a space
@@ -70,13 +70,14 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         mark = piece[-1:] if piece[-1:] in MARKS else ""
         word = piece[:-1] if mark else piece
+        kept = not mark or word in self  # a rare word takes one place, whatever mark follows it
         if word.isalpha() and max(word) <= LATIN_END and DOTTED_I not in word:
             ids = self[word] + self.owner.marks[mark] if mark else self.owner.word(word, self.space)
         elif self.owner.space_joins_piece and (not piece or piece[0].isspace() or piece[-1].isspace()):
             raise WholeText
         else:
             ids = self.owner.whole(self.space + piece)
-        if len(self) < CACHE_PIECES:
+        if kept and len(self.owner.first) + len(self.owner.rest) < CACHE_PIECES:
             self[piece] = ids
         return ids
 

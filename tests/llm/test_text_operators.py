@@ -346,3 +346,19 @@ def test_queries_equal_their_sql(spark, name):
     order = [want.columns.index(c) for c in columns]
     rows = sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect())))
     assert rows and rows == sorted(map(repr, (tuple(r[k] for k in order) for r in want.fetchall())))
+
+
+def test_rare_pieces_take_one_place_of_a_common_bound(monkeypatch):
+    """A word met once is kept without its mark, and the pieces at the start of lines and behind spaces share one bound."""
+    import public_tokenizers
+
+    from callweave.llm import tokens
+
+    worker = tokens.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "alpha, beta, gamma, delta! epsilon; zeta\neta theta, iota: kappa"
+    assert worker.encode(text) == worker.whole(text)
+    assert "beta" in worker.rest and "beta," not in worker.rest
+    assert worker.encode(text) == worker.whole(text) and "beta," in worker.rest
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 6)
+    small = tokens.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert small.encode(text) == worker.whole(text) and len(small.first) + len(small.rest) <= 6
